@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavosh.llm import garble, history
+from kavosh.llm import addresses, garble, history, survivors
 from kavosh.sources.tables import load
 
 
@@ -19,6 +19,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garble.garbled_fields(load(spark, sf_dir, "contacts")).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.best_rows(load(spark, sf_dir, "contacts"))
+
+
+def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field by field, the value with most trust- and recency-weighted votes of each site."""
+    return survivors.voted(load(spark, sf_dir, "contacts"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.same_building(load(spark, sf_dir, "contacts"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found}
 
 ORACLE: dict[str, str] = {}
