@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavosh.llm import addresses, garble, history, survivors
+from kavosh.llm import addresses, garble, history, leaks, packing, subjects, survivors
 from kavosh.sources.tables import load
 
 
@@ -32,6 +32,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.same_building(load(spark, sf_dir, "contacts"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found}
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "token_budgets"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers each capacity takes and how full they are."""
+    filled = p8_containers(spark, sf_dir).groupBy("budget_id").agg(F.count_distinct("container").alias("n_containers"), F.sum("tokens").alias("tokens"), F.count_distinct("doc_id").alias("n_docs"))
+    capacity = load(spark, sf_dir, "token_budgets")
+    return filled.join(capacity, "budget_id").withColumn("fill", F.round(F.col("tokens") / (F.col("n_containers") * F.col("max_tokens")), 6))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(load(spark, sf_dir, "documents"), load(spark, sf_dir, "subject_labels")).select("doc_id", "subject")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE: dict[str, str] = {}
