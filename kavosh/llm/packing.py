@@ -3,9 +3,9 @@
 Cost-balanced packing: a document of t tokens costs t plus t squared over ``QUADRATIC`` (a
 linear part and attention's quadratic part). In descending order each document goes to the
 sequence of lowest cost that still has room for its tokens; where none has, the one it fits
-is opened. The number of sequences starts from the least that could hold all tokens, so space
-is left over only where nothing fits; the last, poorly filled sequences are dissolved once and
-their documents placed by best fit.
+is opened. The number of sequences starts from the least that could hold all tokens. Balancing
+costs alone leaves a few per cent of small containers empty, so sequences that keep more than
+``SLACK`` of their room are dissolved at the end and their documents placed by best fit.
 
 Documents are packed in independent lots of some ``LOT_TOKENS`` tokens, by hash of the id, so a
 lot is one task's work whatever the number of documents, and what a lot can lose is one partly
@@ -19,6 +19,7 @@ text is; copies are packed each; ties go to the smaller id.
 from __future__ import annotations
 
 import base64
+import bisect
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ from kavosh.sources.tables import keep
 
 QUADRATIC = 4096.0
 LOT_TOKENS = 6_000_000
+#: Share of a sequence that may stay empty before its documents are placed anew.
+SLACK = 0.005
 #: Folder and name of the tokenizer's vocabulary, and its way of parting words.
 TOKENIZERS = os.environ.get("KAVOSH_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -78,28 +81,22 @@ def pack(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
         box[i] = j
         room[j] -= s
         cost[j] += s + s * s / QUADRATIC
-    # what found no room: dissolve the sequences with most room left along with it and place all by best fit
-    if left:
-        worst = np.argsort(-room, kind="stable")[: max(len(left), n // 20)]
-        loose = np.concatenate([left, np.flatnonzero(np.isin(box, worst))]).astype(np.int64)
-        room[worst] = capacity
-        loose = loose[np.lexsort((ids[loose], -sizes[loose]))]
-        open_ = np.ones(n, bool)
-        open_[worst] = False
-        spare = list(worst)
-        for i in loose:
-            s = sizes[i]
-            fits = np.flatnonzero(open_ & (room >= s))
-            if len(fits):
-                j = fits[room[fits].argmin()]
-            elif spare:
-                j = spare.pop(0)
-                open_[j] = True
-            else:
-                room, open_ = np.append(room, capacity), np.append(open_, True)
-                j = len(room) - 1
-            box[i] = j
-            room[j] -= s
+    # what found no room goes, with the sequences that have room left, by best fit
+    loose = np.concatenate([np.array(left, np.int64), np.flatnonzero((room > SLACK * capacity)[box] & (box >= 0))])
+    rooms: list[int] = []
+    boxes: list[int] = []
+    fresh = n
+    for i in loose[np.lexsort((ids[loose], -sizes[loose]))]:
+        at = bisect.bisect_left(rooms, sizes[i])
+        if at < len(rooms):
+            space, j = rooms.pop(at), boxes.pop(at)
+        else:
+            space, j, fresh = capacity, fresh, fresh + 1
+        space -= int(sizes[i])
+        at = bisect.bisect_left(rooms, space)
+        rooms.insert(at, space)
+        boxes.insert(at, j)
+        box[i] = j
     return np.unique(box, return_inverse=True)[1]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavosh.llm import addresses, garble, history, leaks, packing, subjects, survivors
+from kavosh.llm import addresses, garble, history, leaks, packing, residue, subjects, survivors
 from kavosh.sources.tables import load
 
 
@@ -19,6 +19,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garble.garbled_fields(load(spark, sf_dir, "contacts")).distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(load(spark, sf_dir, "contacts")).select("id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.best_rows(load(spark, sf_dir, "contacts"))
 
@@ -51,6 +55,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects(load(spark, sf_dir, "documents"), load(spark, sf_dir, "subject_labels")).select("doc_id", "subject")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE: dict[str, str] = {}
