@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kavosh.operators.multivalue import tokenize
+from kavosh.functions.dicts import AREA_CODES, MOBILE
 
 # Persian and Arabic-Indic digits.
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
@@ -45,3 +45,67 @@ def number_set(text: Column) -> Column:
     digits = F.transform(pieces, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "[^0-9]", ""), r"^(?:00)?98(?=\d{10}$)", ""), "^0+", ""))
     keys = F.array_sort(F.array_distinct(F.transform(F.filter(digits, lambda d: F.length(d) >= 7), lambda d: F.concat(F.lit("0"), d))))
     return F.when(F.size(keys) > 0, F.array_join(keys, ","))
+
+
+# --- single numbers, with the reference pipeline's rules ---------------------------------
+
+_LANDLINE = f"0(?:{'|'.join(AREA_CODES)})[0-9]{{8}}"
+
+
+def digits(text: Column) -> Column:
+    """The digits of a text, as ASCII."""
+    return F.regexp_replace(ascii_digits(text), "[^0-9]", "")
+
+
+def _national(text: Column) -> Column:
+    """Digits without a country prefix."""
+    return F.regexp_replace(digits(text), "^(?:0098|98)", "")
+
+
+def normalize_iranian(phone: Column) -> Column:
+    """National form: eleven digits from 0; anything else is returned as written, trimmed."""
+    d = _national(phone)
+    d = F.when(d.rlike("^9[0-9]{9}$"), F.concat(F.lit("0"), d)).otherwise(d)
+    return F.when(d.rlike("^0[0-9]{10}$"), d).otherwise(F.trim(F.coalesce(phone, F.lit(""))))
+
+
+def classify_phone(phone: Column) -> Column:
+    """'mobile', 'landline' or ''; mobile is tested first."""
+    d = _national(phone)
+    d = F.when(d.rlike("^[0-9]{10}$"), F.concat(F.lit("0"), d)).otherwise(d)
+    return F.when(d.rlike(f"^{MOBILE}$"), "mobile").when(d.rlike(f"^{_LANDLINE}$"), "landline").otherwise("")
+
+
+def phones_of_kind(phones: Column, kind: str) -> Column:
+    """The numbers of one kind in an array, each once, in order."""
+    return F.array_distinct(F.filter(phones, lambda p: classify_phone(p) == kind))
+
+
+def normalize_phones(phones: Column) -> Column:
+    """National forms of the valid numbers of an array, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(phones, normalize_iranian), lambda p: classify_phone(p) != ""))
+
+
+_PREFIX = r"(?:\+?98|0098)"
+_SPACED = r"[\s()-]*"
+_CODES = "|".join(AREA_CODES)
+PHONE_PATTERNS = (
+    rf"(?<![0-9])(?:0|{_PREFIX})9(?:0[1-5]|1[0-9]|2[0-2]|3[0-9]|9[0-9])[0-9]{{7}}(?![0-9])",
+    rf"(?<![0-9])(?:0|{_PREFIX})(?:{_CODES})[0-9]{{8}}(?![0-9])",
+    rf"(?<![0-9])(?:{_PREFIX}{_SPACED}|0{_SPACED})9(?:{_SPACED}[0-9]){{9}}(?![0-9])",
+    rf"(?<![0-9])(?:{_PREFIX}{_SPACED}|0{_SPACED})(?:{_CODES})(?:{_SPACED}[0-9]){{8}}(?![0-9])",
+)
+
+
+def extract_phones(text: Column) -> Column:
+    """Sorted distinct valid numbers of a free text; prices, dates and article numbers don't match."""
+    t = ascii_digits(text)
+    hits = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in PHONE_PATTERNS])
+    return F.array_sort(normalize_phones(hits))
+
+
+def lite_phones(text: Column) -> Column:
+    """The reduced profile: mobile numbers anywhere in a text, in order of appearance, ASCII digits only."""
+    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:\+98|0098|98|0)?9[0-9]{9}"), F.lit(0))
+    national = F.transform(hits, lambda h: F.concat(F.lit("0"), F.right(h, F.lit(10))))
+    return F.array_distinct(national)

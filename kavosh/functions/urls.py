@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kavosh.functions.dicts import OTHER_PRIORITY, PRIORITIES, SKIP_EXTENSIONS, TRACKING_PARAMS
+from kavosh.functions.text import is_platform
 
 #: Query parameters that only track a visit or a campaign (lower case; a trailing * matches any rest).
 VISIT_PARAMS = (
@@ -58,3 +65,99 @@ def page(url: Column) -> Column:
     params = F.array_join(F.array_sort(F.transform(kept, lambda p: _decoded(F.replace(p, F.lit("+"), F.lit("%20"))))), "&")
     key = F.concat(name, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))
     return F.when(name != "", key)
+
+
+# --- canonical form and classes, with the reference pipeline's rules ----------------------
+
+
+def _encoded(text: Column) -> Column:
+    """Decoded and encoded again the form way."""
+    plain = F.coalesce(F.try_url_decode(text), text)
+    return F.replace(F.replace(F.url_encode(plain), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def canonical(url: Column) -> Column:
+    """One spelling per URL: no fragment, tracking parameters or user info, sorted parameters, lower-case scheme and host.
+
+    A path loses its final slashes, an empty one becomes /; an explicit port stays; a URL
+    without http(s) scheme or host, or with a broken port, gives NULL.
+    """
+    url = F.trim(url)
+    sch, net = scheme(url), F.lower(authority(url))
+    rest = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"#.*$", "")
+    path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), r"/+$", "")
+    pairs = F.transform(F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: p != ""), lambda p: F.struct(_encoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _encoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    out = F.concat(sch, F.lit("://"), net, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(sch.isin("http", "https") & net.rlike(r"^[^:]+(:[0-9]*)?$"), out)
+
+
+def site_key(url: Column) -> Column:
+    """Host in lower case without port and one leading www."""
+    return F.regexp_replace(F.regexp_replace(F.lower(authority(url)), r":\d*$", ""), r"^www\.", "")
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
+
+
+def url_priority(url: Column) -> Column:
+    """How early a page should be crawled, by words of its path."""
+    path = F.lower(F.coalesce(F.try_url_decode(path_of(url)), path_of(url)))
+    (value, words), *more = PRIORITIES
+    out = F.when(path.rlike(words), value)
+    for value, words in more:
+        out = out.when(path.rlike(words), value)
+    return out.otherwise(OTHER_PRIORITY)
+
+
+def has_skipped_extension(url: Column) -> Column:
+    return F.lower(path_of(url)).rlike(rf"[.]({'|'.join(SKIP_EXTENSIONS)})$")
+
+
+def is_share_link(url: Column) -> Column:
+    """Links that share or message on a platform and lead to no content."""
+    name, path = site_key(url), F.lower(path_of(url))
+    on = lambda *hosts: name.rlike(rf"(^|[.])({'|'.join(h.replace('.', '[.]') for h in hosts)})$")
+    return (
+        (on("facebook.com", "twitter.com", "x.com", "linkedin.com") & path.rlike("share|sharer|intent"))
+        | (on("t.me", "telegram.me", "telegram.dog") & path.rlike("^/share"))
+        | on("wa.me", "api.whatsapp.com")
+        | path.rlike(r"^/(t[.]me|telegram[.]me|wa[.]me|api[.]whatsapp[.]com|instagram[.]com|facebook[.]com|twitter[.]com|linkedin[.]com)/")
+    )
+
+
+def is_allowed(domain: Column, seeds: tuple[str, ...] = (), tlds: tuple[str, ...] = (".ir",)) -> Column:
+    """Whether a host is a seed or ends in an allowed suffix; an empty list of suffixes allows all."""
+    name = F.regexp_replace(F.lower(F.coalesce(domain, F.lit(""))), r"^www\.", "")
+    ends = F.lit(True) if not tlds else F.lit(False)
+    for t in tlds:
+        ends = ends | name.endswith(t.lower())
+    return (name != "") & (ends | (name.isin(*seeds) if seeds else F.lit(False)))
+
+
+def crawlable(url: Column, seeds: tuple[str, ...] = (), tlds: tuple[str, ...] = (".ir",)) -> Column:
+    return is_allowed(site_key(url), seeds, tlds) & ~has_skipped_extension(url) & ~is_platform(site_key(url)) & ~is_share_link(url)
+
+
+def joined(base: Column, href: Column) -> Column:
+    """A link's target against the page it stands on; dot segments are resolved in a second, rarer step."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "/")
+    folder = F.when(folder.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$"), F.concat(folder, F.lit("/"))).otherwise(folder)
+    href = F.trim(href)
+    out = (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), href))
+        .when((href == "") | href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
+        .otherwise(F.concat(folder, href))
+    )
+    return F.when(out.rlike(r"/\.{1,2}(/|$|\?|#)"), _resolved(base, href)).otherwise(out)
+
+
+@F.pandas_udf(T.StringType())
+def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([urljoin(b, h) if isinstance(b, str) and isinstance(h, str) else None for b, h in zip(base, href)])
