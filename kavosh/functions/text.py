@@ -17,6 +17,14 @@ def plain(text: Column) -> Column:
     return F.lower(F.translate(F.coalesce(text, F.lit("")), "يك‌", "یک "))
 
 
+#: Spaces of all widths, as they stand around values.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACES))
+
+
 def _first_best(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """The key with most of its words in the text; the first of equals; NULL where none has any."""
     hits = [(k, sum((text.contains(w.lower()).cast("int") for w in words), F.lit(0))) for k, words in table.items()]
@@ -68,7 +76,7 @@ def text_nodes(html: Column) -> Column:
     """Visible text nodes of a page's body, trimmed, without blank ones; entities left as they are."""
     body = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<body[^>]*>(.*)$", 1), F.lit("")), html)
     bare = F.regexp_replace(F.regexp_replace(body, _HIDDEN, "\u0001"), r"(?s)<[^>]*>", "\u0001")
-    return F.filter(F.transform(F.split(bare, "\u0001"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(bare, "\u0001"), lambda t: F.regexp_replace(t, rf"^[\s{SPACES}]+|[\s{SPACES}]+$", "")), lambda t: t != "")
 
 
 def visible_text(html: Column, by: str = " ") -> Column:
@@ -76,7 +84,7 @@ def visible_text(html: Column, by: str = " ") -> Column:
 
 
 def page_title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return stripped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def meta(html: Column, key: str) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from kavosh.functions.dicts import TECHNOLOGY_ORDER
 from kavosh.functions.phones import classify_phone, normalize_iranian
+from kavosh.functions.text import stripped
 
 
 def split_list(text: Column, by: str = ",") -> Column:
     """Values of a delimited text: trimmed, blanks dropped, each once, in order; NULL gives an empty array."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), lambda v: stripped(v)), lambda v: v != ""))
 
 
 def newcomers(df: DataFrame, order: str = "id", by: str = ",") -> DataFrame:
@@ -78,12 +79,12 @@ def sites(df: DataFrame) -> DataFrame:
     at = F.struct(*order)
 
     def longest(c: str) -> Column:
-        v = F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.trim(F.col(c)))
+        v = F.when(stripped(F.coalesce(F.col(c), F.lit(""))) != "", stripped(F.col(c)))
         return F.coalesce(F.max_by(v, F.when(v.isNotNull(), F.struct(F.length(v), late * -1, F.col("id") * -1))), F.lit("")).alias(c)
 
     single = rows.groupBy("domain").agg(
         *[longest(c) for c in ("address", "business_name", "category", "city")], F.coalesce(F.round(F.max("quality_score"), 2), F.lit(0.0)).alias("quality_score"), F.max("crawled_at").alias("crawled_at"),
-        F.min_by(F.when(F.trim("title") != "", F.trim("title")), F.when(F.trim("title") != "", at)).alias("title"), F.count("*").alias("n_rows"),
+        F.min_by(F.when(stripped(F.col("title")) != "", stripped(F.col("title"))), F.when(stripped(F.col("title")) != "", at)).alias("title"), F.count("*").alias("n_rows"),
     )
     out = single
     for column, by in (("phones", ","), ("emails", ","), ("technologies", ";"), ("source_url", "\n")):

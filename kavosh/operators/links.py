@@ -67,8 +67,8 @@ def fold_links(edges: DataFrame, order: tuple[str, ...] = ("first_seen", "id"))
     Types are first reduced to their earliest row per edge, so an edge repeated without end
     gathers no long list.
     """
-    at = F.struct(*[F.col(c) for c in order])
-    single = edges.withColumn("kind", F.explode_outer(F.split("link_type", ",")))
+    at = F.struct(*[F.col(c) for c in order], "pos")
+    single = edges.select(*edges.columns, F.posexplode_outer(F.split("link_type", ",")).alias("pos", "kind"))
     kinds = single.groupBy("source_url", "target_url", "kind").agg(
         F.min(at).alias("at"), F.max("crawlable").alias("crawlable"), F.max("external").alias("external"), F.min_by("target_domain", at).alias("target_domain"), F.count("*").alias("n")
     )
