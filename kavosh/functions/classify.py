@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kavosh.functions.dicts import QUALITY, TECHNOLOGIES, TECHNOLOGY_ORDER
+from kavosh.functions.text import bound
 
 TECH_TYPE = "array<struct<name:string,confidence:double,evidence:array<string>,evidence_count:int>>"
 
@@ -19,19 +20,25 @@ def detect_technologies(html: Column, url: Column, headers: Column) -> Column:
     """
     where = {"html": F.coalesce(html, F.lit("")), "header": F.lower(F.coalesce(headers, F.lit("")))}
     other = F.coalesce(url, F.lit(""))
-    found = []
+    hits = F.array(*[where.get(place, other).rlike(f"(?i){pattern}") for rules in TECHNOLOGIES.values() for pattern, _, place in rules])
+    return bound(hits, _weighed)  # every pattern is tried once per page
+
+
+def _weighed(hits: Column) -> Column:
+    found, at = [], 0
     for name, rules in TECHNOLOGIES.items():
-        hit = [where.get(place, other).rlike(f"(?i){pattern}") for pattern, _, place in rules]
+        hit = [F.get(hits, F.lit(at + i)) for i in range(len(rules))]
+        at += len(rules)
         score = sum((F.when(h, w).otherwise(0.0) for h, (_, w, _) in zip(hit, rules)), F.lit(0.0))
         top = F.greatest(*[F.when(h, w).otherwise(0.0) for h, (_, w, _) in zip(hit, rules)], F.lit(0.0))
         n = sum((h.cast("int") for h in hit), F.lit(0))
         places = sum((F.greatest(*[h.cast("int") for h, (_, _, p) in zip(hit, rules) if p == place], F.lit(0)) for place in dict.fromkeys(p for _, _, p in rules)), F.lit(0))
         most = max(0.55 * sum(w for _, w, _ in rules), 0.01)
         confidence = F.round(F.least(score / F.lit(most), F.lit(1.0)), 2)
-        evidence = F.slice(F.filter(F.array(*[F.when(h, F.lit(p[:60])) for h, (p, _, _) in zip(hit, rules)]), lambda e: e.isNotNull()), 1, 6)
+        evidence = F.slice(F.array_compact(F.array(*[F.when(h, F.lit(p[:60])) for h, (p, _, _) in zip(hit, rules)])), 1, 6)
         shown = (top >= 0.9) | (((n >= 2) | (places >= 2)) & (confidence >= 0.35))
         found.append(F.when(shown, F.struct(F.lit(name).alias("name"), confidence.alias("confidence"), evidence.alias("evidence"), n.alias("evidence_count"))))
-    return F.filter(F.array(*found), lambda t: t.isNotNull())
+    return F.array_compact(F.array(*found))
 
 
 def technology_rank(name: Column) -> Column:

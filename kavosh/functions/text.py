@@ -145,6 +145,16 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<(?:a|link)\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
 
 
+def _on(names: tuple[str, ...]):
+    known = "|".join(n.replace(".", "[.]") for n in names)
+    return lambda p: p["host"].rlike(rf"(^|[.])({known})$")
+
+
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` mentions it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def socials(html: Column) -> Column:
     """Map of network to the first profile URL a page links to."""
     links = F.transform(hrefs(html), lambda h: F.when(h.startswith("//"), F.concat(F.lit("https:"), h)).otherwise(F.trim(h)))
@@ -157,7 +167,6 @@ def socials(html: Column) -> Column:
     )
     entries = []
     for network, names in SOCIAL_HOSTS.items():
-        known = "|".join(n.replace(".", "[.]") for n in names)
-        first = F.get(F.filter(parts, lambda p, known=known: p["host"].rlike(rf"(^|[.])({known})$")), F.lit(0))
+        first = F.get(F.filter(parts, _on(names)), F.lit(0))
         entries.append(F.struct(F.lit(network).alias("key"), F.concat(F.lit("https://"), first["host"], first["rest"]).alias("value")))
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))

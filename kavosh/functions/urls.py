@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kavosh.functions.dicts import OTHER_PRIORITY, PRIORITIES, SKIP_EXTENSIONS, TRACKING_PARAMS
-from kavosh.functions.text import is_platform
+from kavosh.functions.text import bound, is_platform
 
 #: Query parameters that only track a visit or a campaign (lower case; a trailing * matches any rest).
 VISIT_PARAMS = (
@@ -77,6 +77,11 @@ def _encoded(text: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
+    """One spelling per URL; see ``_canonical``. The URL is computed once."""
+    return bound(url, _canonical)
+
+
+def _canonical(url: Column) -> Column:
     """One spelling per URL: no fragment, tracking parameters or user info, sorted parameters, lower-case scheme and host.
 
     A path loses its final slashes, an empty one becomes /; an explicit port stays; a URL
@@ -155,7 +160,8 @@ def joined(base: Column, href: Column) -> Column:
         .when((href == "") | href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
         .otherwise(F.concat(folder, href))
     )
-    return F.when(out.rlike(r"/\.{1,2}(/|$|\?|#)"), _resolved(base, href)).otherwise(out)
+    dots = out.rlike(r"/\.{1,2}(/|$|\?|#)")
+    return F.coalesce(_resolved(F.when(dots, base), F.when(dots, href)), out)
 
 
 @F.pandas_udf(T.StringType())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kavosh.functions.dicts import RESOURCE_TYPES
 from kavosh.functions.text import visible_text
 from kavosh.functions.urls import canonical, crawlable, joined, site_key
+from kavosh.sources.tables import spread
 
 _TAGS = (
     ("anchor", r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"),
@@ -43,8 +44,9 @@ def page_links(pages: DataFrame, seeds: tuple[str, ...] = (), tlds: tuple[str, .
     ld = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), lambda j: F.regexp_extract_all(j, F.lit(r"\"(https?://[^\"\s]+)\""), F.lit(1))))
     text = explicit_urls(visible_text(html))
     found = F.concat(*[_typed(F.regexp_extract_all(html, F.lit(p), F.lit(1)), kind, n) for n, (kind, p) in enumerate(_TAGS)], _typed(srcset, "srcset", 12), _typed(refresh, "meta_refresh", 13), _typed(ld, "jsonld", 14), _typed(text, "text_or_script", 15))
-    rows = pages.select(F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "l")).filter("l.href <> '' and not l.href rlike '^(#|javascript:|data:|blob:|mailto:|tel:)'")
+    rows = spread(pages.select("url", "html")).select(F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "l")).filter("l.href <> '' and not l.href rlike '^(#|javascript:|data:|blob:|mailto:|tel:)'")
     edges = rows.withColumn("target_url", canonical(joined(F.col("source_url"), F.regexp_replace("l.href", _TRIMMED, "")))).filter("target_url is not null")
+    edges = edges.select("source_url", "target_url", "pos", "l")
     first = edges.groupBy("source_url", "target_url").agg(F.min_by("l.link_type", F.struct("l.ord", "pos")).alias("link_type"))
     domain = site_key(F.col("target_url"))
     return first.select("source_url", "target_url", domain.alias("target_domain"), (domain != site_key(F.col("source_url"))).alias("external"), crawlable(F.col("target_url"), seeds, tlds).alias("crawlable"), "link_type")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kavosh.sources.tables import spread
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -203,7 +205,7 @@ def split_values(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = tu
             yield pd.DataFrame(out, columns=["id", "field", "pos", "piece", "n"])
 
     narrow = df.select(F.col(id_col).cast("bigint").alias("_k"), *[F.col(f).cast("string").alias(f) for f in fields])
-    return narrow.mapInPandas(walk, "id bigint, field string, pos int, piece string, n int")
+    return spread(narrow).mapInPandas(walk, "id bigint, field string, pos int, piece string, n int")
 
 
 def packed_values(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = tuple(KINDS)) -> DataFrame:

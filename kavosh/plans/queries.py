@@ -12,7 +12,7 @@ from kavosh.functions.dicts import (
     AREA_CODES, CATEGORIES, CITIES, GENERAL, GENERIC_NAMES, MOBILE, OTHER_PRIORITY, PLATFORM_HOSTS, PRIORITIES, QUALITY, SKIP_EXTENSIONS, TECHNOLOGIES, TECHNOLOGY_ORDER, TRACKING_PARAMS,
 )
 from kavosh.operators import contacts, layers, links
-from kavosh.sources.tables import load
+from kavosh.sources.tables import load, spread
 
 c = F.col
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -187,7 +187,7 @@ def _tech_sql() -> str:
 @query(_tech_sql())
 def tech_detect(spark: SparkSession, d: str) -> DataFrame:
     headers = F.when(c("id") % 3 == 0, "server: x; cf-ray: 1").when(c("id") % 3 == 1, "set-cookie: laravel_session=1; xsrf-token").otherwise("")
-    found = pages(spark, d).select("id", F.explode(classify.detect_technologies(c("html"), c("url"), headers)).alias("t"))
+    found = spread(pages(spark, d)).select("id", F.explode(classify.detect_technologies(c("html"), c("url"), headers)).alias("t"))
     return found.select("id", c("t.name").alias("technology"), "t.confidence", "t.evidence_count")
 
 
@@ -406,10 +406,10 @@ def export_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT id, array_to_string(list_distinct_ordered, ',') AS phones, coalesce(nullif(trim(split_part(split_part(coalesce(title, ''), '-', 1), '|', 1)), ''), domain) AS name
+SELECT id, array_to_string(list_distinct_ordered, ',') AS phones, coalesce(nullif(split_part(split_part(coalesce(title, ''), '-', 1), '|', 1), ''), domain) AS name
 FROM (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT *, list_transform(regexp_extract_all(coalesce(phones, ''), '(?:\+98|0098|98|0)?9[0-9]{9}'), lambda h: '0' || right(h, 10)) AS l FROM contacts))""")
 def lite_extract(spark: SparkSession, d: str) -> DataFrame:
     """The reduced profile: mobile numbers by a loose pattern and a name from the title."""
     t = load(spark, d, "contacts")
-    name = F.trim(F.split_part(F.split_part(F.coalesce("title", F.lit("")), F.lit("-"), F.lit(1)), F.lit("|"), F.lit(1)))
+    name = F.split_part(F.split_part(F.coalesce("title", F.lit("")), F.lit("-"), F.lit(1)), F.lit("|"), F.lit(1))
     return t.select("id", F.array_join(phones.lite_phones(c("phones")), ",").alias("phones"), F.coalesce(F.nullif(name, F.lit("")), c("domain")).alias("name"))

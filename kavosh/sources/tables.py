@@ -46,3 +46,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 def fanout(spark: SparkSession, per_core: int = 1) -> int:
     """Number of tasks for a stage that works hard on few bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * per_core)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many splits as there are cores, for stages that work hard on few bytes.
+
+    A table of one small file is read by one task; only such tables are dealt out again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
