@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kavosh.sources.tables import spread
+
 #: Legacy encodings a text may have been read under, likeliest first.
 LEGACY = ("cp1252", "latin_1", "cp1256", "mac_roman", "cp1250", "cp1254", "cp437", "cp850")
 MAX_LAYERS = 4
@@ -166,7 +168,7 @@ def garbled_fields(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] =
             pdf = pdf.assign(restored=[repair(t) for t in pdf["text"]])
             yield pdf.loc[pdf["restored"].notna(), ["id", "field", "restored"]]
 
-    return look.mapInPandas(judge, "id bigint, field string, restored string")
+    return spread(look).mapInPandas(judge, "id bigint, field string, restored string")
 
 
 def is_garbled(text: Column) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kavosh.llm.subtitles import codes, spoken
+from kavosh.sources.tables import spread
 
 Q = 16
 BAND = 32
@@ -159,22 +160,22 @@ def leaks_in(texts: list[str | None], passages: Passages) -> list[tuple[int, int
     place = np.repeat(maybe, n)
     entry = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     item, diagonal = passages.item[entry], place - passages.at[entry] + BAND * 1024
+    ends = np.flatnonzero(y == 2)
+    inside = np.searchsorted(ends, place)  # hits of different documents never share a band
     width = (len(y) + BAND * 2048) // BAND + 2
     found: set[tuple[int, int, int]] = set()
     for shift in (0, BAND // 2):
-        key = item.astype(np.int64) * width + (diagonal + shift) // BAND
-        band, first, count = np.unique(key, return_index=True, return_counts=True)
-        which = band // width
+        key = (item.astype(np.int64) * (len(ends) + 1) + inside) * width + (diagonal + shift) // BAND
+        band, count = np.unique(key, return_counts=True)
+        which = band // width // (len(ends) + 1)
         for at in np.flatnonzero(count >= passages.need[which]):
-            found.add((int(which[at]), int(band[at] % width) * BAND - shift - BAND * 1024, int(place[first[at]])))
+            found.add((int(which[at]), int(band[at] % width) * BAND - shift - BAND * 1024, int(band[at] // width % (len(ends) + 1))))
     if not found:
         return []
-    ends = np.flatnonzero(y == 2)
     xends = np.flatnonzero(x == 2)
     out: dict[tuple[int, int], int] = {}
     cache: dict[int, tuple[list[str], np.ndarray, int]] = {}
-    for which, low, hit in found:
-        doc = int(np.searchsorted(ends, hit))
+    for which, low, doc in found:
         if doc not in cache:
             a, b = (int(xends[doc - 1]) + 1 if doc else 0), (int(xends[doc]) if doc < len(xends) else len(x))
             words, _ = word_list(x[a:b])
@@ -222,4 +223,4 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id") -> Da
                 yield pd.DataFrame([(keys[d], passages.ids[w], r) for d, w, r in found], columns=["doc_id", "item_id", "n_words"])
 
     narrow = documents.select(F.col(id_col).cast("bigint").alias("id"), "text").filter("text is not null")
-    return narrow.mapInPandas(look, "doc_id bigint, item_id bigint, n_words int")
+    return spread(narrow).mapInPandas(look, "doc_id bigint, item_id bigint, n_words int")

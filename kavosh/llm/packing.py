@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavosh.sources.tables import keep
+from kavosh.sources.tables import keep, spread
 
 QUADRATIC = 4096.0
 LOT_TOKENS = 6_000_000
@@ -59,7 +59,7 @@ def token_counts(documents: DataFrame, id_col: str = "doc_id", folder: str = TOK
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["id"], "tokens": [len(encode(t)) if isinstance(t, str) and t else 0 for t in pdf["text"]]})
 
-    return documents.select(F.col(id_col).cast("bigint").alias("id"), "text").filter("id is not null").mapInPandas(count, "doc_id bigint, tokens bigint")
+    return spread(documents.select(F.col(id_col).cast("bigint").alias("id"), "text").filter("id is not null")).mapInPandas(count, "doc_id bigint, tokens bigint")
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kavosh.llm.garble import repaired
+from kavosh.sources.tables import spread
 
 ORDER = 5
 BITS = 18
@@ -202,7 +203,7 @@ def natural_table(texts: DataFrame, column: str) -> np.ndarray:
         kind, bucket = np.nonzero(total)
         yield pd.DataFrame({"kind": kind.astype(np.int32), "bucket": bucket.astype(np.int32), "n": total[kind, bucket].astype(np.float64)})
 
-    rows = texts.select(F.col(column).cast("string").alias("t")).filter("t is not null").mapInPandas(count, "kind int, bucket int, n double")
+    rows = spread(texts.select(F.col(column).cast("string").alias("t")).filter("t is not null")).mapInPandas(count, "kind int, bucket int, n double")
     summed = rows.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 x 2**BITS rows
     table = counts(joined(MENTIONS))
     table[summed["kind"].to_numpy(), summed["bucket"].to_numpy()] += summed["n"].to_numpy().astype(np.float32)
@@ -221,4 +222,4 @@ def residue(df: DataFrame, id_col: str = "id", column: str = "title") -> DataFra
             yield out[out["cover"] >= LEAST_COVER]
 
     narrow = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(column).cast("string").alias("t")).filter("t is not null")
-    return narrow.mapInPandas(judge, "id bigint, ratio double, cover double, model int")
+    return spread(narrow).mapInPandas(judge, "id bigint, ratio double, cover double, model int")

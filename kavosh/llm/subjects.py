@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kavosh.llm.leaks import batches_of
 from kavosh.llm.subtitles import codes, spoken, words
-from kavosh.sources.tables import keep
+from kavosh.sources.tables import keep, spread
 
 #: Words in fewer or more documents than this say too little.
 MIN_SHARE, MAX_SHARE = 0.0005, 0.25
@@ -56,7 +56,7 @@ def cue_words(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pd.DataFrame({"doc_id": pdf["id"].to_numpy(), "words": rows})
 
     narrow = documents.select(F.col(id_col).cast("bigint").alias("id"), "text").filter("text is not null and id is not null")
-    return narrow.mapInPandas(walk, "doc_id bigint, words array<int>")
+    return spread(narrow).mapInPandas(walk, "doc_id bigint, words array<int>")
 
 
 def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
