@@ -33,7 +33,7 @@ LEGACY = ("cp1252", "latin_1", "cp1256", "mac_roman", "cp1250", "cp1254", "cp437
 MAX_LAYERS = 4
 
 #: Java pattern of texts worth a closer look; anything else is clean.
-SUSPICIOUS = r"[\x{80}-\x{ab}\x{ac}-\x{ba}\x{bc}-\x{24f}\x{2c6}-\x{2dc}\x{fffd}]|[\x{2018}-\x{203a}\x{20ac}\x{2122}\x{2200}-\x{25ff}]|\?\?|\p{L}\?\p{L}"
+SUSPICIOUS = r"[\x{80}-\x{ab}\x{ac}-\x{ba}\x{bc}-\x{24f}\x{2c6}-\x{2dc}\x{fffd}]|[\x{2018}-\x{203a}\x{20ac}\x{2122}\x{2200}-\x{25ff}]|\?\?"
 
 
 def _table(encoding: str) -> dict[str, int]:
@@ -52,8 +52,8 @@ _ARABIC = {b: bytes([b]).decode("cp1256") for b in range(0x80, 0x100)}
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WESTERN_RUN = re.compile(r"[^\x00-\x7f؀-ۿ‌]+")
 _STRANGE = re.compile(r"[ƀ-ƑƓ-ʯͰ-׿܀-῿⁥-⁯✀-\U0010ffff؀-؋ؐ-ؚ؜-؞ٮ-ٰٵ-ٽڀ-څڇڊ-ڍڏ-ڗڙ-ڨڪ-ڮڰ-ڽڿ-ۋۍ-ۯ]")
-_LOOK = re.compile(r"[\x80-\xba\xbc-ɏˆ-˜�‘-›€™∀-◿]|\?\?|[^\W\d_]\?[^\W\d_]")
-_LOST = re.compile(r"�|(?:^|(?<=[\s«\"'(|]))\?{2,}(?=$|[\s»\"')|])|[^\W\d_]\?+[^\W\d_]")
+_LOOK = re.compile(r"[\x80-\xba\xbc-ɏˆ-˜�‘-›€™∀-◿]|\?\?")
+_LOST = re.compile(r"�|(?:^|(?<=[\s«\"'(|]))\?{2,}(?=$|[\s»\"')|])")
 _ODD = re.compile(r"[\x80-\x9f\xa1-\xa9\xac-\xb6\xb8-\xba\xbc-\xbfƒˆ-˜†-•‰‹›€™∀-◿�]")
 _LETTER_RUN = re.compile(r"[\xc0-ɏ]{2,}")
 _MIXED = re.compile(r"[a-z][؀-ۿ]|[؀-ۿ][a-z]|[\xc0-ɏ][؀-ۿ]|[؀-ۿ][\xc0-ɏ]", re.I)

@@ -33,8 +33,8 @@ from kavosh.llm.leaks import batches_of
 from kavosh.llm.subtitles import codes, spoken, words
 from kavosh.sources.tables import keep, spread
 
-#: Words in fewer or more documents than this say too little.
-MIN_SHARE, MAX_SHARE = 0.0005, 0.25
+#: Words in fewer or more documents than this say too little; a subject may well take up a third of a corpus.
+MIN_SHARE, MAX_SHARE = 0.0005, 0.5
 ROUNDS = 2
 #: Share of a document's subject-bearing cues that makes a subject its own.
 LEAST = 0.2
