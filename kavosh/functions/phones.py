@@ -83,7 +83,8 @@ def phones_of_kind(phones: Column, kind: str) -> Column:
 
 def normalize_phones(phones: Column) -> Column:
     """National forms of the valid numbers of an array, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(phones, normalize_iranian), lambda p: classify_phone(p) != ""))
+    valid = F.filter(F.array_distinct(phones), lambda p: classify_phone(p) != "")  # a national form has the kind of what it stands for
+    return F.array_distinct(F.transform(valid, lambda p: normalize_iranian(p)))
 
 
 _PREFIX = r"(?:\+?98|0098)"

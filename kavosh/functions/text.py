@@ -95,13 +95,17 @@ def meta(html: Column, key: str) -> Column:
 
 def business_name(html: Column, domain: Column) -> Column:
     """A page's business: metadata first, then JSON-LD, then the title's first part, then the domain."""
-    title = page_title(html)
-    part = title
-    for mark in (" – ", " — ", " | ", " - "):
-        part = F.when(title.contains(mark), F.trim(F.substring_index(title, mark, 1))).otherwise(part)
-    short = lambda c: F.when((c != "") & (F.length(c) <= 180), c)
+    short = lambda c: bound(c, lambda x: F.when((x != "") & (F.length(x) <= 180), x))
     ld = F.regexp_extract(html, r'(?is)"name"\s*:\s*"([^"]{2,180})"', 1)
-    return F.coalesce(*[short(meta(html, k)) for k in ("og:site_name", "application-name", "name")], short(F.trim(ld)), F.when(part != "", F.substring(part, 1, 180)), domain)
+    return F.coalesce(*[short(meta(html, k)) for k in ("og:site_name", "application-name", "name")], short(F.trim(ld)), bound(page_title(html), _first_part), domain)
+
+
+def _first_part(title: Column) -> Column:
+    """A title up to the first mark that it has, marks tried in order; NULL for an empty one."""
+    part = F.when(title != "", F.substring(title, 1, 180))
+    for mark in (" – ", " — ", " | ", " - "):
+        part = F.when(title.contains(mark), F.substring(F.trim(F.substring_index(title, mark, 1)), 1, 180)).otherwise(part)
+    return F.nullif(part, F.lit(""))
 
 
 def clean_business_name(value: Column, domain: Column) -> Column:
@@ -165,8 +169,11 @@ def socials(html: Column) -> Column:
             F.regexp_extract(h, r"(?i)^https?://[^/?#]*([^#]*)", 1).alias("rest"),
         ),
     )
-    entries = []
-    for network, names in SOCIAL_HOSTS.items():
-        first = F.get(F.filter(parts, _on(names)), F.lit(0))
-        entries.append(F.struct(F.lit(network).alias("key"), F.concat(F.lit("https://"), first["host"], first["rest"]).alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    def networks(parts: Column) -> Column:
+        entries = []
+        for network, names in SOCIAL_HOSTS.items():
+            first = F.get(F.filter(parts, _on(names)), F.lit(0))
+            entries.append(bound(first, lambda p, n=F.lit(network): F.when(p.isNotNull(), F.struct(n.alias("key"), F.concat(F.lit("https://"), p["host"], p["rest"]).alias("value")))))
+        return F.array_compact(F.array(*entries))
+
+    return F.map_from_entries(bound(parts, networks))

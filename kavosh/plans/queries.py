@@ -11,7 +11,7 @@ from kavosh.functions import classify, phones, text, urls
 from kavosh.functions.dicts import (
     AREA_CODES, CATEGORIES, CITIES, GENERAL, GENERIC_NAMES, MOBILE, OTHER_PRIORITY, PLATFORM_HOSTS, PRIORITIES, QUALITY, SKIP_EXTENSIONS, TECHNOLOGIES, TECHNOLOGY_ORDER, TRACKING_PARAMS,
 )
-from kavosh.operators import contacts, layers, links
+from kavosh.operators import contacts, extract, layers, links
 from kavosh.sources.tables import load, spread
 
 c = F.col
@@ -413,3 +413,45 @@ def lite_extract(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d, "contacts")
     name = F.split_part(F.split_part(F.coalesce("title", F.lit("")), F.lit("-"), F.lit(1)), F.lit("|"), F.lit(1))
     return t.select("id", F.array_join(phones.lite_phones(c("phones")), ",").alias("phones"), F.coalesce(F.nullif(name, F.lit("")), c("domain")).alias("name"))
+
+
+@query()
+def page_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Contact rows extracted from the pages; look-around patterns, so no SQL (tested on known pages)."""
+    return extract.at_rest(extract.extract(pages(spark, d), F.lit("2024-01-01").cast("timestamp"))).drop("evidence")
+
+
+@query("SELECT domain, technology, confidence FROM site_technology_evidence WHERE domain = (SELECT min(domain) FROM site_technology_evidence)")
+def site_technologies(spark: SparkSession, d: str) -> DataFrame:
+    """Technologies of one site, most certain first."""
+    t = load(spark, d, "site_technology_evidence")
+    first = t.agg(F.min("domain").alias("domain"))
+    return t.join(F.broadcast(first), "domain").select("domain", "technology", "confidence").orderBy(c("confidence").desc(), "technology")  # one row
+
+
+@query("""
+WITH j AS (SELECT c.domain, e.key AS network, CASE WHEN e.type = 'VARCHAR' THEN e.value ->> '$' ELSE e.value::VARCHAR END AS profile FROM (SELECT coalesce(domain, '') AS domain, socials FROM contacts WHERE json_valid(socials) AND json_type(socials) = 'OBJECT') c, json_each(c.socials) e),
+k AS (SELECT DISTINCT coalesce(domain, '') AS domain FROM contacts WHERE json_valid(socials) AND json_type(socials) = 'OBJECT')
+SELECT k.domain, coalesce(min(profile) FILTER (WHERE network = 'instagram'), '') AS social_instagram, coalesce(min(profile) FILTER (WHERE network = 'telegram'), '') AS social_telegram, coalesce(min(profile) FILTER (WHERE network = 'youtube'), '') AS social_youtube
+FROM k LEFT JOIN j ON k.domain = j.domain AND trim(profile) <> '' GROUP BY 1""")
+def export_socials(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "contacts").filter("try_parse_json(socials) is not null and socials like '{%'").select(F.coalesce("domain", F.lit("")).alias("domain"), "socials")
+    return extract.wide_socials(rows, networks=["instagram", "telegram", "youtube"])
+
+
+@query("""
+SELECT domain, count(DISTINCT source_url) AS n_pages, min(source_url) AS evidence_pages_1 FROM (SELECT coalesce(domain, '') AS domain, source_url FROM contacts WHERE source_url IS NOT NULL) GROUP BY 1""")
+def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
+    e = F.to_json(F.struct(c("source_url").alias("page"), F.create_map(F.lit("phones"), F.array("source_url")).alias("field_sources"), F.lit(1).alias("tel_links"), F.lit(0).alias("mailto_links")))
+    rows = load(spark, d, "contacts").filter("source_url is not null").select(F.coalesce("domain", F.lit("")).alias("domain"), e.alias("evidence"))
+    merged = extract.merged_evidence(rows)
+    return extract.wide_evidence(merged, width=1).join(merged.select("domain", F.size("pages").cast("bigint").alias("n_pages")), "domain").select("domain", "n_pages", "evidence_pages_1")
+
+
+@query(f"""
+WITH p AS ({PAGES}), m AS (SELECT id, lower(html) AS h FROM p)
+SELECT id, array_to_string(list_filter([{", ".join("CASE WHEN " + " OR ".join(f"contains(h, {_q(m)})" for m in ms) + f" THEN {_q(n)} END" for n, ms in extract.LITE_TECHNOLOGIES.items())}], lambda x: x IS NOT NULL), ',') AS technologies FROM m""")
+def lite_technologies(spark: SparkSession, d: str) -> DataFrame:
+    """Technologies by the reduced profile's marks, names alone."""
+    names = F.transform(extract.lite_technologies(c("html")), lambda t: F.split_part(t, F.lit("("), F.lit(1)))
+    return pages(spark, d).select("id", F.array_join(names, ",").alias("technologies"))

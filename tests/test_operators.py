@@ -163,3 +163,31 @@ def test_searches(spark):
     assert contacts.search(df, "gol").count() == 2 and contacts.search(df, "gol", "wordp", "t").count() == 1 and contacts.search(df).count() == 3
     e = spark.createDataFrame([(i, i % 2 == 0) for i in range(10)], "id int, external boolean").withColumns({"crawlable": F.lit(True), "source_url": F.lit("a"), "target_url": F.lit("b"), "target_domain": F.lit("c")})
     assert [r["id"] for r in links.page_of(links.search_links(e, "", True), 2, 2, F.col("id").desc()).collect()] == [4, 2]
+
+
+RICH = """<html><head><title>Nur Foods | Home</title><script type="application/ld+json">{"@type": "Store", "telephone": "+98 21 8877 6655", "sameAs": ["https://t.me/nur"], "contactPoint": {"email": "ld@nur.ir"}}</script>
+<script type="application/ld+json">{broken</script></head><body class="woocommerce"><p>تهران call 0912 345 6789</p><a href="tel:+989121112233">t</a><a href="mailto:Info@nur.ir?subject=x">m</a><a href="https://instagram.com/nur">i</a>
+<address>Tehran, Bagh Street, No 12</address><a href="/contact">c</a><a href="https://other.ir/">o</a></body></html>"""
+
+
+def test_extract(spark):
+    from kavosh.operators import extract
+
+    rows = extract.extract(spark.createDataFrame([("https://www.nur.ir/", RICH), ("https://x.ir/", "<p>nothing</p>"), ("https://y.ir/", None)], "url string, html string"))
+    got = {r["domain"]: r for r in rows.collect()}
+    nur = got["nur.ir"]
+    assert set(got) == {"nur.ir", "x.ir"}
+    assert nur["phones"] == ["+98 21 8877 6655", "09121112233", "09123456789"] or nur["phones"] == ["02188776655", "09121112233", "09123456789"]
+    assert nur["emails"] == ["info@nur.ir", "ld@nur.ir"] and nur["city"] == "تهران" and nur["business_name"] == "Nur Foods" and nur["address"] == "Tehran, Bagh Street, No 12"
+    assert nur["quality_score"] == 1.0 and nur["evidence"]["tel_links"] == 1 and nur["evidence"]["mailto_links"] == 1 and [t["name"] for t in nur["technologies"]] == ["WooCommerce"]
+    assert got["x.ir"]["phones"] == [] and got["x.ir"]["category"] == "عمومی"
+    stored = extract.at_rest(rows)
+    assert stored.filter("domain = 'nur.ir'").first()["emails"] == "info@nur.ir,ld@nur.ir"
+    merged = {r["domain"]: r for r in extract.merged_evidence(stored.unionByName(stored)).collect()}
+    assert merged["nur.ir"]["tel_links"] == 2 and merged["nur.ir"]["pages"] == ["https://www.nur.ir/"] and merged["x.ir"]["field_sources"]["phones"] == []
+    assert extract.wide_evidence(extract.merged_evidence(stored)).count() == 2
+    wide = {r["domain"]: r.asDict() for r in extract.wide_socials(stored).collect()}
+    assert wide["nur.ir"]["social_instagram"] == "https://instagram.com/nur" and wide["x.ir"]["social_instagram"] == ""
+    page = spark.createDataFrame([("https://www.nur.ir/", RICH)], "url string, html string")
+    lite = page.select(extract.lite_same_host_links(F.col("url"), F.col("html")), extract.lite_technologies(F.col("html")), extract.jsonld_urls(extract.jsonld_blocks(F.col("html")))).first()
+    assert lite[0] == ["https://www.nur.ir/contact"] and lite[1] == ["WooCommerce(1.0)"] and lite[2] == ["https://t.me/nur"] and extract.safe_name("a b!") == "a_b"
