@@ -79,7 +79,7 @@ def _decode(text: str, at: int, quote: str) -> tuple[str, int] | None:
                 i += 2
                 continue
             s = "".join(out)
-            if "\ud800" <= max(s, default="") <= "\udfff":
+            if any("\ud800" <= c <= "\udfff" for c in s):  # two escapes for one character
                 s = s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
             return s, i + 1
         else:
