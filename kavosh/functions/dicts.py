@@ -106,3 +106,8 @@ OTHER_PRIORITY = 5
 
 # Weights of the parts of a quality score.
 QUALITY = {"phones": 0.35, "emails": 0.25, "socials": 0.10, "technologies": 0.10, "name": 0.10, "city": 0.10, "address": 0.10}
+
+# Forms of e-mail addresses in free text, as stored, and in the reduced profile.
+EMAIL_IN_TEXT = r"(?U)(?<![\w.+-])([a-zA-Z0-9][a-zA-Z0-9._%+\-]{0,63}@[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z]{2,63})+)(?![\w.-])"
+EMAIL_STORED = r"^[a-z0-9][a-z0-9._%+\-]*@[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:\.[a-z0-9\-]+)*\.[a-z]{2,63}$"
+EMAIL_LITE = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"

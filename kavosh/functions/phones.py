@@ -87,6 +87,7 @@ def normalize_phones(phones: Column) -> Column:
     return F.array_distinct(F.transform(valid, lambda p: normalize_iranian(p)))
 
 
+# Forms of numbers in free text, compact and with separators.
 _PREFIX = r"(?:\+?98|0098)"
 _SPACED = r"[\s()-]*"
 _CODES = "|".join(AREA_CODES)

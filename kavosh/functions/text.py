@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kavosh.functions.dicts import CATEGORIES, CITIES, GENERAL, GENERIC_NAMES, PLATFORM_HOSTS, SOCIAL_HOSTS
+from kavosh.functions.dicts import CATEGORIES, CITIES, EMAIL_IN_TEXT, EMAIL_LITE, EMAIL_STORED, GENERAL, GENERIC_NAMES, PLATFORM_HOSTS, SOCIAL_HOSTS
 
 
 def plain(text: Column) -> Column:
@@ -46,8 +46,7 @@ def detect_category(text: Column, domain: Column) -> Column:
 
 def extract_emails(text: Column) -> Column:
     """Sorted distinct e-mail addresses of a free text, in lower case."""
-    pattern = r"(?U)(?<![\w.+-])([a-zA-Z0-9][a-zA-Z0-9._%+\-]{0,63}@[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z]{2,63})+)(?![\w.-])"
-    found = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), "​‌", ""), F.lit(pattern), F.lit(1))
+    found = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), "​‌", ""), F.lit(EMAIL_IN_TEXT), F.lit(1))
     lower = F.transform(found, lambda e: F.lower(F.regexp_replace(e, r"^[.,;:()\[\]{}<>]+|[.,;:()\[\]{}<>]+$", "")))
     return F.array_sort(F.array_distinct(F.filter(lower, lambda e: ~e.contains("..") & (F.length(e) <= 254))))
 
@@ -55,12 +54,12 @@ def extract_emails(text: Column) -> Column:
 def normalize_emails(emails: Column) -> Column:
     """The valid addresses of an array, lower case, each once, in order."""
     lower = F.transform(emails, lambda e: F.lower(F.trim(e)))
-    return F.array_distinct(F.filter(lower, lambda e: e.rlike(r"^[a-z0-9][a-z0-9._%+\-]*@[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:\.[a-z0-9\-]+)*\.[a-z]{2,63}$") & ~e.contains("..") & (F.length(e) <= 254)))
+    return F.array_distinct(F.filter(lower, lambda e: e.rlike(EMAIL_STORED) & ~e.contains("..") & (F.length(e) <= 254)))
 
 
 def lite_emails(text: Column) -> Column:
     """The reduced profile: addresses by a loose pattern, lower case, in order of appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL_LITE), F.lit(0)), F.lower))
 
 
 @F.pandas_udf(T.StringType())
