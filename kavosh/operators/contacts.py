@@ -132,6 +132,21 @@ def technology_evidence(df: DataFrame) -> DataFrame:
     )
 
 
+def cells(sites_df: DataFrame) -> DataFrame:
+    """(domain, kind, pos, value): every value of the wide export as a row, however many a site has.
+
+    kind is phone, tel, email or technology, pos the place among the site's values of the kind. Long, as the widest
+    site sets the number of columns of a wide table, and misspelt technologies are names of their own.
+    """
+    forms = F.array_distinct(F.transform(split_list(F.col("phones")), normalize_iranian))
+    names = F.transform(split_list(F.col("technologies"), ";"), lambda t: F.trim(F.split_part(t, F.lit("("), F.lit(1))))
+    of = lambda kind: F.filter("_p", lambda p: classify_phone(p) == kind)
+    df = sites_df.select("domain", forms.alias("_p"), split_list(F.col("emails")).alias("email"), F.array_distinct(F.filter(names, lambda t: t != "")).alias("technology"))
+    kinds = F.create_map(F.lit("phone"), of("mobile"), F.lit("tel"), of("landline"), F.lit("email"), F.col("email"), F.lit("technology"), F.col("technology"))
+    lists = df.select("domain", F.explode(kinds).alias("kind", "values"))
+    return lists.select("domain", "kind", F.posexplode("values").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
+
+
 def wide(sites_df: DataFrame, n_phones: int | None = None, n_emails: int | None = None, technologies: list[str] | None = None) -> DataFrame:
     """Site rows with one value per cell: phone_1.., tel_1.., email_1.., technology_1.. columns, '' where there is none.
 

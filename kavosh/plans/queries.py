@@ -400,11 +400,31 @@ def _wide_sql() -> str:
 
 @query(_wide_sql())
 def export_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Every contact as a row of single-value cells, with fixed widths."""
+    """Every contact as a row of single-value cells, cut at fixed widths; ``export_cells`` has all values of the merged sites."""
     rows = load(spark, d, "contacts").select(c("id").cast("string").alias("domain"), "phones", "emails", "technologies")
     return contacts.wide(rows, 3, 3, list(TECHNOLOGY_ORDER))
 
 
+def _cells_sql() -> str:
+    def split(x: str, by: str) -> str:
+        s = f"string_split(coalesce({x}, ''), '{by}')"
+        return f"SELECT domain, trim(v) AS raw, o * 100000 + i AS place FROM (SELECT domain, o, unnest({s}) AS v, generate_subscripts({s}, 1) AS i FROM r) WHERE trim(v) <> ''"
+
+    return f"""
+WITH r AS MATERIALIZED (SELECT coalesce(domain, '') AS domain, phones, emails, technologies, row_number() OVER (PARTITION BY coalesce(domain, '') ORDER BY crawled_at DESC NULLS LAST, id) AS o FROM contacts),
+n AS (SELECT domain, raw, place, {_NATIONAL} AS n FROM ({split("phones", ",")})),
+v AS (SELECT domain, CASE {_kind("n")} WHEN 'mobile' THEN 'phone' WHEN 'landline' THEN 'tel' END AS kind, CASE WHEN regexp_full_match(n, '9[0-9]{{9}}') THEN '0' || n WHEN regexp_full_match(n, '0[0-9]{{10}}') THEN n ELSE raw END AS value, place FROM n
+  UNION ALL SELECT domain, 'email', raw, place FROM ({split("emails", ",")})
+  UNION ALL SELECT domain, 'technology', trim(split_part(raw, '(', 1)), place FROM ({split("technologies", ";")}))
+SELECT domain, kind, row_number() OVER (PARTITION BY domain, kind ORDER BY min(place))::INT AS pos, value FROM v WHERE kind IS NOT NULL AND value <> '' GROUP BY domain, kind, value"""
+
+
+@query(_cells_sql())
+def export_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Every number, e-mail and technology of the merged sites, one to a row."""
+    return contacts.cells(contacts.sites(load(spark, d, "contacts")))
+
+
 @query(r"""
 SELECT id, array_to_string(list_distinct_ordered, ',') AS phones, coalesce(nullif(split_part(split_part(coalesce(title, ''), '-', 1), '|', 1), ''), domain) AS name
 FROM (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT *, list_transform(regexp_extract_all(coalesce(phones, ''), '(?:\+98|0098|98|0)?9[0-9]{9}'), lambda h: '0' || right(h, 10)) AS l FROM contacts))""")

@@ -125,6 +125,15 @@ def test_sites_and_wide(spark):
     assert (w["phone_1"], w["tel_1"], w["email_2"]) == ("09121111111", "02112345678", "a@x.ir") and [w[f"technology_{i}"] for i in (1, 2, 3)] == ["WordPress", "jQuery", "Zeta"]
 
 
+def test_cells_keep_every_value(spark):
+    mobiles, mails = [f"0912111110{i}" for i in range(6)], [f"m{i}@x.ir" for i in range(5)]
+    rows = [(1, "x.ir", ",".join(mobiles[:3]), ",".join(mails), "jQuery; Asan-Pay"), (2, "x.ir", ",".join(mobiles[3:]) + ",02112345678", "m0@x.ir", "C++ Gateway (0.5);(0.1)"), (3, "y.ir", None, None, "Asan-Pay")]
+    df = spark.createDataFrame(rows, "id int, domain string, phones string, emails string, technologies string").withColumns({x: F.lit(None).cast("string") for x in ("source_url", "title", "address", "business_name", "category", "city")} | {"crawled_at": F.lit("2024-01-01T00:00:00")} | {"quality_score": F.lit(1.0)})
+    got = sorted(tuple(r) for r in contacts.cells(contacts.sites(df)).collect())
+    want = [("x.ir", "phone", i + 1, v) for i, v in enumerate(mobiles)] + [("x.ir", "tel", 1, "02112345678")] + [("x.ir", "email", i + 1, v) for i, v in enumerate(mails)]
+    assert got == sorted(want + [("x.ir", "technology", i + 1, v) for i, v in enumerate(["jQuery", "Asan-Pay", "C++ Gateway"])] + [("y.ir", "technology", 1, "Asan-Pay")])
+
+
 def test_insert_ignore_and_stream(spark, tmp_path):
     schema = "id int, source_url string, phones string, crawled_at timestamp"
     batch = spark.createDataFrame([(1, "a", "1"), (2, "a", "1"), (3, "a", None), (4, "b", "1"), (5, "a", "")], "id int, source_url string, phones string").withColumn("crawled_at", F.timestamp_seconds(F.col("id") * 86400))
