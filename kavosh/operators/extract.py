@@ -104,20 +104,40 @@ def at_rest(rows: DataFrame) -> DataFrame:
     })
 
 
-def merged_evidence(rows: DataFrame, key: str = "domain", column: str = "evidence") -> DataFrame:
+# Keys of evidence that are no fields.
+EVIDENCE_KEYS = ("page", "field_sources", "tel_links", "mailto_links")
+
+
+def flat_sources(evidence: Column) -> Column:
+    """Sources by field where evidence names the fields themselves, each with a list or a single source."""
+    fields = F.map_filter(F.from_json(evidence, "map<string,string>"), lambda k, v: ~k.isin(*EVIDENCE_KEYS))
+    return F.transform_values(fields, lambda k, v: F.when(v.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(F.when(v.startswith("["), v), "array<string>"), F.array(v))))
+
+
+def merged_evidence(rows: DataFrame, key: str = "domain", column: str = "evidence", page: str | None = None) -> DataFrame:
     """(key, pages, field_sources, tel_links, mailto_links): a site's evidence, from JSON of its rows.
 
     Pages and sources are made distinct before they are gathered; fields without a source keep
-    an empty list. Broken JSON counts as nothing.
+    an empty list. Broken JSON counts as nothing. page: a column that names the page where the evidence doesn't.
     """
     schema = "page string, field_sources map<string,array<string>>, tel_links int, mailto_links int"
-    parsed = rows.select(key, F.from_json(column, schema).alias("e")).filter("e is not null")
+    e = F.from_json(F.coalesce(column, F.lit("{}")) if page else F.col(column), schema)
+    parsed = rows.select(key, e.alias("e"), flat_sources(F.col(column)).alias("flat"), (F.col(page) if page else F.lit(None)).alias("p")).filter("e is not null")
+    parsed = parsed.withColumn("e", F.struct(F.coalesce("e.page", "p").alias("page"), F.coalesce("e.field_sources", "flat").alias("field_sources"), "e.tel_links", "e.mailto_links"))
     sums = parsed.groupBy(key).agg(F.sum(F.greatest(F.coalesce("e.tel_links", F.lit(0)), F.lit(0))).alias("tel_links"), F.sum(F.greatest(F.coalesce("e.mailto_links", F.lit(0)), F.lit(0))).alias("mailto_links"), F.array_sort(F.collect_set("e.page")).alias("pages"))
     sources = parsed.select(key, F.explode("e.field_sources").alias("field", "urls")).select(key, "field", F.explode_outer("urls").alias("u")).groupBy(key, "field").agg(F.array_sort(F.collect_set("u")).alias("urls"))
     maps = sources.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "urls")))).alias("field_sources"))
     return sums.join(maps, key, "left")
 
 
+def evidence_rows(merged: DataFrame, key: str = "domain") -> DataFrame:
+    """(key, field, pos, value): all of merged evidence, one value to a row: each page, each source of each field, and counts of links that aren't 0."""
+    count = lambda c: F.filter(F.array(F.col(c).cast("string")), lambda v: v != "0")
+    own = F.create_map(F.lit("page"), F.col("pages"), F.lit("tel_links"), count("tel_links"), F.lit("mailto_links"), count("mailto_links"))
+    lists = merged.select(key, F.explode(F.concat(F.map_entries(own), F.coalesce(F.map_entries("field_sources"), F.map_entries(F.map_filter(own, lambda k, v: F.lit(False)))))).alias("x"))
+    return lists.select(key, F.col("x.key").alias("field"), F.posexplode("x.value").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
+
+
 def safe_name(name: str) -> str:
     """A value as part of a column name."""
     return "".join(ch if ch.isalnum() else "_" for ch in name).strip("_").lower() or "unknown"

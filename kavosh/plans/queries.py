@@ -462,12 +462,27 @@ def export_socials(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT domain, count(DISTINCT source_url) AS n_pages, min(source_url) AS evidence_pages_1 FROM (SELECT coalesce(domain, '') AS domain, source_url FROM contacts WHERE source_url IS NOT NULL) GROUP BY 1""")
 def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a site counted, the first one named; ``evidence_sources`` has all pages and sources."""
     e = F.to_json(F.struct(c("source_url").alias("page"), F.create_map(F.lit("phones"), F.array("source_url")).alias("field_sources"), F.lit(1).alias("tel_links"), F.lit(0).alias("mailto_links")))
     rows = load(spark, d, "contacts").filter("source_url is not null").select(F.coalesce("domain", F.lit("")).alias("domain"), e.alias("evidence"))
     merged = extract.merged_evidence(rows)
     return extract.wide_evidence(merged, width=1).join(merged.select("domain", F.size("pages").cast("bigint").alias("n_pages")), "domain").select("domain", "n_pages", "evidence_pages_1")
 
 
+@query("""
+WITH c AS (SELECT coalesce(domain, '') AS domain, source_url, CASE WHEN json_valid(evidence) AND json_type(evidence) = 'OBJECT' THEN evidence::JSON ELSE '{}'::JSON END AS e FROM contacts),
+s AS (SELECT domain, j.key AS field, CASE WHEN j.type = 'ARRAY' THEN from_json(j.value, '["VARCHAR"]') ELSE [j.value ->> '$'] END AS l FROM (SELECT domain, CASE WHEN json_exists(e, '$.field_sources') THEN e -> 'field_sources' ELSE e END AS f FROM c) x, json_each(x.f) j
+  WHERE j.key NOT IN ('page', 'field_sources', 'tel_links', 'mailto_links')),
+v AS (SELECT DISTINCT domain, field, value FROM (SELECT domain, field, unnest(l) AS value FROM s UNION ALL SELECT domain, 'page', coalesce(e ->> 'page', source_url) FROM c) WHERE value IS NOT NULL),
+n AS (SELECT domain, sum(greatest(coalesce((e ->> 'tel_links')::INT, 0), 0)) AS t, sum(greatest(coalesce((e ->> 'mailto_links')::INT, 0), 0)) AS m FROM c GROUP BY 1)
+SELECT domain, field, row_number() OVER (PARTITION BY domain, field ORDER BY value)::INT AS pos, value FROM v
+UNION ALL SELECT domain, 'tel_links', 1, t::VARCHAR FROM n WHERE t <> 0 UNION ALL SELECT domain, 'mailto_links', 1, m::VARCHAR FROM n WHERE m <> 0""")
+def evidence_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Every page of a site and every source of its fields, from the evidence of all rows."""
+    rows = load(spark, d, "contacts").select(F.coalesce("domain", F.lit("")).alias("domain"), "source_url", "evidence")
+    return extract.evidence_rows(extract.merged_evidence(rows, page="source_url"))
+
+
 @query(f"""
 WITH p AS ({PAGES}), m AS (SELECT id, lower(html) AS h FROM p)
 SELECT id, array_to_string(list_filter([{", ".join("CASE WHEN " + " OR ".join(f"contains(h, {_q(m)})" for m in ms) + f" THEN {_q(n)} END" for n, ms in extract.LITE_TECHNOLOGIES.items())}], lambda x: x IS NOT NULL), ',') AS technologies FROM m""")

@@ -200,3 +200,21 @@ def test_extract(spark):
     page = spark.createDataFrame([("https://www.nur.ir/", RICH)], "url string, html string")
     lite = page.select(extract.lite_same_host_links(F.col("url"), F.col("html")), extract.lite_technologies(F.col("html")), extract.jsonld_urls(extract.jsonld_blocks(F.col("html")))).first()
     assert lite[0] == ["https://www.nur.ir/contact"] and lite[1] == ["WooCommerce(1.0)"] and lite[2] == ["https://t.me/nur"] and extract.safe_name("a b!") == "a_b"
+
+
+def test_evidence_keeps_every_page_and_source(spark):
+    from kavosh.operators import extract
+
+    rows = [
+        ("x.ir", "u1", '{"phones": ["u1", "u2"], "address": "schema.org"}'), ("x.ir", "u3", '{"phones": ["u3"], "address": "address tag", "city": null}'), ("x.ir", "u2", None), ("x.ir", "u4", "{broken"), ("y.ir", None, "{}"),
+        ("z.ir", "u5", '{"page": "p5", "field_sources": {"emails": ["p5"], "city": []}, "tel_links": 2, "technologies": ["React"]}'), ("z.ir", "u6", '{"field_sources": {"emails": ["p6"]}, "tel_links": 1}'),
+    ]
+    df = spark.createDataFrame(rows, "domain string, source_url string, evidence string")
+    got = {}
+    for r in sorted(extract.evidence_rows(extract.merged_evidence(df, page="source_url")).collect()):
+        got.setdefault((r["domain"], r["field"]), []).append((r["pos"], r["value"]))
+    assert {k: [v for _, v in x] for k, x in got.items()} == {
+        ("x.ir", "page"): ["u1", "u2", "u3", "u4"], ("x.ir", "phones"): ["u1", "u2", "u3"], ("x.ir", "address"): ["address tag", "schema.org"],
+        ("z.ir", "page"): ["p5", "u6"], ("z.ir", "emails"): ["p5", "p6"], ("z.ir", "tel_links"): ["3"],
+    }
+    assert all([p for p, _ in x] == list(range(1, len(x) + 1)) for x in got.values())
