@@ -130,6 +130,17 @@ def merged_evidence(rows: DataFrame, key: str = "domain", column: str = "evidenc
     return sums.join(maps, key, "left")
 
 
+def profile_rows(rows: DataFrame, key: str = "domain", column: str = "socials") -> DataFrame:
+    """(key, network, pos, profile): every profile of every network of a key, each once, in order of its first row (crawled_at, latest first, then id)."""
+    late = F.lit(0) - F.coalesce(F.unix_micros(F.col("crawled_at").try_cast("timestamp")), F.lit(-(2**60)))
+    pairs = rows.select(key, late.alias("late"), "id", F.explode(F.from_json(column, "map<string,string>")).alias("network", "v")).filter("v is not null")
+    several = F.coalesce(F.from_json(F.when(F.col("v").startswith("["), F.col("v")), "array<string>"), F.array("v"))
+    each = pairs.select(key, "network", "late", "id", F.posexplode(several).alias("i", "profile")).withColumn("profile", F.trim("profile")).filter("profile <> ''")
+    first = each.groupBy(key, "network", "profile").agg(F.min(F.struct("late", "id", "i")).alias("at"))
+    lists = first.groupBy(key, "network").agg(F.array_sort(F.collect_list(F.struct("at", "profile"))).alias("l"))
+    return lists.select(key, "network", F.posexplode("l").alias("pos", "x")).select(key, "network", (F.col("pos") + 1).alias("pos"), F.col("x.profile").alias("profile"))
+
+
 def evidence_rows(merged: DataFrame, key: str = "domain") -> DataFrame:
     """(key, field, pos, value): all of merged evidence, one value to a row: each page, each source of each field, and counts of links that aren't 0."""
     count = lambda c: F.filter(F.array(F.col(c).cast("string")), lambda v: v != "0")

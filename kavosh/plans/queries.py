@@ -455,10 +455,22 @@ k AS (SELECT DISTINCT coalesce(domain, '') AS domain FROM contacts WHERE json_va
 SELECT k.domain, coalesce(min(profile) FILTER (WHERE network = 'instagram'), '') AS social_instagram, coalesce(min(profile) FILTER (WHERE network = 'telegram'), '') AS social_telegram, coalesce(min(profile) FILTER (WHERE network = 'youtube'), '') AS social_youtube
 FROM k LEFT JOIN j ON k.domain = j.domain AND trim(profile) <> '' GROUP BY 1""")
 def export_socials(spark: SparkSession, d: str) -> DataFrame:
+    """One profile a site of three networks; ``export_profiles`` has all of all networks."""
     rows = load(spark, d, "contacts").filter("try_parse_json(socials) is not null and socials like '{%'").select(F.coalesce("domain", F.lit("")).alias("domain"), "socials")
     return extract.wide_socials(rows, networks=["instagram", "telegram", "youtube"])
 
 
+@query("""
+WITH r AS (SELECT coalesce(domain, '') AS domain, socials, row_number() OVER (ORDER BY crawled_at DESC NULLS LAST, id) AS o FROM contacts WHERE json_valid(socials) AND json_type(socials) = 'OBJECT'),
+j AS (SELECT domain, o, e.key AS network, CASE WHEN e.type = 'ARRAY' THEN from_json(e.value, '["VARCHAR"]') ELSE [e.value ->> '$'] END AS l FROM r, json_each(r.socials) e),
+k AS (SELECT domain, network, trim(v) AS profile, min(o * 1000 + i) AS place FROM (SELECT domain, o, network, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM j) WHERE trim(v) <> '' GROUP BY ALL)
+SELECT domain, network, row_number() OVER (PARTITION BY domain, network ORDER BY place)::INT AS pos, profile FROM k""")
+def export_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Every profile of a site's JSON socials, of whatever network, one to a row."""
+    rows = load(spark, d, "contacts").filter(F.try_parse_json("socials").isNotNull()).withColumn("domain", F.coalesce("domain", F.lit("")))
+    return extract.profile_rows(rows)
+
+
 @query("""
 SELECT domain, count(DISTINCT source_url) AS n_pages, min(source_url) AS evidence_pages_1 FROM (SELECT coalesce(domain, '') AS domain, source_url FROM contacts WHERE source_url IS NOT NULL) GROUP BY 1""")
 def evidence_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -218,3 +218,16 @@ def test_evidence_keeps_every_page_and_source(spark):
         ("z.ir", "page"): ["p5", "u6"], ("z.ir", "emails"): ["p5", "p6"], ("z.ir", "tel_links"): ["3"],
     }
     assert all([p for p, _ in x] == list(range(1, len(x) + 1)) for x in got.values())
+
+
+def test_profiles_of_every_network(spark):
+    from kavosh.operators import extract
+
+    rows = [
+        (1, "x.ir", "2024-01-01T00:00:00", '{"facebook": "f1", "linkedin": ["l1", "l2"], "aparat": "a1"}'), (2, "x.ir", "2024-02-01T00:00:00", '{"facebook": "f2", "linkedin": "l2", "twitter": " ", "youtube": null}'),
+        (3, "y.ir", None, '["https://t.me/y"]'), (4, "y.ir", None, None), (5, "y.ir", None, "{}"),
+    ]
+    df = spark.createDataFrame(rows, "id int, domain string, crawled_at string, socials string")
+    assert sorted(tuple(r) for r in extract.profile_rows(df).collect()) == [
+        ("x.ir", "aparat", 1, "a1"), ("x.ir", "facebook", 1, "f2"), ("x.ir", "facebook", 2, "f1"), ("x.ir", "linkedin", 1, "l2"), ("x.ir", "linkedin", 2, "l1"),
+    ]
