@@ -58,7 +58,7 @@ def jsonld_contacts(blocks: pd.Series) -> pd.Series:
 def linked(html: Column, prefix: str) -> Column:
     """What links of a kind (tel:, mailto:) point to, without parameters."""
     found = F.filter(text.hrefs(html), lambda h: F.lower(h).startswith(prefix))
-    return F.transform(found, lambda h: F.coalesce(F.try_url_decode(F.regexp_replace(F.substring(h, len(prefix) + 1, 2000), r"\?.*$", "")), h))
+    return F.transform(found, lambda h: F.coalesce(F.try_url_decode(F.regexp_replace(F.substr(h, F.lit(len(prefix) + 1)), r"\?.*$", "")), h))
 
 
 def extract(pages: DataFrame, batch_time: Column | None = None) -> DataFrame:

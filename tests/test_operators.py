@@ -231,3 +231,11 @@ def test_profiles_of_every_network(spark):
     assert sorted(tuple(r) for r in extract.profile_rows(df).collect()) == [
         ("x.ir", "aparat", 1, "a1"), ("x.ir", "facebook", 1, "f2"), ("x.ir", "facebook", 2, "f1"), ("x.ir", "linkedin", 1, "l2"), ("x.ir", "linkedin", 2, "l1"),
     ]
+
+
+def test_long_mailto_list(spark):
+    from kavosh.operators import extract
+
+    mails = [f"person{i}@long-host-name.ir" for i in range(200)]
+    page = spark.createDataFrame([(f"<a href='MAILTO:{','.join(mails)}?subject=x'>m</a>",)], "html string")
+    assert page.select(extract.linked(F.col("html"), "mailto:")).first()[0] == [",".join(mails)]
