@@ -1,14 +1,14 @@
 """Checking new batches against all that was accepted before, in sorted runs.
 
 ``AcceptedRuns`` keeps one entry per accepted record: its sort key and the id under which it
-was first accepted. Entries lie in key ranges (equal slices of the key's hash space, so no
-range can be hot) and inside a range in sorted runs, one per batch. A new batch is reduced to
+was first accepted. Entries lie in slices (equal parts of the key's hash space, so none
+can be hot) and inside a slice in sorted runs, one per batch. A new batch is reduced to
 one entry per key before anything else (a partial aggregate on the map side, so a key with a
-third of the batch costs one row per task), sorted, and merged into the ranges it touches; in
+third of the batch costs one row per task), sorted, and merged with the runs; in
 the merged order an entry is compared with its neighbour alone, since the runs hold each key
-once. What is new becomes the next run; after ``compact_every`` runs they are merged into one,
-written again and the old ones are read no more. History is read by range and only its two
-columns, and never recomputed.
+once: an exact lookup of the key. What is new becomes the next run; after ``compact_every`` runs they
+are merged into one, written again and the old ones are read no more. Each batch reads, shuffles and
+sorts all runs, whichever slices it touches; their keys are never recomputed.
 
 Different sort keys (the page of a URL; the page with its set of phone numbers) form
 different key spaces of the same runs.
@@ -31,7 +31,7 @@ from kavosh.sources.tables import fanout, load, shared_folder
 
 
 class AcceptedRuns:
-    """Persisted sorted runs of (space, key) -> first id, partitioned by key range."""
+    """Persisted sorted runs of (space, key) -> first id, sorted within slices of the key's hash."""
 
     def __init__(self, spark: SparkSession, ranges: int | None = None, compact_every: int = 6, path: str | None = None):
         self.spark, self.compact_every = spark, compact_every
