@@ -54,7 +54,6 @@ def search(df: DataFrame, q: str = "", tech: str = "", city: str = "") -> DataFr
     return df
 
 
-
 def merged_values(df: DataFrame, key: str, column: str, by: str, out: str, latest_first: tuple[Column, ...]) -> DataFrame:
     """(key, out): the distinct values of a delimited column per key, in order of their first row, joined again.
 
@@ -68,13 +67,20 @@ def merged_values(df: DataFrame, key: str, column: str, by: str, out: str, lates
     return first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), joiner).alias(out))
 
 
+def latest_first(time_col: str = "crawled_at") -> Column:
+    """An ascending key that puts later times first, NULL and unreadable ones last."""
+    return F.lit(0) - F.coalesce(F.unix_micros(F.col(time_col).try_cast("timestamp")), F.lit(-(2**60)))
+
+
 def sites(df: DataFrame) -> DataFrame:
     """One row per domain for export: unions of phones, e-mails, technologies and pages, the longest address, name, category and city,
     the best score, the latest time, the first title; rows in order of crawled_at, latest first, then id.
+
+    Socials (first profile of each network) and evidence (pages, sources by field, counts of links) are merged JSON
+    with sorted keys, for input that has those columns.
     """
     rows = df.withColumn("domain", F.coalesce("domain", F.lit("")))
-    # latest first as an ascending key
-    late = F.lit(0) - F.coalesce(F.unix_micros(F.col("crawled_at").try_cast("timestamp")), F.lit(-(2**60)))
+    late = latest_first()
     order = (late, F.col("id"))
     at = F.struct(*order)
 
@@ -89,6 +95,13 @@ def sites(df: DataFrame) -> DataFrame:
     out = single
     for column, by in (("phones", ","), ("emails", ","), ("technologies", ";"), ("source_url", "\n")):
         out = out.join(merged_values(rows, "domain", column, by, column, order), "domain", "left").withColumn(column, F.coalesce(column, F.lit("")))
+    if "socials" in df.columns:
+        first = merged_json(rows, "domain", "socials", order)
+        merged = first.groupBy("domain").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value"))))).alias("socials"))
+        out = out.join(merged, "domain", "left").withColumn("socials", F.coalesce("socials", F.lit("{}")))
+    if "evidence" in df.columns:
+        merged = evidence_json(merged_evidence(rows, "domain", "evidence", "source_url", order))
+        out = out.join(merged, "domain", "left").withColumn("evidence", F.coalesce("evidence", F.lit("{}")))
     return out
 
 
@@ -118,10 +131,52 @@ def panel_figures(df: DataFrame) -> DataFrame:
     return by.agg(F.count("*").alias("n_sites"), F.count_if("phones").alias("n_with_phones"), F.count_if("emails").alias("n_with_emails"), F.count_if("wp").alias("n_wordpress"), F.count_if("woo").alias("n_woocommerce")).crossJoin(cities)
 
 
-def merged_json(df: DataFrame, key: str, column: str, order: str = "id") -> DataFrame:
+def merged_json(df: DataFrame, key: str, column: str, order: tuple[str | Column, ...] = ("id",)) -> DataFrame:
     """(key, name, value): the first non-empty value of each name over a key's JSON objects; broken JSON is ignored."""
-    pairs = df.select(key, order, F.explode(F.from_json(column, "map<string,string>")).alias("name", "value")).filter("trim(value) <> ''")
-    return pairs.groupBy(key, "name").agg(F.min_by("value", F.struct(order, "value")).alias("value"))
+    pairs = df.select(key, F.struct(*order).alias("at"), F.explode(F.from_json(F.when(F.try_parse_json(column).isNotNull(), F.col(column)), "map<string,string>")).alias("name", "value")).filter("trim(value) <> ''")
+    return pairs.groupBy(key, "name").agg(F.min_by("value", F.struct("at", "value")).alias("value"))
+
+
+# Keys of evidence that are no fields.
+EVIDENCE_KEYS = ("page", "field_sources", "tel_links", "mailto_links")
+
+
+def flat_sources(evidence: Column) -> Column:
+    """Sources by field where evidence names the fields themselves, each with a list or a single source."""
+    fields = F.map_filter(F.from_json(evidence, "map<string,string>"), lambda k, v: ~k.isin(*EVIDENCE_KEYS))
+    return F.transform_values(fields, lambda k, v: F.when(v.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(F.when(v.startswith("["), v), "array<string>"), F.array(v))))
+
+
+def _in_order(key: list[str], rows: DataFrame, value: str, out: str) -> DataFrame:
+    """(key, out): distinct values in order of their first place, which is reduced before values are gathered."""
+    first = rows.groupBy(*key, value).agg(F.min("at").alias("at"))
+    listed = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("at", F.col(value).alias("v")))))
+    return first.groupBy(*key).agg(F.transform(listed, lambda x: x["v"]).alias(out))
+
+
+def merged_evidence(rows: DataFrame, key: str = "domain", column: str = "evidence", page: str | None = None, order: tuple[Column, ...] = ()) -> DataFrame:
+    """(key, pages, field_sources, tel_links, mailto_links): a site's evidence, from JSON of its rows.
+
+    Pages and sources are distinct, in order of their first row by ``order`` (then by value), and made so before they are gathered;
+    fields without a source keep an empty list. Broken JSON counts as nothing. page: a column that names the page where the evidence doesn't.
+    """
+    schema = "page string, field_sources map<string,array<string>>, tel_links int, mailto_links int"
+    e = F.from_json(F.coalesce(column, F.lit("{}")) if page else F.col(column), schema)
+    parsed = rows.select(key, e.alias("e"), flat_sources(F.col(column)).alias("flat"), (F.col(page) if page else F.lit(None)).alias("p"), F.struct(*order, F.lit(0)).alias("row")).filter("e is not null")
+    parsed = parsed.withColumn("e", F.struct(F.coalesce("e.page", "p").alias("page"), F.coalesce("e.field_sources", "flat").alias("field_sources"), "e.tel_links", "e.mailto_links"))
+    sums = parsed.groupBy(key).agg(F.sum(F.greatest(F.coalesce("e.tel_links", F.lit(0)), F.lit(0))).alias("tel_links"), F.sum(F.greatest(F.coalesce("e.mailto_links", F.lit(0)), F.lit(0))).alias("mailto_links"))
+    place = lambda i, v: F.struct("row", i, v).alias("at") if order else F.struct(v).alias("at")
+    pages = _in_order([key], parsed.select(key, F.col("e.page").alias("u"), place(F.lit(0), F.col("e.page"))), "u", "pages")
+    sources = parsed.select(key, "row", F.explode("e.field_sources").alias("field", "urls")).select(key, "row", "field", F.posexplode_outer("urls").alias("i", "u"))
+    lists = _in_order([key, "field"], sources.select(key, "field", "u", place(F.col("i"), F.col("u"))), "u", "urls")
+    maps = lists.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "urls")))).alias("field_sources"))
+    return sums.join(pages, key).join(maps, key, "left")
+
+
+def evidence_json(merged: DataFrame, key: str = "domain") -> DataFrame:
+    """(key, evidence): merged evidence as JSON; what is empty or 0 is left out."""
+    has = {"pages": F.size("pages") > 0, "field_sources": F.size("field_sources") > 0, "tel_links": F.col("tel_links") != 0, "mailto_links": F.col("mailto_links") != 0}
+    return merged.select(key, F.to_json(F.struct(*[F.when(there, F.col(c)).alias(c) for c, there in has.items()])).alias("evidence"))
 
 
 def technology_evidence(df: DataFrame) -> DataFrame:
@@ -132,6 +187,12 @@ def technology_evidence(df: DataFrame) -> DataFrame:
     )
 
 
+def site_technologies(evidence: DataFrame) -> DataFrame:
+    """Technologies of each site numbered by falling confidence, then name; a site has as many rows as technologies."""
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("confidence").desc(), "technology", "source_url"))
+    return evidence.select("domain", place.alias("place"), "technology", "confidence", "evidence_count", "source_url")
+
+
 def cells(sites_df: DataFrame) -> DataFrame:
     """(domain, kind, pos, value): every value of the wide export as a row, however many a site has.
 
@@ -147,23 +208,42 @@ def cells(sites_df: DataFrame) -> DataFrame:
     return lists.select("domain", "kind", F.posexplode("values").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
 
 
-def wide(sites_df: DataFrame, n_phones: int | None = None, n_emails: int | None = None, technologies: list[str] | None = None) -> DataFrame:
-    """Site rows with one value per cell: phone_1.., tel_1.., email_1.., technology_1.. columns, '' where there is none.
+def safe_name(name: str) -> str:
+    """A value as part of a column name."""
+    return "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in name.lower()).strip("_") or "unknown"
+
 
-    Widths not given are found by one aggregate over the data (a few numbers reach the driver);
-    technology columns keep the order of presentation, unknown ones sorted behind.
+def wide(sites_df: DataFrame) -> DataFrame:
+    """Site rows with one value per cell, '' where there is none; what has no lists stays as it is, before the new columns.
+
+    phone_1.., tel_1.., email_1.. and evidence_pages_1.. are as many as the longest list needs; technology_1.. has a column per
+    technology that occurs (order of presentation, unknown ones sorted behind), social_.. one per network. Widths and names are
+    found by one aggregate, so they alone reach the driver; ``cells`` is the long form for data of any width.
     """
     forms = F.array_distinct(F.transform(split_list(F.col("phones")), normalize_iranian))
-    df = sites_df.withColumn("_m", F.filter(forms, lambda p: classify_phone(p) == "mobile")).withColumn("_t", F.filter(forms, lambda p: classify_phone(p) == "landline")).withColumn("_e", split_list(F.col("emails")))
-    df = df.withColumn("_k", F.transform(split_list(F.col("technologies"), ";"), lambda t: F.trim(F.split_part(t, F.lit("("), F.lit(1)))))
-    if n_phones is None or n_emails is None:
-        widths = df.agg(F.max(F.greatest(F.size("_m"), F.size("_t"))), F.max(F.size("_e"))).collect()[0]
-        n_phones, n_emails = n_phones or int(widths[0] or 0), n_emails or int(widths[1] or 0)
-    if technologies is None:
-        seen = {r[0] for r in df.select(F.explode("_k")).distinct().collect()}  # names of technologies
-        technologies = [t for t in TECHNOLOGY_ORDER if t in seen] + sorted(seen - set(TECHNOLOGY_ORDER))
-    cell = lambda c, i: F.coalesce(F.get(F.col(c), F.lit(i)), F.lit(""))
-    return df.select(
-        "domain", *[cell("_m", i).alias(f"phone_{i + 1}") for i in range(n_phones)], *[cell("_t", i).alias(f"tel_{i + 1}") for i in range(n_phones)],
-        *[cell("_e", i).alias(f"email_{i + 1}") for i in range(n_emails)], *[F.when(F.array_contains("_k", t), t).otherwise("").alias(f"technology_{i + 1}") for i, t in enumerate(technologies)],
-    )
+    made = {
+        "_phone": F.filter(forms, lambda p: classify_phone(p) == "mobile"), "_tel": F.filter(forms, lambda p: classify_phone(p) == "landline"), "_email": split_list(F.col("emails")),
+        "_technology": F.filter(F.transform(split_list(F.col("technologies"), ";"), lambda t: F.trim(F.split_part(t, F.lit("("), F.lit(1)))), lambda t: t != ""),
+    }
+    if "socials" in sites_df.columns:
+        made["_social"] = F.map_filter(F.coalesce(F.from_json("socials", "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")), lambda k, v: F.trim(v) != "")
+    if "evidence" in sites_df.columns:
+        e = F.from_json("evidence", "pages array<string>, field_sources string, tel_links bigint, mailto_links bigint")
+        made |= {"_evidence_pages": F.coalesce(e["pages"], F.array().cast("array<string>"))} | {f"_{k}": e[k].cast("string") for k in ("field_sources", "mailto_links", "tel_links")}
+    df = sites_df.withColumns(made)
+    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    lists = [c for c in ("_phone", "_tel", "_email", "_evidence_pages") if c in made]
+    found = [F.max(F.size(c)).alias(c) for c in lists] + [names(F.col("_technology")).alias("_technology")]
+    found += [names(F.map_keys("_social")).alias("_social")] if "_social" in made else []
+    found += [F.count_if(F.col(c).isNotNull()).alias(c) for c in ("_field_sources", "_mailto_links", "_tel_links") if c in made]
+    seen = df.agg(*found).first()
+    cell = lambda v: F.coalesce(v, F.lit(""))
+    listed = {c: [cell(F.get(F.col(c), F.lit(i))).alias(f"{c[1:]}_{i + 1}") for i in range(seen[c] or 0)] for c in lists}
+    technologies = [t for t in TECHNOLOGY_ORDER if t in seen["_technology"]] + [t for t in seen["_technology"] if t not in TECHNOLOGY_ORDER]
+    columns = [*listed["_phone"], *listed["_tel"], *listed["_email"], *[F.when(F.array_contains("_technology", t), t).otherwise("").alias(f"technology_{i}") for i, t in enumerate(technologies, 1)]]
+    if "_social" in made:
+        columns += [cell(F.element_at("_social", F.lit(n))).alias(f"social_{safe_name(n)}") for n in seen["_social"]]
+    if "_evidence_pages" in made:
+        one = {c: [cell(F.col(c)).alias(f"evidence{c}")] if seen[c] else [] for c in ("_field_sources", "_mailto_links", "_tel_links")}
+        columns += one["_field_sources"] + one["_mailto_links"] + listed["_evidence_pages"] + one["_tel_links"]
+    return df.select(*[c for c in sites_df.columns if c not in ("phones", "emails", "technologies", "socials", "evidence")], *columns)

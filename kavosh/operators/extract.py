@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from kavosh.functions import classify, phones, text, urls
 from kavosh.functions.dicts import SOCIAL_HOSTS
+from kavosh.operators.contacts import latest_first, safe_name
 from kavosh.sources.tables import spread
 
 # Keys of linked data that name URLs, and those that name ways of contact.
@@ -104,36 +105,9 @@ def at_rest(rows: DataFrame) -> DataFrame:
     })
 
 
-# Keys of evidence that are no fields.
-EVIDENCE_KEYS = ("page", "field_sources", "tel_links", "mailto_links")
-
-
-def flat_sources(evidence: Column) -> Column:
-    """Sources by field where evidence names the fields themselves, each with a list or a single source."""
-    fields = F.map_filter(F.from_json(evidence, "map<string,string>"), lambda k, v: ~k.isin(*EVIDENCE_KEYS))
-    return F.transform_values(fields, lambda k, v: F.when(v.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(F.when(v.startswith("["), v), "array<string>"), F.array(v))))
-
-
-def merged_evidence(rows: DataFrame, key: str = "domain", column: str = "evidence", page: str | None = None) -> DataFrame:
-    """(key, pages, field_sources, tel_links, mailto_links): a site's evidence, from JSON of its rows.
-
-    Pages and sources are made distinct before they are gathered; fields without a source keep
-    an empty list. Broken JSON counts as nothing. page: a column that names the page where the evidence doesn't.
-    """
-    schema = "page string, field_sources map<string,array<string>>, tel_links int, mailto_links int"
-    e = F.from_json(F.coalesce(column, F.lit("{}")) if page else F.col(column), schema)
-    parsed = rows.select(key, e.alias("e"), flat_sources(F.col(column)).alias("flat"), (F.col(page) if page else F.lit(None)).alias("p")).filter("e is not null")
-    parsed = parsed.withColumn("e", F.struct(F.coalesce("e.page", "p").alias("page"), F.coalesce("e.field_sources", "flat").alias("field_sources"), "e.tel_links", "e.mailto_links"))
-    sums = parsed.groupBy(key).agg(F.sum(F.greatest(F.coalesce("e.tel_links", F.lit(0)), F.lit(0))).alias("tel_links"), F.sum(F.greatest(F.coalesce("e.mailto_links", F.lit(0)), F.lit(0))).alias("mailto_links"), F.array_sort(F.collect_set("e.page")).alias("pages"))
-    sources = parsed.select(key, F.explode("e.field_sources").alias("field", "urls")).select(key, "field", F.explode_outer("urls").alias("u")).groupBy(key, "field").agg(F.array_sort(F.collect_set("u")).alias("urls"))
-    maps = sources.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "urls")))).alias("field_sources"))
-    return sums.join(maps, key, "left")
-
-
 def profile_rows(rows: DataFrame, key: str = "domain", column: str = "socials") -> DataFrame:
     """(key, network, pos, profile): every profile of every network of a key, each once, in order of its first row (crawled_at, latest first, then id)."""
-    late = F.lit(0) - F.coalesce(F.unix_micros(F.col("crawled_at").try_cast("timestamp")), F.lit(-(2**60)))
-    pairs = rows.select(key, late.alias("late"), "id", F.explode(F.from_json(column, "map<string,string>")).alias("network", "v")).filter("v is not null")
+    pairs = rows.select(key, latest_first().alias("late"), "id", F.explode(F.from_json(column, "map<string,string>")).alias("network", "v")).filter("v is not null")
     several = F.coalesce(F.from_json(F.when(F.col("v").startswith("["), F.col("v")), "array<string>"), F.array("v"))
     each = pairs.select(key, "network", "late", "id", F.posexplode(several).alias("i", "profile")).withColumn("profile", F.trim("profile")).filter("profile <> ''")
     first = each.groupBy(key, "network", "profile").agg(F.min(F.struct("late", "id", "i")).alias("at"))
@@ -149,11 +123,6 @@ def evidence_rows(merged: DataFrame, key: str = "domain") -> DataFrame:
     return lists.select(key, F.col("x.key").alias("field"), F.posexplode("x.value").alias("pos", "value")).withColumn("pos", F.col("pos") + 1)
 
 
-def safe_name(name: str) -> str:
-    """A value as part of a column name."""
-    return "".join(ch if ch.isalnum() else "_" for ch in name).strip("_").lower() or "unknown"
-
-
 def wide_socials(rows: DataFrame, key: str = "domain", column: str = "socials", networks: list[str] | None = None) -> DataFrame:
     """(key, social_<network>...): the first profile of each network per key, '' where there is none.
 
@@ -167,12 +136,6 @@ def wide_socials(rows: DataFrame, key: str = "domain", column: str = "socials",
     return pairs.groupBy(key).agg(*cells) if cells else pairs.select(key).distinct()
 
 
-def wide_evidence(merged: DataFrame, key: str = "domain", width: int = 3) -> DataFrame:
-    """One value per cell of merged evidence: evidence_pages_1.., counts, and sources per field as JSON."""
-    cell = lambda i: F.coalesce(F.get("pages", F.lit(i)), F.lit(""))
-    return merged.select(key, F.to_json("field_sources").alias("evidence_field_sources"), "mailto_links", *[cell(i).alias(f"evidence_pages_{i + 1}") for i in range(width)], "tel_links").withColumnsRenamed({"mailto_links": "evidence_mailto_links", "tel_links": "evidence_tel_links"})
-
-
 # --- the reduced profile -------------------------------------------------------------------
 
 # Word marks of the reduced profile's technologies.

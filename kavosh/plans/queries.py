@@ -330,14 +330,34 @@ def _longest(column: str) -> str:
     return f"(SELECT domain, trim({column}) AS {column} FROM r WHERE trim(coalesce({column}, '')) <> '' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY length(trim({column})) DESC, o) = 1)"
 
 
-@query(f"""
-WITH r AS MATERIALIZED (SELECT * REPLACE (coalesce(domain, '') AS domain), row_number() OVER (PARTITION BY coalesce(domain, '') ORDER BY crawled_at DESC NULLS LAST, id) AS o FROM contacts),
+_LATEST = "crawled_at DESC NULLS LAST, id"
+_PROFILES = f"""(SELECT domain, network, profile FROM (SELECT domain, o, e.key AS network, CASE WHEN e.type = 'VARCHAR' THEN e.value ->> '$' ELSE e.value::VARCHAR END AS profile
+  FROM (SELECT coalesce(domain, '') AS domain, socials, row_number() OVER (ORDER BY {_LATEST}) AS o FROM contacts WHERE json_valid(socials) AND json_type(socials) = 'OBJECT') c, json_each(c.socials) e)
+  WHERE trim(profile) <> '' QUALIFY row_number() OVER (PARTITION BY domain, network ORDER BY o, profile) = 1)"""
+#: ev: evidence of each row; es: lists of sources by field; ev_values: each page and source of a site with its first place; ev_sums: counts of links.
+_EVIDENCE = f"""
+ev AS MATERIALIZED (SELECT coalesce(domain, '') AS domain, source_url, CASE WHEN json_valid(evidence) AND json_type(evidence) = 'OBJECT' THEN evidence::JSON ELSE '{{}}'::JSON END AS e, row_number() OVER (ORDER BY {_LATEST}) AS o FROM contacts),
+es AS (SELECT domain, o, j.key AS field, CASE WHEN j.type = 'ARRAY' THEN from_json(j.value, '["VARCHAR"]') ELSE [j.value ->> '$'] END AS l FROM (SELECT domain, o, CASE WHEN json_exists(e, '$.field_sources') THEN e -> 'field_sources' ELSE e END AS f FROM ev) x, json_each(x.f) j
+  WHERE j.key NOT IN ('page', 'field_sources', 'tel_links', 'mailto_links')),
+ev_values AS (SELECT domain, field, value, min(o * 100000 + i) AS place FROM (SELECT domain, field, o, unnest(l) AS value, generate_subscripts(l, 1) AS i FROM es UNION ALL SELECT domain, 'page', o, coalesce(e ->> 'page', source_url), 0 FROM ev) WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+ev_sums AS (SELECT domain, sum(greatest(coalesce((e ->> 'tel_links')::INT, 0), 0)) AS t, sum(greatest(coalesce((e ->> 'mailto_links')::INT, 0), 0)) AS m FROM ev GROUP BY 1),
+ev_fields AS (SELECT domain, string_agg(to_json(field)::VARCHAR || ':' || coalesce(l, '[]'), ',' ORDER BY field) AS fields FROM (SELECT DISTINCT domain, field FROM es) LEFT JOIN (SELECT domain, field, to_json(list(value ORDER BY place))::VARCHAR AS l FROM ev_values WHERE field <> 'page' GROUP BY 1, 2) USING (domain, field) GROUP BY 1),
+ev_pages AS (SELECT domain, to_json(list(value ORDER BY place))::VARCHAR AS pages FROM ev_values WHERE field = 'page' GROUP BY 1)"""
+_EVIDENCE_JSON = """(SELECT domain, '{' || array_to_string(list_filter([CASE WHEN pages IS NOT NULL THEN '"pages":' || pages END, CASE WHEN fields IS NOT NULL THEN '"field_sources":{' || fields || '}' END,
+  CASE WHEN t <> 0 THEN '"tel_links":' || t END, CASE WHEN m <> 0 THEN '"mailto_links":' || m END], lambda x: x IS NOT NULL), ',') || '}' AS evidence FROM ev_sums LEFT JOIN ev_pages USING (domain) LEFT JOIN ev_fields USING (domain))"""
+_SITES = f"""
+r AS MATERIALIZED (SELECT * REPLACE (coalesce(domain, '') AS domain), row_number() OVER (PARTITION BY coalesce(domain, '') ORDER BY {_LATEST}) AS o FROM contacts),
 s AS (SELECT domain, coalesce(round(max(quality_score), 2), 0.0) AS quality_score, max(crawled_at) AS crawled_at, count(*) AS n_rows FROM r GROUP BY 1),
-t AS (SELECT domain, trim(title) AS title FROM r WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY o) = 1)
-SELECT s.*, t.title, {", ".join(f"coalesce({x}.{x}, '') AS {x}" for x in ("address", "business_name", "category", "city", "phones", "emails", "technologies", "source_url"))}
-FROM s LEFT JOIN t USING (domain) {" ".join(f"LEFT JOIN {_longest(x)} {x} USING (domain)" for x in ("address", "business_name", "category", "city"))}
-LEFT JOIN {_merged("phones", "','", "','")} phones USING (domain) LEFT JOIN {_merged("emails", "','", "','")} emails USING (domain)
-LEFT JOIN {_merged("technologies", "';'", "'; '")} technologies USING (domain) LEFT JOIN {_merged("source_url", "chr(10)", "','")} source_url USING (domain)""")
+t AS (SELECT domain, trim(title) AS title FROM r WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY o) = 1),
+one AS (SELECT s.*, t.title, {", ".join(f"coalesce({x}.{x}, '') AS {x}" for x in ("address", "business_name", "category", "city", "source_url"))}
+  FROM s LEFT JOIN t USING (domain) {" ".join(f"LEFT JOIN {_longest(x)} {x} USING (domain)" for x in ("address", "business_name", "category", "city"))} LEFT JOIN {_merged("source_url", "chr(10)", "','")} source_url USING (domain))"""
+
+
+@query(f"""
+WITH {_SITES}, {_EVIDENCE}
+SELECT one.*, {", ".join(f"coalesce({x}.{x}, '') AS {x}" for x in ("phones", "emails", "technologies"))}, coalesce(socials, '{{}}') AS socials, evidence FROM one JOIN {_EVIDENCE_JSON} evidence USING (domain)
+LEFT JOIN (SELECT domain, '{{' || string_agg(to_json(network)::VARCHAR || ':' || to_json(profile)::VARCHAR, ',' ORDER BY network) || '}}' AS socials FROM {_PROFILES} GROUP BY 1) socials USING (domain)
+LEFT JOIN {_merged("phones", "','", "','")} phones USING (domain) LEFT JOIN {_merged("emails", "','", "','")} emails USING (domain) LEFT JOIN {_merged("technologies", "';'", "'; '")} technologies USING (domain)""")
 def site_export(spark: SparkSession, d: str) -> DataFrame:
     return contacts.sites(load(spark, d, "contacts"))
 
@@ -385,26 +405,6 @@ def tech_evidence(spark: SparkSession, d: str) -> DataFrame:
     return contacts.technology_evidence(load(spark, d, "site_technology_evidence"))
 
 
-def _wide_sql() -> str:
-    def numbers(kind: str) -> str:
-        return f"""(SELECT domain, list(phone ORDER BY place) AS a FROM (SELECT domain, phone, min(place) AS place FROM (SELECT domain, CASE WHEN regexp_full_match(n, '9[0-9]{{9}}') THEN '0' || n WHEN regexp_full_match(n, '0[0-9]{{10}}') THEN n ELSE raw END AS phone, place, {_kind("n")} AS kind
-          FROM (SELECT domain, raw, place, {_NATIONAL} AS n FROM pieces)) WHERE kind = '{kind}' GROUP BY domain, phone) GROUP BY domain)"""
-
-    split = "string_split(coalesce(%s, ''), ',')"
-    pieces = f"SELECT domain, trim(raw) AS raw, i AS place FROM (SELECT domain, unnest({split % 'phones'}) AS raw, generate_subscripts({split % 'phones'}, 1) AS i FROM c) WHERE trim(raw) <> ''"
-    emails = f"(SELECT domain, list(v ORDER BY i) AS a FROM (SELECT domain, v, min(i) AS i FROM (SELECT domain, trim(v) AS v, i FROM (SELECT domain, unnest({split % 'emails'}) AS v, generate_subscripts({split % 'emails'}, 1) AS i FROM c)) WHERE v <> '' GROUP BY 1, 2) GROUP BY 1)"
-    cells = [f"coalesce(m.a[{i}], '') AS phone_{i}" for i in range(1, 4)] + [f"coalesce(t.a[{i}], '') AS tel_{i}" for i in range(1, 4)] + [f"coalesce(e.a[{i}], '') AS email_{i}" for i in range(1, 4)]
-    names = [f"CASE WHEN list_contains(list_transform(string_split(coalesce(c.technologies, ''), ';'), lambda x: trim(split_part(x, '(', 1))), {_q(n)}) THEN {_q(n)} ELSE '' END AS technology_{i + 1}" for i, n in enumerate(TECHNOLOGY_ORDER)]
-    return f"WITH c AS MATERIALIZED (SELECT id::VARCHAR AS domain, phones, emails, technologies FROM contacts), pieces AS MATERIALIZED ({pieces}) SELECT c.domain, {', '.join(cells + names)} FROM c LEFT JOIN {numbers('mobile')} m USING (domain) LEFT JOIN {numbers('landline')} t USING (domain) LEFT JOIN {emails} e USING (domain)"
-
-
-@query(_wide_sql())
-def export_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Every contact as a row of single-value cells, cut at fixed widths; ``export_cells`` has all values of the merged sites."""
-    rows = load(spark, d, "contacts").select(c("id").cast("string").alias("domain"), "phones", "emails", "technologies")
-    return contacts.wide(rows, 3, 3, list(TECHNOLOGY_ORDER))
-
-
 def _cells_sql() -> str:
     def split(x: str, by: str) -> str:
         s = f"string_split(coalesce({x}, ''), '{by}')"
@@ -419,6 +419,26 @@ v AS (SELECT domain, CASE {_kind("n")} WHEN 'mobile' THEN 'phone' WHEN 'landline
 SELECT domain, kind, row_number() OVER (PARTITION BY domain, kind ORDER BY min(place))::INT AS pos, value FROM v WHERE kind IS NOT NULL AND value <> '' GROUP BY domain, kind, value"""
 
 
+def _wide_sql() -> str:
+    cells = _cells_sql().strip()
+    ctes, select = cells.removeprefix("WITH r AS MATERIALIZED").split("\nSELECT domain, kind")
+    return f"""
+WITH {_SITES}, {_EVIDENCE},
+cells AS MATERIALIZED (WITH r AS MATERIALIZED{ctes} SELECT domain, kind{select}),
+places AS (SELECT value, row_number() OVER (ORDER BY coalesce(list_position([{", ".join(map(_q, TECHNOLOGY_ORDER))}], value), 1000), value) AS i FROM (SELECT DISTINCT value FROM cells WHERE kind = 'technology')),
+long AS (SELECT domain, kind || '_' || pos AS col, value FROM cells WHERE kind <> 'technology' UNION ALL SELECT domain, 'technology_' || i, value FROM cells JOIN places USING (value) WHERE kind = 'technology'
+  UNION ALL SELECT domain, 'social_' || network, profile FROM {_PROFILES} UNION ALL SELECT domain, 'evidence_pages_' || row_number() OVER (PARTITION BY domain ORDER BY place), value FROM ev_values WHERE field = 'page'
+  UNION ALL SELECT domain, 'evidence_field_sources', '{{' || fields || '}}' FROM ev_fields UNION ALL SELECT domain, 'evidence_tel_links', t::VARCHAR FROM ev_sums WHERE t <> 0 UNION ALL SELECT domain, 'evidence_mailto_links', m::VARCHAR FROM ev_sums WHERE m <> 0
+  UNION ALL SELECT domain, 'phone_1', '' FROM s)
+SELECT one.*, p.* EXCLUDE (domain) FROM one JOIN (PIVOT long ON col USING coalesce(max(value), '') GROUP BY domain) p USING (domain)"""
+
+
+@query(_wide_sql())
+def export_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Every merged site as a row of single-value cells, with as many columns as the data needs."""
+    return contacts.wide(contacts.sites(load(spark, d, "contacts")))
+
+
 @query(_cells_sql())
 def export_cells(spark: SparkSession, d: str) -> DataFrame:
     """Every number, e-mail and technology of the merged sites, one to a row."""
@@ -441,23 +461,23 @@ def page_contacts(spark: SparkSession, d: str) -> DataFrame:
     return extract.at_rest(extract.extract(pages(spark, d), F.lit("2024-01-01").cast("timestamp"))).drop("evidence")
 
 
-@query("SELECT domain, technology, confidence FROM site_technology_evidence WHERE domain = (SELECT min(domain) FROM site_technology_evidence)")
+@query("""
+SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY confidence DESC, technology, source_url)::INT AS place, technology, confidence, evidence_count, source_url FROM (
+ SELECT domain, technology, max(confidence) AS confidence, sum(evidence_count)::BIGINT AS evidence_count, arg_min(source_url, first_seen || source_url) AS source_url FROM site_technology_evidence WHERE trim(domain) <> '' AND trim(technology) <> '' GROUP BY 1, 2)""")
 def site_technologies(spark: SparkSession, d: str) -> DataFrame:
-    """Technologies of one site, most certain first."""
-    t = load(spark, d, "site_technology_evidence")
-    first = t.agg(F.min("domain").alias("domain"))
-    return t.join(F.broadcast(first), "domain").select("domain", "technology", "confidence").orderBy(c("confidence").desc(), "technology")  # one row
+    """The technologies of each site, most certain first."""
+    return contacts.site_technologies(contacts.technology_evidence(load(spark, d, "site_technology_evidence")))
 
 
 @query("""
-WITH j AS (SELECT c.domain, e.key AS network, CASE WHEN e.type = 'VARCHAR' THEN e.value ->> '$' ELSE e.value::VARCHAR END AS profile FROM (SELECT coalesce(domain, '') AS domain, socials FROM contacts WHERE json_valid(socials) AND json_type(socials) = 'OBJECT') c, json_each(c.socials) e),
-k AS (SELECT DISTINCT coalesce(domain, '') AS domain FROM contacts WHERE json_valid(socials) AND json_type(socials) = 'OBJECT')
-SELECT k.domain, coalesce(min(profile) FILTER (WHERE network = 'instagram'), '') AS social_instagram, coalesce(min(profile) FILTER (WHERE network = 'telegram'), '') AS social_telegram, coalesce(min(profile) FILTER (WHERE network = 'youtube'), '') AS social_youtube
-FROM k LEFT JOIN j ON k.domain = j.domain AND trim(profile) <> '' GROUP BY 1""")
+WITH c AS (SELECT coalesce(domain, '') AS domain, socials FROM contacts WHERE json_valid(socials) AND json_type(socials) = 'OBJECT'),
+j AS (SELECT domain, 'social_' || e.key AS col, CASE WHEN e.type = 'VARCHAR' THEN e.value ->> '$' ELSE e.value::VARCHAR END AS profile FROM c, json_each(c.socials) e),
+k AS (SELECT * FROM j WHERE trim(profile) <> '' UNION ALL SELECT domain, (SELECT min(col) FROM j WHERE trim(profile) <> ''), NULL FROM c)
+SELECT * FROM (PIVOT k ON col USING coalesce(min(profile), '') GROUP BY domain)""")
 def export_socials(spark: SparkSession, d: str) -> DataFrame:
-    """One profile a site of three networks; ``export_profiles`` has all of all networks."""
+    """One profile a site and network, a column for each network that occurs; ``export_profiles`` has all of them as rows."""
     rows = load(spark, d, "contacts").filter("try_parse_json(socials) is not null and socials like '{%'").select(F.coalesce("domain", F.lit("")).alias("domain"), "socials")
-    return extract.wide_socials(rows, networks=["instagram", "telegram", "youtube"])
+    return extract.wide_socials(rows)
 
 
 @query("""
@@ -471,28 +491,21 @@ def export_profiles(spark: SparkSession, d: str) -> DataFrame:
     return extract.profile_rows(rows)
 
 
-@query("""
-SELECT domain, count(DISTINCT source_url) AS n_pages, min(source_url) AS evidence_pages_1 FROM (SELECT coalesce(domain, '') AS domain, source_url FROM contacts WHERE source_url IS NOT NULL) GROUP BY 1""")
-def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of a site counted, the first one named; ``evidence_sources`` has all pages and sources."""
-    e = F.to_json(F.struct(c("source_url").alias("page"), F.create_map(F.lit("phones"), F.array("source_url")).alias("field_sources"), F.lit(1).alias("tel_links"), F.lit(0).alias("mailto_links")))
-    rows = load(spark, d, "contacts").filter("source_url is not null").select(F.coalesce("domain", F.lit("")).alias("domain"), e.alias("evidence"))
-    merged = extract.merged_evidence(rows)
-    return extract.wide_evidence(merged, width=1).join(merged.select("domain", F.size("pages").cast("bigint").alias("n_pages")), "domain").select("domain", "n_pages", "evidence_pages_1")
-
-
-@query("""
-WITH c AS (SELECT coalesce(domain, '') AS domain, source_url, CASE WHEN json_valid(evidence) AND json_type(evidence) = 'OBJECT' THEN evidence::JSON ELSE '{}'::JSON END AS e FROM contacts),
-s AS (SELECT domain, j.key AS field, CASE WHEN j.type = 'ARRAY' THEN from_json(j.value, '["VARCHAR"]') ELSE [j.value ->> '$'] END AS l FROM (SELECT domain, CASE WHEN json_exists(e, '$.field_sources') THEN e -> 'field_sources' ELSE e END AS f FROM c) x, json_each(x.f) j
-  WHERE j.key NOT IN ('page', 'field_sources', 'tel_links', 'mailto_links')),
-v AS (SELECT DISTINCT domain, field, value FROM (SELECT domain, field, unnest(l) AS value FROM s UNION ALL SELECT domain, 'page', coalesce(e ->> 'page', source_url) FROM c) WHERE value IS NOT NULL),
-n AS (SELECT domain, sum(greatest(coalesce((e ->> 'tel_links')::INT, 0), 0)) AS t, sum(greatest(coalesce((e ->> 'mailto_links')::INT, 0), 0)) AS m FROM c GROUP BY 1)
-SELECT domain, field, row_number() OVER (PARTITION BY domain, field ORDER BY value)::INT AS pos, value FROM v
-UNION ALL SELECT domain, 'tel_links', 1, t::VARCHAR FROM n WHERE t <> 0 UNION ALL SELECT domain, 'mailto_links', 1, m::VARCHAR FROM n WHERE m <> 0""")
+@query(f"""
+WITH {_EVIDENCE}
+SELECT domain, field, row_number() OVER (PARTITION BY domain, field ORDER BY place)::INT AS pos, value FROM ev_values
+UNION ALL SELECT domain, 'tel_links', 1, t::VARCHAR FROM ev_sums WHERE t <> 0 UNION ALL SELECT domain, 'mailto_links', 1, m::VARCHAR FROM ev_sums WHERE m <> 0""")
 def evidence_sources(spark: SparkSession, d: str) -> DataFrame:
     """Every page of a site and every source of its fields, from the evidence of all rows."""
-    rows = load(spark, d, "contacts").select(F.coalesce("domain", F.lit("")).alias("domain"), "source_url", "evidence")
-    return extract.evidence_rows(extract.merged_evidence(rows, page="source_url"))
+    rows = load(spark, d, "contacts").withColumn("domain", F.coalesce("domain", F.lit("")))
+    return extract.evidence_rows(contacts.merged_evidence(rows, page="source_url", order=(contacts.latest_first(), c("id"))))
+
+
+@query(f"WITH {_EVIDENCE} SELECT domain, evidence FROM {_EVIDENCE_JSON}")
+def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The merged evidence of each site as stored."""
+    rows = load(spark, d, "contacts").withColumn("domain", F.coalesce("domain", F.lit("")))
+    return contacts.evidence_json(contacts.merged_evidence(rows, page="source_url", order=(contacts.latest_first(), c("id"))))
 
 
 @query(f"""

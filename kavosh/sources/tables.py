@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a local temporary folder is set.
+    A temporary folder stands in only where one machine does all the work; on a cluster a missing
+    setting is an error, since each executor would write to a disk of its own.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
@@ -25,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         given = jdir.get() if jdir.isDefined() else None
     if not given:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="kavosh-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(given)
@@ -48,10 +52,19 @@ def fanout(spark: SparkSession, per_core: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * per_core)
 
 
+#: A core's share of input (the bytes Spark puts in one split) beyond which a scan has work for every core.
+SPLIT_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many splits as there are cores, for stages that work hard on few bytes.
 
-    A table of one small file is read by one task; only such tables are dealt out again.
+    A small table of a few files is read by a few tasks; only such tables are dealt out again. Sizes and
+    file counts are those of the scan, so nothing runs here; a stream is left alone.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES and 0 < len(df.inputFiles()) < cores else df

@@ -192,14 +192,14 @@ def test_extract(spark):
     assert got["x.ir"]["phones"] == [] and got["x.ir"]["category"] == "عمومی"
     stored = extract.at_rest(rows)
     assert stored.filter("domain = 'nur.ir'").first()["emails"] == "info@nur.ir,ld@nur.ir"
-    merged = {r["domain"]: r for r in extract.merged_evidence(stored.unionByName(stored)).collect()}
+    merged = {r["domain"]: r for r in contacts.merged_evidence(stored.unionByName(stored)).collect()}
     assert merged["nur.ir"]["tel_links"] == 2 and merged["nur.ir"]["pages"] == ["https://www.nur.ir/"] and merged["x.ir"]["field_sources"]["phones"] == []
-    assert extract.wide_evidence(extract.merged_evidence(stored)).count() == 2
+    assert contacts.evidence_json(contacts.merged_evidence(stored)).count() == 2
     wide = {r["domain"]: r.asDict() for r in extract.wide_socials(stored).collect()}
     assert wide["nur.ir"]["social_instagram"] == "https://instagram.com/nur" and wide["x.ir"]["social_instagram"] == ""
     page = spark.createDataFrame([("https://www.nur.ir/", RICH)], "url string, html string")
     lite = page.select(extract.lite_same_host_links(F.col("url"), F.col("html")), extract.lite_technologies(F.col("html")), extract.jsonld_urls(extract.jsonld_blocks(F.col("html")))).first()
-    assert lite[0] == ["https://www.nur.ir/contact"] and lite[1] == ["WooCommerce(1.0)"] and lite[2] == ["https://t.me/nur"] and extract.safe_name("a b!") == "a_b"
+    assert lite[0] == ["https://www.nur.ir/contact"] and lite[1] == ["WooCommerce(1.0)"] and lite[2] == ["https://t.me/nur"] and contacts.safe_name("a b!") == "a_b"
 
 
 def test_evidence_keeps_every_page_and_source(spark):
@@ -211,7 +211,7 @@ def test_evidence_keeps_every_page_and_source(spark):
     ]
     df = spark.createDataFrame(rows, "domain string, source_url string, evidence string")
     got = {}
-    for r in sorted(extract.evidence_rows(extract.merged_evidence(df, page="source_url")).collect()):
+    for r in sorted(extract.evidence_rows(contacts.merged_evidence(df, page="source_url")).collect()):
         got.setdefault((r["domain"], r["field"]), []).append((r["pos"], r["value"]))
     assert {k: [v for _, v in x] for k, x in got.items()} == {
         ("x.ir", "page"): ["u1", "u2", "u3", "u4"], ("x.ir", "phones"): ["u1", "u2", "u3"], ("x.ir", "address"): ["address tag", "schema.org"],
