@@ -76,11 +76,6 @@ def classify_phone(phone: Column) -> Column:
     return F.when(d.rlike(f"^{MOBILE}$"), "mobile").when(d.rlike(f"^{_LANDLINE}$"), "landline").otherwise("")
 
 
-def phones_of_kind(phones: Column, kind: str) -> Column:
-    """The numbers of one kind in an array, each once, in order."""
-    return F.array_distinct(F.filter(phones, lambda p: classify_phone(p) == kind))
-
-
 def normalize_phones(phones: Column) -> Column:
     """National forms of the valid numbers of an array, each once, in order."""
     valid = F.filter(F.array_distinct(phones), lambda p: classify_phone(p) != "")  # a national form has the kind of what it stands for
@@ -104,10 +99,3 @@ def extract_phones(text: Column) -> Column:
     t = ascii_digits(text)
     hits = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in PHONE_PATTERNS])
     return F.array_sort(normalize_phones(hits))
-
-
-def lite_phones(text: Column) -> Column:
-    """The reduced profile: mobile numbers anywhere in a text, in order of appearance, ASCII digits only."""
-    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:\+98|0098|98|0)?9[0-9]{9}"), F.lit(0))
-    national = F.transform(hits, lambda h: F.concat(F.lit("0"), F.right(h, F.lit(10))))
-    return F.array_distinct(national)

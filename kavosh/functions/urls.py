@@ -82,20 +82,21 @@ def canonical(url: Column) -> Column:
 
 
 def _canonical(url: Column) -> Column:
-    """One spelling per URL: no fragment, tracking parameters or user info, sorted parameters, lower-case scheme and host.
+    """One spelling per URL: no fragment, tracking parameters, path parameters or user info, sorted parameters, lower-case scheme and host.
 
     A path loses its final slashes, an empty one becomes /; an explicit port stays; a URL
     without http(s) scheme or host, or with a broken port, gives NULL.
     """
     url = F.trim(url)
-    sch, net = scheme(url), F.lower(authority(url))
+    sch, net = scheme(url), F.regexp_replace(F.lower(authority(url)), ":$", "")
     rest = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"#.*$", "")
-    path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), r"/+$", "")
+    path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), ";[^/]*$", "")
+    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, r"/+$", ""))
     pairs = F.transform(F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: p != ""), lambda p: F.struct(_encoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _encoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
     kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS)))
     query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    out = F.concat(sch, F.lit("://"), net, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(sch.isin("http", "https") & net.rlike(r"^[^:]+(:[0-9]*)?$"), out)
+    out = F.concat(sch, F.lit("://"), net, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(sch.isin("http", "https") & net.rlike(r"^[^:]+(:[0-9]+)?$"), out)
 
 
 def site_key(url: Column) -> Column:
@@ -108,8 +109,8 @@ def path_of(url: Column) -> Column:
 
 
 def url_priority(url: Column) -> Column:
-    """How early a page should be crawled, by words of its path."""
-    path = F.lower(F.coalesce(F.try_url_decode(path_of(url)), path_of(url)))
+    """How early a page should be crawled, by words of its path as written."""
+    path = F.lower(path_of(url))
     (value, words), *more = PRIORITIES
     out = F.when(path.rlike(words), value)
     for value, words in more:
@@ -121,16 +122,18 @@ def has_skipped_extension(url: Column) -> Column:
     return F.lower(path_of(url)).rlike(rf"[.]({'|'.join(SKIP_EXTENSIONS)})$")
 
 
+# Hosts and paths of links that only share, and paths that are links to platforms gone wrong.
+_SHARING = (("linkedin.com", "facebook.com", "twitter.com", "x.com"), "^/(share|sharer|intent)"), (("t.me", "telegram.me", "telegram.dog"), "^/share"), (("wa.me", "api.whatsapp.com"), "")
+_MISLED = ("ble.ir", "t.me", "telegram.me", "facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com")
+
+
 def is_share_link(url: Column) -> Column:
     """Links that share or message on a platform and lead to no content."""
     name, path = site_key(url), F.lower(path_of(url))
-    on = lambda *hosts: name.rlike(rf"(^|[.])({'|'.join(h.replace('.', '[.]') for h in hosts)})$")
-    return (
-        (on("facebook.com", "twitter.com", "x.com", "linkedin.com") & path.rlike("share|sharer|intent"))
-        | (on("t.me", "telegram.me", "telegram.dog") & path.rlike("^/share"))
-        | on("wa.me", "api.whatsapp.com")
-        | path.rlike(r"^/(t[.]me|telegram[.]me|wa[.]me|api[.]whatsapp[.]com|instagram[.]com|facebook[.]com|twitter[.]com|linkedin[.]com)/")
-    )
+    out = path.rlike(f"^/({'|'.join(h.replace('.', '[.]') for h in _MISLED)})/")
+    for hosts, start in _SHARING:
+        out = out | (name.isin(*hosts) & path.rlike(start))
+    return out
 
 
 def is_allowed(domain: Column, seeds: tuple[str, ...] = (), tlds: tuple[str, ...] = (".ir",)) -> Column:

@@ -179,14 +179,20 @@ def evidence_json(merged: DataFrame, key: str = "domain") -> DataFrame:
     return merged.select(key, F.to_json(F.struct(*[F.when(there, F.col(c)).alias(c) for c, there in has.items()])).alias("evidence"))
 
 
-def technology_evidence(df: DataFrame) -> DataFrame:
-    """One row per (domain, technology): highest confidence, summed evidence, first and last sight, first source."""
-    at = F.struct("first_seen", "source_url")
+def technology_evidence(df: DataFrame, before: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (domain, technology): highest confidence, summed evidence, first and last sight, first source (in order of ``before``, then time)."""
+    at = F.struct(*before, "first_seen", "source_url")
     return df.filter("trim(domain) <> '' and trim(technology) <> ''").groupBy("domain", "technology").agg(
-        F.max("confidence").alias("confidence"), F.sum("evidence_count").alias("evidence_count"), F.min_by("source_url", at).alias("source_url"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+        F.max("confidence").alias("confidence"), F.sum("evidence_count").alias("evidence_count"), F.min_by("source_url", at).alias("source_url"), F.min_by("first_seen", F.when(F.col("first_seen").isNotNull(), at)).alias("first_seen"), F.max("last_seen").alias("last_seen")
     )
 
 
+def merged_technologies(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored evidence with a batch folded in: stored rows come first, whatever their times."""
+    both = stored.withColumn("_late", F.lit(0)).unionByName(batch.withColumn("_late", F.lit(1)), allowMissingColumns=True)
+    return technology_evidence(both, ("_late",))
+
+
 def site_technologies(evidence: DataFrame) -> DataFrame:
     """Technologies of each site numbered by falling confidence, then name; a site has as many rows as technologies."""
     place = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("confidence").desc(), "technology", "source_url"))

@@ -2,78 +2,37 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kavosh.functions import classify, phones, text, urls
+from kavosh.functions.jsonld import jsonld_blocks, jsonld_contacts
 from kavosh.functions.dicts import SOCIAL_HOSTS
 from kavosh.operators.contacts import latest_first, safe_name
 from kavosh.sources.tables import spread
 
-# Keys of linked data that name URLs, and those that name ways of contact.
-URL_KEYS = ("url", "@id", "sameAs", "mainEntityOfPage", "image", "logo")
-CONTACT_KEYS = ("telephone", "phone", "email")
-
-
-def _walk(node: object, key: str | None = None) -> Iterator[tuple[str | None, str]]:
-    """Every string of a JSON value with the key it stands under; lists pass their key on."""
-    stack = [(key, node)]
-    while stack:
-        k, n = stack.pop()
-        if isinstance(n, str):
-            yield k, n
-        elif isinstance(n, dict):
-            stack.extend(reversed(list(n.items())))
-        elif isinstance(n, list):
-            stack.extend((k, x) for x in reversed(n))
-
-
-def _loads(block: object) -> object:
-    try:
-        return json.loads(block) if isinstance(block, str) else None
-    except ValueError:
-        return None
-
-
-def jsonld_blocks(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>\s*(.*?)\s*</script>"), F.lit(1))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def jsonld_urls(blocks: pd.Series) -> pd.Series:
-    """URLs in linked data, in document order: values of ``URL_KEYS`` and anything that starts with http. Broken JSON gives none."""
-    return blocks.map(lambda bs: list(dict.fromkeys(s for b in (bs if bs is not None else ()) for k, s in _walk(_loads(b)) if s.startswith("http") or (k in URL_KEYS and s.strip()))))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def jsonld_contacts(blocks: pd.Series) -> pd.Series:
-    """Strings under ``CONTACT_KEYS`` in linked data."""
-    return blocks.map(lambda bs: [s for b in (bs if bs is not None else ()) for k, s in _walk(_loads(b)) if k in CONTACT_KEYS])
-
-
-def linked(html: Column, prefix: str) -> Column:
-    """What links of a kind (tel:, mailto:) point to, without parameters."""
-    found = F.filter(text.hrefs(html), lambda h: F.lower(h).startswith(prefix))
+def linked(hrefs: Column, prefix: str) -> Column:
+    """What links of a kind (tel:, mailto:) among targets point to, without parameters."""
+    found = F.filter(hrefs, lambda h: F.lower(h).startswith(prefix))
     return F.transform(found, lambda h: F.coalesce(F.try_url_decode(F.regexp_replace(F.substr(h, F.lit(len(prefix) + 1)), r"\?.*$", "")), h))
 
 
 def extract(pages: DataFrame, batch_time: Column | None = None) -> DataFrame:
     """Contact rows of pages(url, html[, headers]): typed columns, nothing joined to text yet.
 
-    The page's text and lists are computed once in one projection and used in the next; the
-    HTML itself is dropped there, so nothing wide travels on. Narrow throughout.
+    The page's text and lists are computed once in one projection, entities decoded in the next, and used in the
+    third; the HTML itself is dropped on the way, so nothing wide travels on. Narrow throughout.
     """
     html, url = F.col("html"), F.col("url")
     headers = F.col("headers") if "headers" in pages.columns else F.lit("")
-    first = spread(pages.select("url", "html", headers.alias("headers"))).filter("html is not null").select(
-        "url", urls.site_key(url).alias("domain"), text.page_title(html).alias("title"), text.visible_text(html).alias("text"),
-        F.array_join(linked(html, "tel:"), " ; ").alias("tel"), F.size(linked(html, "mailto:")).alias("n_mail"), F.array_join(linked(html, "mailto:"), " ; ").alias("mail"), F.array_join(jsonld_contacts(jsonld_blocks(html)), " ; ").alias("ld"),
-        text.socials(html).alias("socials"), classify.detect_technologies(html, url, headers).alias("technologies"), text.business_name(html, urls.site_key(url)).alias("business_name"), text.address(html, text.visible_text(html, "\n")).alias("address"),
+    parts = spread(pages.select("url", "html", headers.alias("headers"))).filter("html is not null").select(
+        "url", urls.site_key(url).alias("domain"), text.page_title(html).alias("title"), text.visible_text(html, "\n").alias("lines"), text.hrefs(html).alias("hrefs"), text.name_candidates(html).alias("names"),
+        text.address_candidates(html).alias("places"), F.array_join(jsonld_contacts(jsonld_blocks(html)), " ; ").alias("ld"), classify.detect_technologies(html, url, headers).alias("technologies"),
+    )
+    hrefs = F.col("hrefs")
+    first = parts.select(
+        "url", "domain", "title", F.replace("lines", F.lit("\n"), F.lit(" ")).alias("text"), F.array_join(linked(hrefs, "tel:"), " ; ").alias("tel"), F.size(linked(hrefs, "mailto:")).alias("n_mail"), F.array_join(linked(hrefs, "mailto:"), " ; ").alias("mail"), "ld",
+        text.profiles(hrefs, url).alias("socials"), "technologies", text.best_name(F.col("names"), F.col("title"), F.col("domain")).alias("business_name"), text.best_address(F.col("places"), F.col("lines")).alias("address"),
     )
     everywhere = F.concat_ws(" ; ", "text", "tel", "mail", "ld")  # no number or address spans the marks between
     rows = first.select(
@@ -82,7 +41,7 @@ def extract(pages: DataFrame, batch_time: Column | None = None) -> DataFrame:
     )
     here = lambda has: F.when(has, F.array("url")).otherwise(F.array().cast("array<string>"))
     has = {
-        "phones": F.size("phones") > 0, "emails": F.size("emails") > 0, "address": F.col("address") != "", "business_name": F.col("business_name") != F.col("domain"), "city": F.col("city").isNotNull(),
+        "phones": F.size("phones") > 0, "emails": F.size("emails") > 0, "address": F.col("address") != "", "business_name": F.col("business_name") != "", "city": F.col("city").isNotNull(),
         "category": F.col("category").isNotNull(), "socials": F.size("socials") > 0, "technologies": F.size("technologies") > 0,
     }
     evidence = F.struct(
@@ -91,7 +50,7 @@ def extract(pages: DataFrame, batch_time: Column | None = None) -> DataFrame:
     )
     quality = classify.quality_score(has["phones"], has["emails"], has["socials"], has["technologies"], F.col("business_name"), F.col("domain"), F.col("city"), F.col("address"))
     return rows.select(
-        F.col("url").alias("source_url"), "domain", "title", "phones", "emails", "address", text.clean_business_name(F.col("business_name"), F.col("domain")).alias("business_name"), "category", "city", "socials", "technologies",
+        F.col("url").alias("source_url"), "domain", "title", "phones", text.normalize_emails(F.col("emails")).alias("emails"), "address", text.clean_business_name(F.col("business_name"), F.col("domain")).alias("business_name"), "category", "city", "socials", "technologies",
         (batch_time if batch_time is not None else F.current_timestamp()).alias("crawled_at"), quality.alias("quality_score"), evidence.alias("evidence"),
     )
 
@@ -136,26 +95,3 @@ def wide_socials(rows: DataFrame, key: str = "domain", column: str = "socials",
     return pairs.groupBy(key).agg(*cells) if cells else pairs.select(key).distinct()
 
 
-# --- the reduced profile -------------------------------------------------------------------
-
-# Word marks of the reduced profile's technologies.
-LITE_TECHNOLOGIES = {
-    "WordPress": ("wp-content", "wp-includes"), "WooCommerce": ("woocommerce",), "Joomla": ("joomla",), "Drupal": ("drupal",), "Shopify": ("shopify",), "Laravel": ("laravel",), "React": ("react",), "Bootstrap": ("bootstrap",),
-}
-
-
-def lite_technologies(html: Column) -> Column:
-    """Name(confidence) of each technology a page mentions, by plain word marks."""
-    low, out = F.lower(F.coalesce(html, F.lit(""))), []
-    for name, marks in LITE_TECHNOLOGIES.items():
-        hits = sum((low.contains(m).cast("int") for m in marks), F.lit(0))
-        share = F.round(F.least(hits / F.lit(max(0.6 * len(marks), 1.0)), F.lit(1.0)), 2)
-        out.append(F.when(hits > 0, F.concat(F.lit(f"{name}("), F.when(share < 0.35, 0.5).otherwise(share).cast("string"), F.lit(")"))))
-    return F.array_compact(F.array(*out))
-
-
-def lite_same_host_links(page: Column, html: Column, limit: int = 30) -> Column:
-    """Targets on a page's own host among its first links; how many are looked at is the profile's setting."""
-    first = F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'#]+)[\"']"), F.lit(1)), 1, limit)
-    absolute = F.transform(first, lambda h: F.when(h.rlike("(?i)^https?://"), h).when(h.startswith("//"), F.concat(F.lit("https:"), h)).when(h.startswith("/"), F.concat(F.regexp_extract(page, "(?i)^(https?://[^/]+)", 1), h)))
-    return F.array_distinct(F.filter(absolute, lambda u: u.isNotNull() & (urls.site_key(u) == urls.site_key(page))))

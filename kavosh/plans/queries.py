@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavosh.functions import classify, phones, text, urls
+from kavosh.functions import classify, lite, phones, text, urls
 from kavosh.functions.dicts import (
-    AREA_CODES, CATEGORIES, CITIES, GENERAL, GENERIC_NAMES, MOBILE, OTHER_PRIORITY, PLATFORM_HOSTS, PRIORITIES, QUALITY, SKIP_EXTENSIONS, TECHNOLOGIES, TECHNOLOGY_ORDER, TRACKING_PARAMS,
+    AREA_CODES, CATEGORIES, CITIES, EMAIL_IN_TEXT, GENERAL, GENERIC_NAMES, MOBILE, OTHER_PRIORITY, PLATFORM_HOSTS, PRIORITIES, QUALITY, SKIP_EXTENSIONS, TECHNOLOGIES, TECHNOLOGY_ORDER, TRACKING_PARAMS,
 )
-from kavosh.operators import contacts, extract, layers, links
+from kavosh.operators import contacts, extract, frontier, layers, links
 from kavosh.sources.tables import load, spread
 
 c = F.col
@@ -45,22 +45,26 @@ def _site_key(x: str) -> str:
     return _SITE_KEY % x
 
 
-@query(rf"""
-WITH u AS (SELECT url_id, trim(url) AS url FROM crawl_urls),
-p AS (SELECT url_id, lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS sch, lower({_AUTHORITY % "url"}) AS net,
+def _canonical_sql(table: str, key: str, url: str) -> str:
+    """(key, canonical, site_key) of each row of a table."""
+    return rf"""(WITH u AS (SELECT {key} AS key, trim({url}) AS url FROM {table}),
+p AS (SELECT key, lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS sch, lower({_AUTHORITY % "url"}) AS net,
         regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '#.*$', '') AS rest, {_site_key("url")} AS site_key FROM u),
-r AS (SELECT *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') AS path, regexp_extract(rest, '\?(.*)$', 1) AS query FROM p),
-k AS (SELECT url_id, regexp_extract(x, '^([^=]*)', 1) AS k, regexp_extract(x, '^[^=]*=(.*)$', 1) AS v FROM (SELECT url_id, unnest(string_split(query, '&')) AS x FROM r) WHERE x <> ''),
-e AS (SELECT url_id, replace(replace(url_encode(url_decode(replace(k, '+', ' '))), '%20', '+'), '%7E', '~') AS k, replace(replace(url_encode(url_decode(replace(v, '+', ' '))), '%20', '+'), '%7E', '~') AS v FROM k),
-g AS (SELECT url_id, string_agg(k || '=' || v, '&' ORDER BY k, v) AS q FROM e WHERE lower(k) NOT IN ({", ".join(map(_q, TRACKING_PARAMS))}) GROUP BY url_id)
-SELECT r.url_id, CASE WHEN sch IN ('http', 'https') AND net <> '' THEN sch || '://' || net || CASE WHEN path = '' THEN '/' ELSE path END || coalesce('?' || q, '') END AS canonical, site_key
-FROM r LEFT JOIN g USING (url_id)""")
+r AS (SELECT *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), ';[^/]*$', '') AS path, regexp_extract(rest, '\?(.*)$', 1) AS query FROM p),
+k AS (SELECT key, regexp_extract(x, '^([^=]*)', 1) AS k, regexp_extract(x, '^[^=]*=(.*)$', 1) AS v FROM (SELECT key, unnest(string_split(query, '&')) AS x FROM r) WHERE x <> ''),
+e AS (SELECT key, replace(replace(url_encode(url_decode(replace(k, '+', ' '))), '%20', '+'), '%7E', '~') AS k, replace(replace(url_encode(url_decode(replace(v, '+', ' '))), '%20', '+'), '%7E', '~') AS v FROM k),
+g AS (SELECT key, string_agg(k || '=' || v, '&' ORDER BY k, v) AS q FROM e WHERE lower(k) NOT IN ({", ".join(map(_q, TRACKING_PARAMS))}) GROUP BY key)
+SELECT r.key, CASE WHEN sch IN ('http', 'https') AND net <> '' THEN sch || '://' || net || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END || coalesce('?' || q, '') END AS canonical, site_key
+FROM r LEFT JOIN g USING (key))"""
+
+
+@query(f"SELECT key AS url_id, canonical, site_key FROM {_canonical_sql('crawl_urls', 'url_id', 'url')}")
 def url_canonical(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "crawl_urls").select("url_id", urls.canonical(c("url")).alias("canonical"), urls.site_key(c("url")).alias("site_key"))
 
 
 @query(rf"""
-SELECT url_id, CASE {" ".join(f"WHEN regexp_matches(lower(url_decode({_PATH % 'url'})), {_q(w)}) THEN {n}" for n, w in PRIORITIES)} ELSE {OTHER_PRIORITY} END AS priority,
+SELECT url_id, CASE {" ".join(f"WHEN regexp_matches(lower({_PATH % 'url'}), {_q(w)}) THEN {n}" for n, w in PRIORITIES)} ELSE {OTHER_PRIORITY} END AS priority,
        regexp_matches(lower({_PATH % "url"}), '[.]({"|".join(SKIP_EXTENSIONS)})$') AS skipped
 FROM crawl_urls WHERE url IS NOT NULL""")
 def url_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +99,22 @@ def phone_normalize(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", phones.normalize_iranian(c("raw")).alias("phone"), phones.classify_phone(c("raw")).alias("kind"))
 
 
-@query()
+_SIGNAL_PATTERNS = [p.replace("(?<![0-9])", "(?:^|[^0-9])(", 1).removesuffix("(?![0-9])") + ")(?:[^0-9]|$)" for p in phones.PHONE_PATTERNS]
+_EMAIL_BODY = EMAIL_IN_TEXT.removeprefix(r"(?U)(?<![\w.+-])").removesuffix(r"(?![\w.-])")
+
+
+# every character that may stand around a number or an address is doubled, so that patterns without look-around can take one copy on each side
+@query(f"""
+WITH t AS (SELECT id, concat_ws(' ; ', phones, emails, address, title) AS t FROM contacts),
+d AS (SELECT id, regexp_replace({_DIGITS % "t"}, '([^0-9])', '\\1\\1', 'g') AS t FROM t),
+h AS (SELECT id, regexp_replace(unnest({" || ".join(f"regexp_extract_all(t, {_q(p)}, 1)" for p in _SIGNAL_PATTERNS)}), '([^0-9])[^0-9]', '\\1', 'g') AS raw FROM d),
+n AS (SELECT id, raw, {_NATIONAL} AS n FROM h), f AS (SELECT id, raw, CASE WHEN regexp_full_match(n, '9[0-9]{{9}}') THEN '0' || n ELSE n END AS m, CASE WHEN regexp_full_match(n, '[0-9]{{10}}') THEN '0' || n ELSE n END AS k FROM n),
+p AS (SELECT id, string_agg(DISTINCT v, ',' ORDER BY v) AS phones FROM (SELECT id, CASE WHEN regexp_full_match(m, '0[0-9]{{10}}') THEN m ELSE trim(raw) END AS v FROM f WHERE regexp_full_match(k, '{MOBILE}') OR regexp_full_match(k, '{_LANDLINE}')) GROUP BY id),
+m AS (SELECT id, lower(unnest(regexp_extract_all(regexp_replace(translate(t, chr(8203) || chr(8204), ''), '([^\\p{{L}}\\p{{M}}\\p{{N}}_.+@%-])', '\\1\\1', 'g'), {_q(r"(?:^|[^\p{L}\p{M}\p{N}_.+-])" + _EMAIL_BODY + r"(?:[^\p{L}\p{M}\p{N}_.-]|$)")}, 1))) AS e FROM t),
+e AS (SELECT id, string_agg(DISTINCT e, ',' ORDER BY e) AS emails FROM m WHERE NOT contains(e, '..') AND length(e) <= 254 GROUP BY id)
+SELECT id, coalesce(phones, '') AS phones, coalesce(emails, '') AS emails FROM t LEFT JOIN p USING (id) LEFT JOIN e USING (id)""")
 def contact_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers and addresses found in free text; look-around patterns, so no SQL (tested by brute force)."""
+    """Numbers and addresses found in free text."""
     t = load(spark, d, "contacts").select("id", F.concat_ws(" ; ", "phones", "emails", "address", "title").alias("t"))
     return t.select("id", F.array_join(phones.extract_phones(c("t")), ",").alias("phones"), F.array_join(text.extract_emails(c("t")), ",").alias("emails"))
 
@@ -105,6 +122,10 @@ def contact_signals(spark: SparkSession, d: str) -> DataFrame:
 _PLAIN = "lower(translate(%s, 'يك' || chr(8204), 'یک '))"
 
 
+def _lite_sql(x: str, table: dict[str, tuple[str, ...]], default: str) -> str:
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({x}), {_q(w)})" for w in ws) + f" THEN {_q(k)}" for k, ws in table.items()) + f" ELSE {default} END"
+
+
 def _detect(x: str, table: dict[str, tuple[str, ...]], default: str) -> str:
     hits = {k: " + ".join(f"contains({x}, {_q(w.lower())})::INT" for w in ws) for k, ws in table.items()}
     best = f"greatest({', '.join(hits.values())})"
@@ -150,21 +171,33 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
 
 # --- pages -------------------------------------------------------------------------------
 
-_HTML = """concat('<html><head><title>', coalesce(replace(title, '<', ''), ''), '</title><link rel="canonical" href="', source_url, '"><script src="/wp-content/', lower(coalesce(technologies, '')), '.js"></script></head><body data-v-', id % 10, '><p>',
-  coalesce(replace(business_name, '<', ''), ''), '</p><script>var x = 1;</script><div>', coalesce(replace(address, '<', ''), ''), '</div><a href="/contact?id=', id % 7, '&utm_source=x">c</a><a href="//cdn-host.example/a.css">d</a></body></html>')"""
-#: A page for each contact row, the same text in both engines.
-PAGES = f"SELECT id, source_url AS url, {_HTML} AS html FROM contacts WHERE source_url IS NOT NULL"
+_ESC = "replace(replace(coalesce(%s, ''), '&', '&amp;'), '<', '&lt;')"
+_MOBILE_OF = "concat('0912', lpad(cast(id %% 10000000 as string), 7, '0'))".replace("%%", "%")
+#: A page for each contact row, written the same way in both engines: its parts come back out of the extractors.
+_HTML = f"""concat('<html><head><title> {_ESC % "title"} </title>'""".replace(f"{_ESC % 'title'}", f"', {_ESC % 'title'}, '") + f""", '<link rel="canonical" href="', {_ESC % "source_url"}, '"><meta property="og:site_name" content="', replace({_ESC % "business_name"}, '"', '&quot;'), '">',
+  '<script type="application/ld+json">{{{{"@type": "Store", "telephone": "+98', substring({_MOBILE_OF}, 2, 10), '", "url": "/relative", "sameAs": ["https:\\\\/\\\\/linked.example\\\\/', cast(id % 50 as string), '" ], "logo": "https://img.example/l.png" }}}}</script>',
+  '<script src="/wp-content/', lower(coalesce(technologies, '')), '.js"></script><meta http-equiv="refresh" content="5; url=/next"></head><body class=main data-v-', cast(id % 10 as string), '><p>', {_ESC % "business_name"},
+  '</p><script>var x = "09351112233";</script><address>', {_ESC % "address"}, '</address><a href="/contact?id=', cast(id % 7 as string), '&amp;utm_source=x&amp;b=2">c&nbsp;</a><a href=''//cdn-host.example/a.css''>d</a><a href=tel:', {_MOBILE_OF}, '>t</a>',
+  '<a href="mailto:Info', cast(id % 100 as string), '@Mail.example.com?subject=x">m</a><a href="https://www.instagram.com/shop', cast(id % 9 as string), '?a=1&amp;b=2">i</a><img src="/i.png" srcset="/s1.png 1x, /s2.png 2x"></body></html>')"""
+_HTML = _HTML.replace("{{", "{").replace("}}", "}")
+#: The same expression in the other engine, which reads no backslashes in strings.
+_HTML_SQL = _HTML.replace("\\\\", "\\").replace("as string", "as varchar")
+PAGES = f"SELECT id, source_url AS url, {_HTML_SQL} AS html FROM contacts WHERE source_url IS NOT NULL"
+_SP = rf"[\s{text.SPACES}]+"
+
+
+def _blanked(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SP}|{_SP}$', '', 'g')"
+
+
+_VISIBLE = f"array_to_string(list_filter([{_blanked('coalesce(business_name, chr(32))')}, {_blanked('coalesce(address, chr(32))')}, 'c', 'd', 't', 'm', 'i'], lambda x: x <> ''), ' ')"
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "contacts").filter("source_url is not null").select("id", c("source_url").alias("url"), F.expr(_HTML).alias("html"))
 
 
-@query(rf"""
-WITH p AS ({PAGES}),
-b AS (SELECT id, html, regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1), '(?is)<script\b[^>]*>.*?</script\s*>', chr(1), 'g') AS body FROM p),
-s AS (SELECT id, html, list_transform(string_split(regexp_replace(body, '(?s)<[^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\s{text.SPACES}]+|[\s{text.SPACES}]+$', '', 'g')) AS nodes FROM b)
-SELECT id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, array_to_string(list_filter(nodes, lambda x: x <> ''), ' ') AS visible FROM s""")
+@query(f"SELECT id, {_blanked('coalesce(title, chr(32))')} AS title, {_VISIBLE} AS visible FROM contacts WHERE source_url IS NOT NULL")
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("id", text.page_title(c("html")).alias("title"), text.visible_text(c("html")).alias("visible"))
 
@@ -191,10 +224,23 @@ def tech_detect(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", c("t.name").alias("technology"), "t.confidence", "t.evidence_count")
 
 
-@query()
+_CRAWLED_SQL = rf"""site_key LIKE '%.ir.example' AND NOT regexp_matches(lower({_PATH % "canonical"}), '[.]({"|".join(SKIP_EXTENSIONS)})$')"""
+
+
+@query(rf"""
+WITH p AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_extract(url, '^([A-Za-z]+:)', 1) AS sch FROM ({PAGES}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1),
+l AS (SELECT url, unnest([{{'ord': 0, 'kind': 'anchor', 'to': origin || '/contact?id=' || id % 7 || '&utm_source=x&b=2'}}, {{'ord': 0, 'kind': 'anchor', 'to': sch || '//cdn-host.example/a.css'}}, {{'ord': 0, 'kind': 'anchor', 'to': 'https://www.instagram.com/shop' || id % 9 || '?a=1&b=2'}},
+    {{'ord': 1, 'kind': 'canonical', 'to': url}}, {{'ord': 4, 'kind': 'image', 'to': origin || '/i.png'}}, {{'ord': 12, 'kind': 'srcset', 'to': origin || '/s1.png'}}, {{'ord': 12, 'kind': 'srcset', 'to': origin || '/s2.png'}},
+    {{'ord': 13, 'kind': 'meta_refresh', 'to': origin || '/next'}}, {{'ord': 14, 'kind': 'jsonld', 'to': 'https://linked.example/' || id % 50}}, {{'ord': 14, 'kind': 'jsonld', 'to': 'https://img.example/l.png'}}], recursive := true) FROM p
+  UNION ALL SELECT url, 3, 'script', origin || regexp_replace(regexp_extract(html, 'script src="([^"]*)"', 1), '^[ \t\r\n.,;:!?)\]}}''"]+|[ \t\r\n.,;:!?)\]}}''"]+$', '', 'g') FROM p
+  UNION ALL SELECT url, 15, 'text_or_script', x FROM (SELECT url, unnest(list_transform(regexp_extract_all(html, '(?i)https?://[^\s<>]+'), lambda u: regexp_replace(u, '^[ \t\r\n.,;:!?)\]}}''"]+|[ \t\r\n.,;:!?)\]}}''"]+$', '', 'g'))) AS x FROM p)),
+n AS (SELECT url, ord, kind, "to", row_number() OVER () AS k FROM l), s AS (SELECT n.url, n.ord, n.kind, x.canonical, x.site_key FROM n JOIN {_canonical_sql("n", "k", '"to"')} x ON x.key = n.k WHERE canonical IS NOT NULL),
+f AS (SELECT url, canonical, site_key, arg_min(kind, ord) AS link_type FROM s GROUP BY 1, 2, 3)
+SELECT url AS source_url, canonical AS target_url, site_key AS target_domain, site_key <> {_site_key("url")} AS external, link_type NOT IN ('script', 'image', 'srcset') AND {_CRAWLED_SQL} AS crawlable, link_type FROM f""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of the pages; look-ahead patterns, so no SQL (tested against html.parser)."""
-    return links.page_links(pages(spark, d).select("url", "html").dropDuplicates(["url"]), (), (".ir.example",))
+    """Edges of the pages, of each URL the first page."""
+    first = pages(spark, d).groupBy("url").agg(F.min_by("html", "id").alias("html"))
+    return links.page_links(first, (), (".ir.example",))
 
 
 @query(f"""
@@ -222,38 +268,114 @@ def links_fold(spark: SparkSession, d: str) -> DataFrame:
     return links.fold_links(load(spark, d, "discovered_links"))
 
 
+#: The state table after a new cycle began with batch 9: what failed before may be tried again.
+_CYCLE = "WITH cu AS (SELECT * REPLACE (CASE WHEN status = 'failed' AND batch_no < 9 THEN 'retry_pending' ELSE status END AS status) FROM crawl_urls)"
+
+
+def cycle(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "crawl_urls").withColumn("status", F.when((c("status") == "failed") & (c("batch_no") < 9), "retry_pending").otherwise(c("status")))
+
+
 _STATE = """
 SELECT e.*, CASE WHEN NOT coalesce(e.crawlable, false) THEN 'NON_CRAWLABLE' WHEN u.status = 'crawled' THEN 'CRAWLED' WHEN u.status = 'queued' THEN 'QUEUED' WHEN u.status = 'failed' AND u.failure_reason ILIKE 'robots%' THEN 'ROBOTS_BLOCKED'
-  WHEN u.status = 'failed' THEN 'FAILED' WHEN u.status = 'blocked' THEN 'BLOCKED' ELSE 'DISCOVERED' END AS crawl_status
-FROM discovered_links e LEFT JOIN (SELECT * FROM crawl_urls QUALIFY row_number() OVER (PARTITION BY url ORDER BY first_seen DESC, url_id DESC) = 1) u ON e.target_url = u.url"""
+  WHEN u.status = 'failed' THEN 'FAILED' WHEN u.status = 'retry_pending' THEN 'RETRY_PENDING' ELSE 'DISCOVERED' END AS crawl_status
+FROM discovered_links e LEFT JOIN (SELECT * FROM cu WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY first_seen DESC, url_id DESC) = 1) u ON e.target_url = u.url"""
 
 
-@query(f"SELECT target_domain, crawl_status, count(*) AS n_links FROM ({_STATE}) GROUP BY 1, 2")
+@query(f"{_CYCLE} SELECT target_domain, crawl_status, count(*) AS n_links FROM ({_STATE}) GROUP BY 1, 2")
 def links_status(spark: SparkSession, d: str) -> DataFrame:
-    state = links.target_state(load(spark, d, "discovered_links"), load(spark, d, "crawl_urls"))
+    state = links.target_state(load(spark, d, "discovered_links"), cycle(spark, d))
     return state.groupBy("target_domain", "crawl_status").agg(F.count("*").alias("n_links"))
 
 
-@query(f"SELECT id, source_url, target_url, crawl_status FROM ({_STATE}) WHERE external AND NOT crawlable AND (source_url ILIKE '%shop%' OR target_url ILIKE '%shop%' OR target_domain ILIKE '%shop%') ORDER BY first_seen DESC, id LIMIT 50 OFFSET 50")
+_SHOP = "external AND NOT crawlable AND (source_url ILIKE '%shop%' OR target_url ILIKE '%shop%' OR target_domain ILIKE '%shop%')"
+
+
+@query(f"{_CYCLE}, f AS (SELECT id, source_url, target_url, crawl_status, first_seen FROM ({_STATE}) WHERE {_SHOP}) SELECT id, source_url, target_url, crawl_status, (SELECT count(*) FROM f) AS total, (SELECT greatest(1, ceil(count(*) / 50))::INT FROM f) AS total_pages FROM f ORDER BY first_seen DESC, id LIMIT 50 OFFSET 50")
 def links_page(spark: SparkSession, d: str) -> DataFrame:
-    """The second page of a searched list, 50 a page."""
-    found = links.search_links(load(spark, d, "discovered_links"), "shop", False)
-    shown = links.page_of(found, 2, 50, c("first_seen").desc(), c("id"))
-    return links.target_state(shown, load(spark, d, "crawl_urls")).select("id", "source_url", "target_url", "crawl_status")
+    """The second page of a searched list, 50 a page, with the list's total and number of pages."""
+    found = links.search_links(load(spark, d, "discovered_links"), "shop", links.crawlable_flag("denied"))
+    shown = links.with_totals(found, 2, 50, c("first_seen").desc(), c("id"))
+    return links.target_state(shown, cycle(spark, d)).select("id", "source_url", "target_url", "crawl_status", "total", "total_pages")
+
+
+@query(f"{_CYCLE} SELECT {', '.join(links.LINK_COLUMNS)} FROM ({_STATE}) WHERE external AND NOT crawlable")
+def links_denied(spark: SparkSession, d: str) -> DataFrame:
+    """The list of external links that may not be crawled, as it is downloaded."""
+    return links.link_list(load(spark, d, "discovered_links"), cycle(spark, d), crawlable_only=False)
 
 
 @query("""
 SELECT * FROM (SELECT count(*) AS n_links, count(DISTINCT target_domain) FILTER (WHERE external) AS n_external_domains, count(*) FILTER (WHERE crawlable) AS n_crawlable FROM discovered_links),
- (SELECT count(*) FILTER (WHERE status = 'crawled') AS n_crawled, count(DISTINCT domain) AS n_domains, count(*) FILTER (WHERE status IN ('failed', 'retry_pending')) AS n_failed, count(*) FILTER (WHERE failure_reason ILIKE 'robots%') AS n_robots FROM crawl_urls)""")
+ (SELECT count(*) FILTER (WHERE status = 'crawled') AS n_crawled, count(DISTINCT domain) FILTER (WHERE status = 'crawled') AS n_domains, count(*) FILTER (WHERE status IN ('failed', 'retry_pending')) AS n_failed, count(*) FILTER (WHERE failure_reason ILIKE 'robots%') AS n_robots FROM crawl_urls)""")
 def crawl_figures(spark: SparkSession, d: str) -> DataFrame:
     return links.crawl_figures(load(spark, d, "discovered_links"), load(spark, d, "crawl_urls"))
 
 
-@query("""
-WITH t AS (SELECT target_domain, target_url, min(first_seen) AS first_seen FROM discovered_links WHERE crawlable AND target_domain IS NOT NULL AND target_url NOT IN (SELECT url FROM crawl_urls WHERE url IS NOT NULL) GROUP BY 1, 2)
+@query(f"""
+{_CYCLE}, u AS (SELECT url FROM (SELECT url, status FROM cu WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY first_seen DESC, url_id DESC) = 1) WHERE status <> 'retry_pending'),
+t AS (SELECT target_domain, target_url, min(first_seen) AS first_seen FROM discovered_links WHERE crawlable AND target_domain IS NOT NULL AND target_url NOT IN (SELECT url FROM u) GROUP BY 1, 2)
 SELECT target_domain, target_url, first_seen, row_number() OVER (PARTITION BY target_domain ORDER BY first_seen, target_url)::INT AS place FROM t QUALIFY place <= 20""")
 def frontier_batch(spark: SparkSession, d: str) -> DataFrame:
-    return links.next_batch(load(spark, d, "discovered_links"), load(spark, d, "crawl_urls"), 20)
+    return links.next_batch(load(spark, d, "discovered_links"), cycle(spark, d), 20)
+
+
+@query("""
+WITH k AS (SELECT source_url, target_url, unnest(string_split(link_type, ',')) AS kind, generate_subscripts(string_split(link_type, ','), 1) AS i, (first_seen >= '2024-02-01') AS late, first_seen, id FROM discovered_links),
+m AS (SELECT source_url, target_url, kind, min(late::INT::VARCHAR || first_seen || lpad(id::VARCHAR, 19, '0') || lpad(i::VARCHAR, 3, '0')) AS arrival FROM k GROUP BY 1, 2, 3),
+t AS (SELECT source_url, target_url, string_agg(kind, ',' ORDER BY arrival) AS link_type FROM m GROUP BY 1, 2),
+g AS (SELECT source_url, target_url, arg_min_null(target_domain, first_seen || lpad(id::VARCHAR, 19, '0')) AS target_domain, bool_or(external) AS external, bool_or(crawlable) AS crawlable, min(first_seen) AS first_seen FROM discovered_links GROUP BY 1, 2)
+SELECT g.*, t.link_type FROM g JOIN t ON g.source_url IS NOT DISTINCT FROM t.source_url AND g.target_url IS NOT DISTINCT FROM t.target_url""")
+def links_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The stored edges of January with all later ones folded in."""
+    e = load(spark, d, "discovered_links")
+    return links.merged_links(links.fold_links(e.filter("first_seen < '2024-02-01'")), e.filter("first_seen >= '2024-02-01'"))
+
+
+# --- states of URLs ----------------------------------------------------------------------
+
+# A log of each URL row: reserved, or queued as a seed; then crawled or failed; every third batch begins with a reset.
+_LOG = """
+log AS (SELECT batch_no::BIGINT * 10000000000 + url_id * 10 + 1 AS seq, CASE WHEN source_url IS NULL THEN 'reserve_seed' ELSE 'reserve' END AS op, url, domain, source_url, NULL AS reason, first_seen AS "at" FROM crawl_urls
+  UNION ALL SELECT batch_no::BIGINT * 10000000000 + url_id * 10 + 2, CASE WHEN status = 'crawled' THEN 'crawled' ELSE 'failed' END, url, NULL, NULL, CASE WHEN status = 'blocked' THEN 'robots.txt' ELSE failure_reason END, coalesce(crawled_at, first_seen) FROM crawl_urls WHERE status <> 'queued'
+  UNION ALL SELECT batch_no::BIGINT * 10000000000, 'reset', NULL, NULL, NULL, NULL, NULL FROM crawl_batches WHERE batch_no % 3 = 0)"""
+
+
+def url_log(spark: SparkSession, d: str) -> DataFrame:
+    u = load(spark, d, "crawl_urls")
+    base, none = c("batch_no").cast("bigint") * 10000000000, F.lit(None).cast("string")
+    opened = u.select((base + c("url_id") * 10 + 1).alias("seq"), F.when(c("source_url").isNull(), "reserve_seed").otherwise("reserve").alias("op"), "url", "domain", "source_url", none.alias("reason"), c("first_seen").alias("at"))
+    done = u.filter("status <> 'queued'").select(
+        (base + c("url_id") * 10 + 2).alias("seq"), F.when(c("status") == "crawled", "crawled").otherwise("failed").alias("op"), "url", none.alias("domain"), none.alias("source_url"),
+        F.when(c("status") == "blocked", "robots.txt").otherwise(c("failure_reason")).alias("reason"), F.coalesce("crawled_at", "first_seen").alias("at"),
+    )
+    resets = load(spark, d, "crawl_batches").filter("batch_no % 3 = 0").select(base.alias("seq"), F.lit("reset").alias("op"), *[none.alias(x) for x in ("url", "domain", "source_url", "reason", "at")])
+    return opened.unionByName(done).unionByName(resets)
+
+
+# in SQL: each operation with those after it looked up by windows, not by the last of each kind
+_STATES = f"""{_LOG},
+o AS (SELECT *, count(*) FILTER (WHERE op LIKE 'reserve%') OVER w > 0 AS there, max(CASE WHEN op = 'reserve_seed' THEN seq END) OVER (PARTITION BY url) AS seed, (SELECT max(seq) FROM log WHERE op = 'reset') AS reset
+  FROM log WHERE url IS NOT NULL WINDOW w AS (PARTITION BY url ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS n, (op = 'reserve' AND n_before > 0) AS idle FROM (SELECT *, count(*) OVER (PARTITION BY url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_before FROM o WHERE there)),
+l AS (SELECT * FROM e WHERE NOT idle QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1), b AS (SELECT * FROM e WHERE CASE WHEN seed IS NULL THEN n = 1 ELSE seq = seed END),
+states AS (SELECT l.url, b.domain, CASE WHEN l.op = 'crawled' THEN 'crawled' WHEN l.op = 'failed' THEN CASE WHEN l.reset > l.seq THEN 'retry_pending' ELSE 'failed' END ELSE 'queued' END AS status, b.source_url, b."at" AS first_seen, c."at" AS crawled_at, nullif(trim(f.reason), '') AS failure_reason
+  FROM l JOIN b USING (url) LEFT JOIN (SELECT url, e."at" FROM e WHERE op = 'crawled' AND seq > coalesce(seed, -1) QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1) c USING (url)
+  LEFT JOIN (SELECT url, reason FROM e WHERE op IN ('crawled', 'failed') QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1) f USING (url))"""
+
+
+@query(f"WITH {_STATES} SELECT * FROM states")
+def url_states(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each URL after the whole log."""
+    return frontier.url_states(url_log(spark, d))
+
+
+@query(f"""
+WITH {_LOG}, s AS (SELECT a.seq, a.url, (SELECT max(b.seq) FROM log b WHERE b.url = a.url AND b.seq < a.seq AND b.op <> 'reserve') AS last, EXISTS (SELECT 1 FROM log b WHERE b.url = a.url AND b.seq < a.seq AND b.op LIKE 'reserve%') AS there FROM log a WHERE op = 'reserve' AND url IS NOT NULL)
+SELECT seq, url, NOT there OR EXISTS (SELECT 1 FROM log f, log r WHERE f.seq = s.last AND f.op = 'failed' AND r.op = 'reset' AND r.seq > f.seq AND r.seq < s.seq) AS granted FROM s""")
+def url_reservations(spark: SparkSession, d: str) -> DataFrame:
+    """Which reservations were granted when they were asked for."""
+    return frontier.reservations(url_log(spark, d))
 
 
 @query("""
@@ -284,6 +406,27 @@ def layer_finished(spark: SparkSession, d: str) -> DataFrame:
     return layers.finished_depth(_layer_state(spark, d))
 
 
+_FULL_LAYERS = "SELECT seed_url, url, min(depth)::INT AS depth, arg_max(status, k) AS status, arg_min(source_url, k) AS source_url, min(first_seen) AS first_seen, NULL::VARCHAR AS crawled_at FROM (SELECT domain AS seed_url, url, url_id % 4 AS depth, CASE status WHEN 'failed' THEN 'pending' ELSE status END AS status, coalesce(source_url, '') AS source_url, first_seen, url_id AS k FROM crawl_urls WHERE domain IS NOT NULL AND url IS NOT NULL) GROUP BY 1, 2"
+
+
+def _full_layers(spark: SparkSession, d: str) -> DataFrame:
+    u = load(spark, d, "crawl_urls").filter("domain is not null and url is not null").withColumn("status", F.when(c("status") == "failed", "pending").otherwise(c("status")))
+    return u.groupBy(c("domain").alias("seed_url"), "url").agg(
+        F.min(c("url_id") % 4).cast("int").alias("depth"), F.max_by("status", "url_id").alias("status"), F.min_by(F.coalesce("source_url", F.lit("")), "url_id").alias("source_url"), F.min("first_seen").alias("first_seen"), F.lit(None).cast("string").alias("crawled_at"))
+
+
+@query(f"""
+WITH s AS MATERIALIZED ({_FULL_LAYERS}), d AS (SELECT seed_url, min(depth) FILTER (WHERE status = 'crawled') AS done, min(depth) FILTER (WHERE status IN ('pending', 'queued')) AS o FROM s GROUP BY 1),
+p AS (SELECT s.* FROM s JOIN d USING (seed_url) WHERE s.depth = done AND s.status = 'crawled' AND (o IS NULL OR o > done)),
+n AS (SELECT p.seed_url, e.target_url AS url, min(p.depth + 1) AS depth, arg_min(p.url, e.first_seen || p.url) AS source_url, min(e.first_seen) AS first_seen FROM p JOIN discovered_links e ON e.source_url = p.url WHERE e.crawlable AND e.target_url IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT DISTINCT url FROM crawl_urls WHERE status = 'crawled')
+SELECT coalesce(s.seed_url, n.seed_url) AS seed_url, coalesce(s.url, n.url) AS url, least(s.depth, n.depth) AS depth, coalesce(s.status, CASE WHEN n.url IN (SELECT url FROM k) THEN 'crawled' ELSE 'pending' END) AS status, coalesce(s.source_url, n.source_url) AS source_url,
+  coalesce(s.first_seen, n.first_seen) AS first_seen, CASE WHEN s.url IS NULL AND n.url IN (SELECT url FROM k) THEN '2024-06-01T00:00:00' END AS crawled_at FROM s FULL JOIN n ON s.seed_url = n.seed_url AND s.url = n.url""")
+def layers_advanced(spark: SparkSession, d: str) -> DataFrame:
+    """The layered state after every site went on from its lowest finished layer."""
+    return frontier.advance_layered(_full_layers(spark, d), load(spark, d, "discovered_links"), load(spark, d, "crawl_urls"), "2024-06-01T00:00:00")
+
+
 @query("""
 WITH q AS (SELECT url_id, url FROM crawl_urls WHERE status = 'queued' AND url IS NOT NULL), a AS (SELECT DISTINCT target_url AS url FROM discovered_links WHERE target_url IS NOT NULL), k AS (SELECT DISTINCT url FROM crawl_urls WHERE status = 'crawled')
 SELECT url_id, url, CASE WHEN url IN (SELECT url FROM k) THEN 'crawled' ELSE 'pending' END AS status FROM q WHERE url NOT IN (SELECT url FROM a)""")
@@ -405,6 +548,15 @@ def tech_evidence(spark: SparkSession, d: str) -> DataFrame:
     return contacts.technology_evidence(load(spark, d, "site_technology_evidence"))
 
 
+@query("""
+WITH t AS (SELECT *, (last_seen >= '2024-02-01')::INT AS late FROM site_technology_evidence WHERE trim(domain) <> '' AND trim(technology) <> '')
+SELECT domain, technology, max(confidence) AS confidence, sum(evidence_count)::BIGINT AS evidence_count, arg_min(source_url, late || first_seen || source_url) AS source_url, arg_min(first_seen, late || first_seen || source_url) AS first_seen, max(last_seen) AS last_seen FROM t GROUP BY 1, 2""")
+def tech_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The stored evidence of January with all later rows folded in."""
+    t = load(spark, d, "site_technology_evidence")
+    return contacts.merged_technologies(contacts.technology_evidence(t.filter("last_seen < '2024-02-01'")), t.filter("last_seen >= '2024-02-01'"))
+
+
 def _cells_sql() -> str:
     def split(x: str, by: str) -> str:
         s = f"string_split(coalesce({x}, ''), '{by}')"
@@ -445,20 +597,26 @@ def export_cells(spark: SparkSession, d: str) -> DataFrame:
     return contacts.cells(contacts.sites(load(spark, d, "contacts")))
 
 
-@query(r"""
-SELECT id, array_to_string(list_distinct_ordered, ',') AS phones, coalesce(nullif(split_part(split_part(coalesce(title, ''), '-', 1), '|', 1), ''), domain) AS name
-FROM (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT *, list_transform(regexp_extract_all(coalesce(phones, ''), '(?:\+98|0098|98|0)?9[0-9]{9}'), lambda h: '0' || right(h, 10)) AS l FROM contacts))""")
+@query(f"""
+SELECT id, array_to_string(list_distinct_ordered, ',') AS phones, CASE WHEN coalesce(title, '') <> '' THEN split_part(split_part(title, '-', 1), '|', 1) ELSE domain END AS name,
+  {_lite_sql("coalesce(title, '') || ' ' || coalesce(address, '')", lite.LITE_CITIES, "''")} AS city, {_lite_sql("coalesce(title, '') || ' ' || coalesce(address, '')", lite.LITE_CATEGORIES, _q(GENERAL))} AS category
+FROM (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT *, list_transform(regexp_extract_all(coalesce(phones, ''), {_q(lite.LITE_MOBILE)}, 1), lambda h: '0' || h) AS l FROM contacts))""")
 def lite_extract(spark: SparkSession, d: str) -> DataFrame:
-    """The reduced profile: mobile numbers by a loose pattern and a name from the title."""
-    t = load(spark, d, "contacts")
-    name = F.split_part(F.split_part(F.coalesce("title", F.lit("")), F.lit("-"), F.lit(1)), F.lit("|"), F.lit(1))
-    return t.select("id", F.array_join(phones.lite_phones(c("phones")), ",").alias("phones"), F.coalesce(F.nullif(name, F.lit("")), c("domain")).alias("name"))
+    """The reduced profile: mobile numbers by a loose pattern, a name from the title, the first city and category of its lists."""
+    t, both = load(spark, d, "contacts"), F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("address", F.lit("")))
+    return t.select("id", F.array_join(lite.lite_phones(c("phones")), ",").alias("phones"), lite.lite_name(c("title"), c("domain")).alias("name"), lite.lite_city(both).alias("city"), lite.lite_category(both).alias("category"))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT id, source_url, lower(trim(domain)) AS dom, {_blanked("coalesce(title, chr(32))")} AS title, {_blanked("coalesce(business_name, chr(32))")} AS given, {_VISIBLE} AS visible, regexp_replace(trim(regexp_replace(coalesce(address, ''), {_q(_SP)}, ' ', 'g')), '^[ ,;|]+|[ ,;|]+$', '', 'g') AS place, {_site_key("source_url")} AS site FROM contacts WHERE source_url IS NOT NULL),
+t AS (SELECT *, {_PLAIN % "visible"} AS t, {_PLAIN % "visible || ' ' || site"} AS k FROM p)
+SELECT id, source_url, site AS domain, title, {_MOBILE_OF.replace("as string", "as varchar")} AS phones, 'info' || id % 100 || '@mail.example.com' AS emails, CASE WHEN length(place) BETWEEN 8 AND 300 THEN place ELSE '' END AS address,
+  {_detect("t", CITIES, "NULL")} AS city, {_detect("k", CATEGORIES, _q(GENERAL))} AS category, json_object('instagram', 'https://instagram.com/shop' || id % 9 || '?a=1&b=2')::VARCHAR AS socials FROM t""")
 def page_contacts(spark: SparkSession, d: str) -> DataFrame:
-    """Contact rows extracted from the pages; look-around patterns, so no SQL (tested on known pages)."""
-    return extract.at_rest(extract.extract(pages(spark, d), F.lit("2024-01-01").cast("timestamp"))).drop("evidence")
+    """Contact rows extracted from the pages; technologies, names and scores have queries of their own."""
+    rows = extract.at_rest(extract.extract(pages(spark, d).select(F.concat("url", F.lit("#"), "id").alias("url"), "html"), F.lit("2024-01-01").cast("timestamp")))
+    at = F.substring_index("source_url", "#", -1).cast("bigint")
+    return rows.select(at.alias("id"), F.regexp_replace("source_url", "#[0-9]+$", "").alias("source_url"), "domain", "title", "phones", "emails", "address", "city", "category", "socials")
 
 
 @query("""
@@ -509,9 +667,8 @@ def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS ({PAGES}), m AS (SELECT id, lower(html) AS h FROM p)
-SELECT id, array_to_string(list_filter([{", ".join("CASE WHEN " + " OR ".join(f"contains(h, {_q(m)})" for m in ms) + f" THEN {_q(n)} END" for n, ms in extract.LITE_TECHNOLOGIES.items())}], lambda x: x IS NOT NULL), ',') AS technologies FROM m""")
+WITH p AS ({PAGES}), m AS (SELECT id, lower(html || ' ' || url) AS h FROM p), n AS (SELECT id, [{", ".join(f"({_q(n)}, " + " + ".join(f"contains(h, {_q(m)})::INT" for m in ms) + f", {max(0.6 * len(ms), 1.0)!r})" for n, ms in lite.LITE_TECHNOLOGIES.items())}] AS l FROM m)
+SELECT id, array_to_string(list_transform(list_filter(l, lambda x: x[2] > 0), lambda x: x[1] || '(' || regexp_replace((CASE WHEN round(least(x[2]::DOUBLE / x[3]::DOUBLE, 1.0), 2) < 0.35 THEN 0.5 ELSE round(least(x[2]::DOUBLE / x[3]::DOUBLE, 1.0), 2) END)::VARCHAR, '[.]0$', '') || ')'), ',') AS technologies FROM n""")
 def lite_technologies(spark: SparkSession, d: str) -> DataFrame:
-    """Technologies by the reduced profile's marks, names alone."""
-    names = F.transform(extract.lite_technologies(c("html")), lambda t: F.split_part(t, F.lit("("), F.lit(1)))
-    return pages(spark, d).select("id", F.array_join(names, ",").alias("technologies"))
+    """Technologies by the reduced profile's marks."""
+    return pages(spark, d).select("id", F.array_join(lite.lite_technologies(c("html"), c("url")), ",").alias("technologies"))

@@ -2,14 +2,14 @@
 
 import html.parser
 import re
-from urllib.parse import parse_qsl, unquote_plus, urlencode, urljoin, urlsplit
+from urllib.parse import parse_qsl, unquote_plus, urlencode, urljoin, urlparse
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kavosh.functions import classify, phones, text, urls
+from kavosh.functions import classify, lite, phones, text, urls
 from kavosh.functions.dicts import TRACKING_PARAMS
 from kavosh.operators.links import explicit_urls
 from kavosh.operators.multivalue import tokenize
@@ -68,17 +68,17 @@ def test_city_and_category(spark):
 
 
 def model_canonical(u):
-    p = urlsplit(u)
+    p = urlparse(u)
     q = sorted((k, x) for k, x in parse_qsl(p.query, keep_blank_values=True) if k.lower() not in TRACKING_PARAMS)
-    return f"{p.scheme.lower()}://{p.netloc.rpartition('@')[2].lower()}{p.path.rstrip('/') or '/'}" + (f"?{urlencode(q)}" if q else "")
+    return f"{p.scheme.lower()}://{p.netloc.rpartition('@')[2].lower()}{p.path.rstrip('/') if p.path not in ('', '/') else '/'}" + (f"?{urlencode(q)}" if q else "")
 
 
 def test_canonical_urls(spark):
     raw = [
-        "HTTPS://Example.IR/a/?b=2&a=1&utm_source=x#top", "http://x.ir", "https://x.ir:8080/p//", "https://u:p@x.ir/q?a=%D8%AA&b=~*", "https://x.ir/?gclid=1&q=a+b", "https://x.ir/a?c=&a=2&a=1", "ftp://x.ir/", "no url", None, "https://x.ir:bad/",
+        "HTTPS://Example.IR/a/?b=2&a=1&utm_source=x#top", "http://x.ir", "https://x.ir:8080/p//", "https://u:p@x.ir/q?a=%D8%AA&b=~*", "https://x.ir/?gclid=1&q=a+b", "https://x.ir/a?c=&a=2&a=1", "http://a.ir/p;x=1/q;y=2?b=2", "https://x.ir//", "ftp://x.ir/", "no url", None, "https://x.ir:bad/",
     ]
     got = one(spark, raw, urls.canonical(v))
-    assert got[:6] == [model_canonical(u) for u in raw[:6]] and got[6:] == [None] * 4
+    assert got[:8] == [model_canonical(u) for u in raw[:8]] and got[8:] == [None] * 4
     assert one(spark, ["https://www.Example.ir:80/x", None], urls.site_key(v)) == ["example.ir", None]
 
 
@@ -92,10 +92,10 @@ def test_pages_are_the_same(spark):
 
 
 def test_url_classes(spark):
-    raw = ["https://x.ir/contact-us", "https://x.ir/about", "https://x.ir/shop/1", "https://x.ir/", "https://x.ir/%D8%AA%D9%85%D8%A7%D8%B3", "https://x.ir/a.PDF?x"]
-    assert one(spark, raw, urls.url_priority(v)) == [30, 28, 20, 5, 30, 5]
-    assert one(spark, raw, urls.has_skipped_extension(v)) == [False] * 5 + [True]
-    assert one(spark, ["https://t.me/share/url", "https://wa.me/98", "https://x.ir/", "https://facebook.com/sharer.php"], urls.is_share_link(v)) == [True, True, False, True]
+    raw = ["https://x.ir/contact-us", "https://x.ir/about", "https://x.ir/shop/1", "https://x.ir/", "https://x.ir/تماس", "https://x.ir/a.PDF?x", "https://x.ir/%D8%AA%D9%85%D8%A7%D8%B3"]
+    assert one(spark, raw, urls.url_priority(v)) == [30, 28, 20, 5, 30, 5, 5]
+    assert one(spark, raw, urls.has_skipped_extension(v)) == [False] * 5 + [True, False]
+    assert one(spark, ["https://t.me/share/url", "https://wa.me/98", "https://x.ir/", "https://facebook.com/sharer.php", "https://x.ir/ble.ir/a", "https://facebook.com/a/share", "https://m.facebook.com/sharer"], urls.is_share_link(v)) == [True, True, False, True, True, False, False]
     assert one(spark, ["a.ir", "www.b.com", "air", "", None], urls.is_allowed(v, ("b.com",))) == [True, True, False, False, False]
     assert one(spark, ["m.instagram.com", "notinstagram.com", "", "https://www.t.me/x"], text.is_platform(v)) == [True, False, True, True]
 
@@ -135,9 +135,27 @@ def test_page_parts(spark):
     assert got[0] == ("|".join(n.out), "A | B", "Shop A", "Tehran, Street 5, No 12")
     assert got[1][2] == "d.ir" and got[1][3] == ""
     assert one(spark, [PAGE], text.socials(v))[0] == {"instagram": "https://instagram.com/acme?x=1", "telegram": "https://t.me/acme"}
+    page = "<title>Fish &amp; Chips – Nur</title><body>Fish &amp; Chips&nbsp;<p>&nbsp;</p>&lt;b&gt;<div>Address - 12 Foo street</div>"
+    assert column(spark, [page], text.visible_text(v), text.page_title(v), text.business_name(v, F.lit("d.ir")), text.address(v, text.visible_text(v, "\n")))[0] == ("Fish & Chips <b> Address - 12 Foo street", "Fish & Chips – Nur", "Fish & Chips", "12 Foo street")
+    places = ["<address>Tehran <b>not this one at all</b></address><meta name=address content='Bagh Street 5'>", '<span itemprop="streetAddress">Foo Lane 12, Qom</span>', '<p class="address">no address</p>', '<script type="application/ld+json">{"address": {"streetAddress": "Isfahan, Bagh, 10"}}</script>', None]
+    assert one(spark, places, text.address(v, F.lit(""))) == ["Bagh Street 5", "Foo Lane 12, Qom", "", "Isfahan, Bagh, 10", ""]
+    assert one(spark, ["<title>A - Nur Foods | x</title>", "<title>x</title><script type='application/ld+json'>{\"name\": \"Nur\"}</script>", "<p>\"name\": \"no\"</p>"], text.business_name(v, F.lit("d.ir"))) == ["A - Nur Foods", "Nur", "d.ir"]
+    assert one(spark, ["<a href='https://t.me/x?a=1&amp;b=2'>", "<a href=/shop>", "<a href='mailto:a@t.me'>"], text.socials(v, F.lit("https://t.me/y"))) == [{"telegram": "https://t.me/x?a=1&b=2"}, {"telegram": "https://t.me/shop"}, {}]
     assert one(spark, ["see https://a.ir/x. and https://schema.org/y https://a.ir/x"], explicit_urls(v))[0] == ["https://a.ir/x"]
 
 
+def test_reduced_profile(spark):
+    assert one(spark, ["تلفن 09121234567 و +989351112233", "5000912345678", None], lite.lite_phones(v)) == [["09121234567", "09351112233"], [], []]
+    assert one(spark, ["A@b.IR a@b.ir", None], lite.lite_emails(v)) == [["a@b.ir"], []]
+    assert one(spark, ["Tehran یا قم", "کرمان", None], lite.lite_city(v)) == ["تهران", "", ""] and one(spark, ["my shop", "x"], lite.lite_category(v)) == ["فروشگاه", "عمومی"]
+    assert one(spark, ["<a href=https://t.me/a><a href='https://x.ir/telegram'><a href='https://instagram.com/b'>", ""], lite.lite_socials(v)) == [{"instagram": "https://instagram.com/b", "telegram": "https://x.ir/telegram"}, {}]
+    assert one(spark, ["wp-content", "wp-content wp-includes", ""], lite.lite_technologies(v)) == [["WordPress(0.56)"], ["WordPress(1)"], []]
+    hrefs = ["https://z.ir/q", "//h.ir/a", "/b", "c", "#x", "mailto:a@b", "", "tel:09"]
+    assert one(spark, hrefs, lite.lite_absolute(F.lit("https://x.ir:8/p/q?r=1"), v)) == ["https://z.ir/q", "https://h.ir/a", "https://x.ir:8/b", "https://x.ir:8/p/c", None, None, None, "https://x.ir:8/p/tel:09"]
+    row = spark.createDataFrame([("<title>Nur - A | b</title><p>0912 09121234567 تهران</p>", "nur.ir")], "v string, d string").select(*[x.alias(n) for n, x in lite.lite_row(F.lit("https://nur.ir/"), F.col("v"), F.col("d")).items()])
+    assert row.filter(lite.lite_kept()).first()["business_name"] == "Nur " and row.first()["city"] == "تهران"
+
+
 def test_technologies(spark):
     pages = ["<link href=/wp-content/x>", "just wordpress here", "data-v-1", "_next/static __NEXT_DATA__", "", None]
     got = one(spark, pages, F.transform(classify.detect_technologies(v, F.lit("https://x.ir"), F.lit("CF-Ray: 1")), lambda t: t["name"]))

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kavosh.operators import contacts, layers, links
+from kavosh.functions import jsonld, lite, text
+from kavosh.operators import contacts, frontier, layers, links
 from kavosh.operators.hotkeys import key_profile, third_partners
 from kavosh.operators.multivalue import packed_values, split_values, tokenize
 from kavosh.sources import feeds, sinks
@@ -80,6 +81,11 @@ def test_page_links(spark):
     got = {r["target_url"]: r for r in links.page_links(spark.createDataFrame([("https://x.ir/p", html), ("https://y.ir", None)], "url string, html string")).collect()}
     assert {u: r["link_type"] for u, r in got.items()} == {"https://x.ir/x": "anchor", "https://x.ir/c": "canonical", "https://x.ir/s.js": "script", "https://x.ir/i.png": "srcset", "https://x.ir/j.png": "srcset", "https://o.com/y": "text_or_script"}
     assert got["https://x.ir/x"]["crawlable"] and not got["https://x.ir/s.js"]["crawlable"] and got["https://o.com/y"]["external"]
+    odd = """<a href="/p?a=1&amp;b=2">x</a><a href=/bare>y</a><script type="application/ld+json">{"url": "/rel", "sameAs": ["https:\\/\\/ld.ir\\/x" ], "d": {"logo": "https://ld.ir/y" }, "z": "see https://no.ir/q"}</script><a href="mailto:a@b.ir">m</a>"""
+    page = spark.createDataFrame([("https://x.ir/p", odd, "http://x.ir/old", ["http://x.ir/mid", "http://x.ir/mid"]), ("https://y.ir/", None, "https://y.ir/", None)], "url string, html string, request_url string, redirect_urls array<string>")
+    edges = {(r["source_url"], r["target_url"]): r["link_type"] for r in links.page_links(page).collect()}
+    want = {("https://x.ir/p", u): k for u, k in {"https://x.ir/p?a=1&b=2": "anchor", "https://x.ir/bare": "anchor", "https://ld.ir/x": "jsonld", "https://ld.ir/y": "jsonld", "https://no.ir/q": "text_or_script"}.items()}
+    assert edges == want | {("http://x.ir/old", "http://x.ir/mid"): "redirect", ("http://x.ir/mid", "https://x.ir/p"): "redirect"}
     assert links.followed(spark.createDataFrame([(True, "anchor"), (True, "script"), (False, "anchor")], "crawlable boolean, link_type string")).count() == 1
 
 
@@ -182,7 +188,7 @@ RICH = """<html><head><title>Nur Foods | Home</title><script type="application/l
 def test_extract(spark):
     from kavosh.operators import extract
 
-    rows = extract.extract(spark.createDataFrame([("https://www.nur.ir/", RICH), ("https://x.ir/", "<p>nothing</p>"), ("https://y.ir/", None)], "url string, html string"))
+    rows = extract.extract(spark.createDataFrame([("https://www.nur.ir/", RICH), ("https://x.ir/", "<p>nothing</p>"), ("https://y.ir/", None)], "url string, html string")).cache()
     got = {r["domain"]: r for r in rows.collect()}
     nur = got["nur.ir"]
     assert set(got) == {"nur.ir", "x.ir"}
@@ -198,8 +204,8 @@ def test_extract(spark):
     wide = {r["domain"]: r.asDict() for r in extract.wide_socials(stored).collect()}
     assert wide["nur.ir"]["social_instagram"] == "https://instagram.com/nur" and wide["x.ir"]["social_instagram"] == ""
     page = spark.createDataFrame([("https://www.nur.ir/", RICH)], "url string, html string")
-    lite = page.select(extract.lite_same_host_links(F.col("url"), F.col("html")), extract.lite_technologies(F.col("html")), extract.jsonld_urls(extract.jsonld_blocks(F.col("html")))).first()
-    assert lite[0] == ["https://www.nur.ir/contact"] and lite[1] == ["WooCommerce(1.0)"] and lite[2] == ["https://t.me/nur"] and contacts.safe_name("a b!") == "a_b"
+    found = page.select(lite.lite_same_host_links(F.col("url"), F.col("html")), lite.lite_technologies(F.col("html")), jsonld.jsonld_links(jsonld.jsonld_blocks(F.col("html")))).first()
+    assert found[0] == ["https://www.nur.ir/tel:+989121112233", "https://www.nur.ir/contact"] and found[1] == ["WooCommerce(0.56)"] and found[2] == ["https://t.me/nur"] and contacts.safe_name("a b!") == "a_b"
 
 
 def test_evidence_keeps_every_page_and_source(spark):
@@ -238,4 +244,92 @@ def test_long_mailto_list(spark):
 
     mails = [f"person{i}@long-host-name.ir" for i in range(200)]
     page = spark.createDataFrame([(f"<a href='MAILTO:{','.join(mails)}?subject=x'>m</a>",)], "html string")
-    assert page.select(extract.linked(F.col("html"), "mailto:")).first()[0] == [",".join(mails)]
+    assert page.select(extract.linked(text.hrefs(F.col("html")), "mailto:")).first()[0] == [",".join(mails)]
+
+
+OPS = "seq bigint, op string, url string, domain string, source_url string, reason string, at string"
+
+
+def simulated(log, state=None):
+    """What a log does to states, one operation after the other; and which reservations were granted."""
+    state, granted = {u: dict(x) for u, x in (state or {}).items()}, {}
+    for seq, op, url, domain, source, reason, at in log:
+        row = state.get(url)
+        if op == "reset":
+            for x in state.values():
+                x["status"] = "retry_pending" if x["status"] == "failed" else x["status"]
+        elif op == "reserve":
+            granted[seq] = row is None or row["status"] == "retry_pending"
+            if row is None:
+                state[url] = {"domain": domain, "status": "queued", "source_url": source, "first_seen": at, "crawled_at": None, "failure_reason": None}
+        elif op == "reserve_seed":
+            state[url] = {"domain": domain, "status": "queued", "source_url": source, "first_seen": at, "crawled_at": None, "failure_reason": row and row["failure_reason"]}
+        elif row is not None and op == "crawled":
+            row.update(status="crawled", crawled_at=at, failure_reason=None)
+        elif row is not None:
+            row.update(status="failed", failure_reason=(reason or "").strip() or None)
+    return state, granted
+
+
+def test_url_states_against_simulation(spark):
+    rng, log = random.Random(8), []
+    for seq in range(600):
+        op = rng.choice(["reserve", "reserve", "reserve_seed", "crawled", "failed", "failed", "reset"])
+        url = rng.choice(["hot", "hot", *map(str, range(40))])
+        log.append((seq, "reset", None, None, None, None, None) if op == "reset" else (seq, op, url, f"d{seq}", f"s{seq}", rng.choice([None, " ", "robots.txt"]), f"2024-01-01T00:{seq // 60:02d}:{seq % 60:02d}"))
+    ops = spark.createDataFrame(log, OPS)
+    want, granted = simulated(log)
+    key = lambda df: {r["url"]: {c: r[c] for c in ("domain", "status", "source_url", "first_seen", "crawled_at", "failure_reason")} for r in df.collect()}
+    assert key(frontier.url_states(ops)) == want and {r["seq"]: r["granted"] for r in frontier.reservations(ops).collect()} == granted
+    half, _ = simulated(log[:300])
+    known = frontier.url_states(ops.filter("seq < 300"))
+    assert key(known) == half and key(frontier.url_states(ops.filter("seq >= 300"), known)) == want
+    assert frontier.url_states(ops.limit(0)).count() == 0 and key(frontier.url_states(ops.limit(0), known)) == half
+    taken = frontier.admitted(spark.createDataFrame([(1, "https://x.ir/a", False), (2, "https://x.ir/a", False), (3, "https://x.ir/b", True), (4, "https://www.x.ir/c", False), (5, "https://y.ir/", False)], "seq int, url string, seed boolean"), spark.createDataFrame([("https://x.ir/b", "crawled"), ("https://y.ir/", "failed"), ("https://x.ir/a", "retry_pending")], "url string, status string"), 2)
+    assert {(r["url"], r["place"]) for r in taken.collect()} == {("https://x.ir/a", 1), ("https://x.ir/b", 2)}
+    failed = frontier.failure_ops(spark.createDataFrame([(1, "u", "IgnoreRequest", "Forbidden by robots.txt", "t"), (2, "v", "TimeoutError", None, "t")], "seq int, url string, error string, message string, at string"))
+    assert [r["reason"] for r in failed.orderBy("seq").collect()] == ["robots.txt", "TimeoutError"]
+
+
+def test_layered_crawl(spark):
+    empty = spark.createDataFrame([], "seed_url string, url string, depth int, status string, source_url string, first_seen string, crawled_at string")
+    states = spark.createDataFrame([("known", "crawled")], "url string, status string")
+    found = "seed_url string, url string, depth int, source_url string, first_seen string"
+    state = frontier.queue_layered(empty, spark.createDataFrame([("s", "s", 0, None, "1"), ("s", "a", 1, "s", "2"), ("s", "b", 1, "s", "3"), ("s", "deep", 2, "a", "4"), ("s", "known", 1, "s", "5"), ("s", "a", -3, None, "6")], found), states)
+    rows = lambda df: {r["url"]: (r["depth"], r["status"]) for r in df.collect()}
+    assert rows(state) == {"s": (0, "pending"), "a": (0, "pending"), "b": (1, "pending"), "deep": (2, "pending"), "known": (1, "crawled")}
+    state = frontier.mark_layered(state, spark.createDataFrame([("s",), ("a",)], "url string"), "crawled", "t")
+    assert [r["url"] for r in frontier.next_layered_batch(state).collect()] == ["b"]
+    state = frontier.mark_layered(state, spark.createDataFrame([("s", "b")], "seed_url string, url string"), "queued")
+    assert frontier.next_layered_batch(state).count() == 0  # the layer is still at work
+    lost = frontier.reconcile_layered(state, spark.createDataFrame([], "seed_url string, url string"), states)
+    assert rows(lost)["b"] == (1, "pending") and rows(frontier.reconcile_layered(state, spark.createDataFrame([("s", "b")], "seed_url string, url string"), states))["b"] == (1, "queued")
+    assert rows(frontier.mark_layered(state, spark.createDataFrame([("b",)], "url string"), "failed"))["b"] == (1, "failed")
+    edges = spark.createDataFrame([("s", "deep", True, "9"), ("a", "new", True, "9"), ("a", "known", True, "9"), ("a", "no", False, "9"), ("b", "later", True, "9")], "source_url string, target_url string, crawlable boolean, first_seen string")
+    assert rows(frontier.advance_layered(state, edges, states)) == rows(state) | {"deep": (1, "pending"), "new": (1, "pending")}
+    again = {r["url"]: tuple(r) for r in frontier.queue_layered(state, spark.createDataFrame([("s", "s", 0, "x", "7")], found), states).collect()}
+    assert again["s"] == ("s", "s", 0, "pending", "x", "7", None)
+
+
+def test_reduced_queue(spark):
+    queue = spark.createDataFrame([(1, "a", "x.ir", 0, "pending"), (2, "b", "x.ir", 2, "pending"), (3, "c", "x.ir", 1, "pending"), (4, "d", "x.ir", 0, "done")], "id bigint, url string, domain string, depth int, status string")
+    assert [r["url"] for r in frontier.lite_jobs(queue, 2).collect()] == ["a", "b"]
+    links_ = spark.createDataFrame([("a", "e", "x.ir"), ("c", "e", "x.ir"), ("b", "f", "x.ir"), ("a", "d", "x.ir"), ("a", "e", "x.ir")], "source_url string, url string, domain string")
+    got = {r["url"]: (r["depth"], r["status"]) for r in frontier.lite_step(queue, spark.createDataFrame([("a", True), ("b", True), ("c", False)], "url string, ok boolean"), links_).collect()}
+    assert got == {"a": (0, "done"), "b": (2, "done"), "c": (1, "error"), "d": (0, "done"), "e": (1, "pending")}
+
+
+def test_stored_edges_and_evidence(spark):
+    schema = "source_url string, target_url string, target_domain string, external boolean, crawlable boolean, link_type string, first_seen string"
+    stored, batch = spark.createDataFrame([("s", "t", "d", True, False, "script", "2025")], schema), spark.createDataFrame([("s", "t", "e", True, True, "anchor", "2024"), ("s", "t", "e", True, True, "script", "2024"), ("s", "u", None, None, None, None, None)], schema)
+    got = {r["target_url"]: r for r in links.merged_links(stored, batch).collect()}
+    assert (got["t"]["link_type"], got["t"]["crawlable"], got["t"]["target_domain"], got["t"]["first_seen"]) == ("script,anchor", True, "d", "2025") and got["u"]["link_type"] == ""
+    e = "domain string, technology string, confidence double, evidence_count int, source_url string, first_seen string, last_seen string"
+    row = contacts.merged_technologies(spark.createDataFrame([("x", "T", 0.5, 2, "u", "2025", "2025")], e), spark.createDataFrame([("x", "T", 0.9, 3, "v", "2024", "2026"), (" ", "T", 1.0, 1, "v", "1", "1")], e)).collect()
+    assert [tuple(r) for r in row] == [("x", "T", 0.9, 5, "u", "2025", "2026")]
+    urls = spark.createDataFrame([(1, "t", "failed", "robots.txt", "1"), (2, "u", "retry_pending", "x", "1"), (3, "v", "queued", None, "1"), (4, "v", "crawled", None, "2"), (5, "w", "blocked", None, "1")], "url_id int, url string, status string, failure_reason string, first_seen string")
+    edges = spark.createDataFrame([("s", x, "d", True, x != "z", "anchor", "1") for x in "tuvwxz"], schema)
+    assert {r["target_url"]: r["crawl_status"] for r in links.link_list(edges, urls).collect()} == {"t": "ROBOTS_BLOCKED", "u": "RETRY_PENDING", "v": "CRAWLED", "w": "DISCOVERED", "x": "DISCOVERED", "z": "NON_CRAWLABLE"}
+    assert {r["target_url"] for r in links.next_batch(edges, urls).collect()} == {"u", "x"}
+    shown = links.with_totals(edges, 2, 4, F.col("target_url")).collect()
+    assert [(r["target_url"], r["total"], r["total_pages"]) for r in shown] == [("x", 6, 2), ("z", 6, 2)] and [links.crawlable_flag(x) for x in (None, "", "all", "allowed", "denied")] == [None, None, None, True, False]
