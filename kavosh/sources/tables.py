@@ -68,3 +68,37 @@ def spread(df: DataFrame) -> DataFrame:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * SPLIT_BYTES and 0 < len(df.inputFiles()) < cores else df
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in a shared folder: written aside and then put in its place, so it is there whole or not at all."""
+    fs, p = _file_system(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.delete(p, False)
+    fs.rename(aside, p)
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """The text of such a file; None where there is none."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder with what is in it."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
