@@ -15,6 +15,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.duplicates_by_batch(history.page_batches(spark, sf_dir))
 
 
+def p2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, and pages with numbers, that share most words with one accepted before; two sort orders."""
+    return history.near_duplicates_by_batch(history.page_batches(spark, sf_dir, 2))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garble.garbled_fields(load(spark, sf_dir, "contacts")).distinct()
 
@@ -55,6 +60,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects(load(spark, sf_dir, "documents"), load(spark, sf_dir, "subject_labels")).select("doc_id", "subject")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_near": p2_near, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE: dict[str, str] = {}

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, exact round trips and known cases, with the odd cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -70,6 +71,59 @@ def test_batches_against_history(spark):
     assert history.duplicates_by_batch(spark.createDataFrame([], "space string, key string, id bigint, batch_no int")).count() == 0
 
 
+def words_of(key):
+    return set(re.split(r"[/?&,\s]+", key)) - {""}
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        parts = [f"h{rng.randrange(6)}.ir", *(f"p{rng.randrange(3)}{j}" for j in range(rng.randint(4, 6)))]
+        if i > 20 and rng.random() < 0.3:
+            parts = rows[rng.randrange(i)][1].split("/")
+            parts = parts[:-1] if rng.random() < 0.5 else [*parts, f"x{i}"]
+        rows.append(("u", "/".join(parts), i, i // 50))
+    turned = lambda k: "/".join(reversed(k.split("/")))
+    table = spark.createDataFrame([(s, k, i, b, [f"{s}\x01{o}\x01{x}" for o, x in enumerate((k, turned(k)))]) for s, k, i, b in rows], "space string, key string, id bigint, batch_no int, places array<string>")
+    got = {r["new_id"]: (r["near_id"], r["similarity"]) for r in history.near_duplicates_by_batch(table, compact_every=3, window=5).collect()}
+    first, want = {}, {}
+    for b in range(8):  # windows in each order over what was there and the batch's new keys
+        fresh = {}
+        for _, k, i, n in rows:
+            if n == b and k not in first:
+                fresh.setdefault(k, i)
+        keys = first | fresh
+        for order in (lambda k: k, turned):
+            line = sorted(keys, key=order)
+            for k in fresh:
+                at = line.index(k)
+                for o in line[max(at - 5, 0) : at + 6]:
+                    share = len(words_of(k) & words_of(o)) / len(words_of(k) | words_of(o))
+                    if keys[o] < keys[k] and share >= history.LEAST:
+                        want[keys[k]] = max(want.get(keys[k], (0, 0)), (round(share, 6), -keys[o]))
+        first = keys
+    assert got == {i: (-n, s) for i, (s, n) in want.items()} and len(got) > 40
+
+
+def test_a_small_batch_reads_its_range(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    rows = lambda ids: spark.createDataFrame([(i, [f"u\x010\x01k{i:06d}"]) for i in ids], "id bigint, places array<string>")
+    history.AcceptedRuns(spark, path).add(rows(range(0, 40_000, 2)))
+    store = history.AcceptedRuns(spark, path)  # another session's view
+    assert store.entries == 20_000 and len(store.first) == 3
+    got = {r["place"][-7:]: (r["first_id"], r["opens"]) for r in store.add(rows([12_000, 12_001])).collect()}
+    assert got == {"k012000": (12_000, False), "k012001": (12_001, True)}
+    one = store.history([1])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [range" in plan.replace("isnotnull(range#", "range#") or "PartitionFilters: [isnotnull(range" in plan
+    assert 0 < one.count() < 10_000
+    kept = history.around(store.history(), ["u\x010\x01k012001"], 4)
+    assert 8 <= kept.count() <= 9 * len(store.runs) * 4 + 9 * 4
+    assert {r[0][-7:] for r in kept.collect()} >= {"k011996", "k011998", "k012000", "k012001", "k012002", "k012004"}
+    store.compact()
+    assert store.history().count() == 20_001 and history.AcceptedRuns(spark, path).runs == store.runs
+
+
 # --- survivors ---------------------------------------------------------------------------
 
 CONTACT = "id bigint, domain string, source_url string, business_name string, address string, category string, city string, quality_score double, crawled_at string, n int"
