@@ -202,9 +202,9 @@ def page_batches(spark: SparkSession, sf_dir: str, orders: int = 1) -> DataFrame
     The second order has what follows the page's host, or the numbers, before the rest.
     """
     urls = load(spark, sf_dir, "crawl_urls").select(F.lit("crawl_urls").alias("space"), page(F.col("url")).alias("key"), F.lit(None).cast("string").alias("numbers"), F.col("url_id").alias("id"), "batch_no")
-    contacts = load(spark, sf_dir, "contacts").select(F.lit("contacts").alias("space"), page(F.col("source_url")).alias("key"), number_set(F.col("phones")).alias("numbers"), "id", "batch_no").filter("numbers is not null")
-    rows = urls.unionByName(contacts).filter("key is not null and id is not null")
-    whole = F.concat_ws(" ", "key", "numbers")
+    contacts = load(spark, sf_dir, "contacts").select(F.lit("contacts").alias("space"), page(F.col("source_url")).alias("key"), number_set(F.col("phones")).alias("numbers"), "id", "batch_no")
+    rows = urls.unionByName(contacts)  # unfiltered: a filter would compute the keys a second time
+    whole = F.when((F.col("space") == "crawl_urls") | F.col("numbers").isNotNull(), F.concat(F.col("key"), F.coalesce(F.concat(F.lit(" "), F.col("numbers")), F.lit(""))))
     turned = F.when(F.col("numbers").isNotNull(), F.concat_ws(" ", "numbers", "key")).otherwise(F.concat(F.regexp_extract("key", "^[^/?]*[/?]*(.*)$", 1), F.lit(" "), F.regexp_extract("key", "^[^/?]*[/?]*", 0)))
     return rows.select("space", whole.alias("key"), "id", "batch_no", places(F.col("space"), F.array(*[whole, turned][:orders])).alias("places"))
 
@@ -213,8 +213,8 @@ def _by_batch(records: DataFrame, near: bool, compact_every: int, window: int) -
     """The records as stored by batch, and what each batch's places were found to be."""
     spark = records.sparkSession
     folder = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
-    records.filter("size(places) > 0").select("places", "id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no")).write.partitionBy("batch_no").parquet(folder)
-    stored = spark.read.schema("places array<string>, id bigint, batch_no int").parquet(folder)
+    records.select("places", "id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no")).write.partitionBy("batch_no").parquet(folder)
+    stored = spark.read.schema("places array<string>, id bigint, batch_no int").parquet(folder).filter("size(places) > 0 and id is not null")
     runs, found = AcceptedRuns(spark, window=window, compact_every=compact_every), None
     for b in sorted(r[0] for r in stored.select("batch_no").distinct().collect()):  # numbers of batches
         step = runs.add(stored.filter(F.col("batch_no") == b), near).withColumn("batch_no", F.lit(b))
@@ -231,7 +231,7 @@ def duplicates_by_batch(records: DataFrame, compact_every: int = 6) -> DataFrame
     """
     if "places" not in records.columns:
         records = records.withColumn("places", F.when(F.col("key").isNotNull(), places(F.col("space"), F.array("key"))))
-    stored, found = _by_batch(records.filter("places is not null"), False, compact_every, WINDOW)
+    stored, found = _by_batch(records, False, compact_every, WINDOW)
     if found is None:
         return stored.select(F.lit("").alias("tab"), F.col("id").alias("first_id"), F.col("id").alias("dup_id"))
     known = found.filter("n > 1 or not opens").select("place", "first_id", "batch_no")
@@ -244,7 +244,7 @@ def near_duplicates_by_batch(records: DataFrame, compact_every: int = 6, window:
 
     Records count by their first ids, one row per key; copies of a record share it (``duplicates_by_batch``).
     """
-    stored, found = _by_batch(records.filter("places is not null"), True, compact_every, window)
+    stored, found = _by_batch(records, True, compact_every, window)
     if found is None:
         return stored.select(F.lit("").alias("tab"), F.col("id").alias("near_id"), F.col("id").alias("new_id"), F.lit(0.0).alias("similarity"))
     hits = found.filter("opens and near_id is not null").select(F.substring_index("place", _SEP, 1).alias("tab"), "first_id", "similarity", (-F.col("near_id")).alias("near"))
