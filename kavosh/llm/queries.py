@@ -25,7 +25,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.residue(load(spark, sf_dir, "contacts")).select("id").distinct()
+    return residue.residue(load(spark, sf_dir, "contacts"), corpus=load(spark, sf_dir, "documents")).select("id").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

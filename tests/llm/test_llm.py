@@ -1,5 +1,6 @@
 """Corpus operators against brute force, exact round trips and known cases, with the odd cases."""
 
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kavosh.llm import addresses, garble, history, leaks, packing, residue, subjects, subtitles, survivors
 
@@ -192,10 +194,39 @@ def test_residue(spark):
     rows = [(i, t, 0.0) for i, t in enumerate([*bad, *good, None])] + [(100 + i, f"Acme {w} Foods – {p}", 0.0) for i, (w, p) in enumerate((w, p) for w in ("Nur", "Bagh", "Mehr", "Gol") for p in ("Home", "About us", "Products", "Blog") for _ in range(10))]
     rows.append((999, "word " * 40_000, 0.0))
     df = spark.createDataFrame(rows, "id bigint, title string, ratio double")
-    assert {r["id"] for r in residue.residue(df).collect()} == set(range(len(bad)))
+    corpus = spark.createDataFrame([("The courses begin in May, and the translation of the contract is ready. We went to the café and the garden.\n00:00\nکلاس های آموزش زبان و تعمیر لباسشویی در شهر ما",), (None,)], "text string")
+    assert {r["id"] for r in residue.residue(df, corpus=corpus).collect()} == set(range(len(bad)))
     assert residue.residue(df.limit(0)).count() == 0
 
 
+USUAL_TITLES = [
+    "The history of ancient Rome", "How to cook lentil soup", "Persian rugs from Kashan", "Best coffee shops in Tehran", "Learn to play the violin", "Wedding photography packages", "مشاوره حقوقی تلفنی رایگان", "آموزش زبان انگلیسی در منزل", "خرید گوشی موبایل دست دوم", "قیمت روز طلا و سکه", "تعمیر لوازم خانگی در محل", "رزرو هتل در مشهد",
+    "Car insurance quotes online", "A guide to mountain hiking in Alborz", "Fresh fruit delivery", "Children's dental clinic", "Our team and values", "Organic honey from the village", "Modern kitchen cabinets", "Winter sale on boots", "دانلود آهنگ جدید", "فال حافظ امروز", "اخبار ورزشی ایران", "دکتر متخصص پوست و مو",
+    "طراحی داخلی آپارتمان", "باشگاه ورزشی بانوان", "تور استانبول ارزان", "فروش بلیط هواپیما", "لباس عروس اجاره", "غذای خانگی سالم", "Used tractors for sale", "Translation of official documents", "Yoga classes for seniors", "Spare parts for Peugeot 206", "Industrial pumps and valves", "Garden design ideas",
+    "Handmade leather bags", "Saffron export company", "Piano tuning service", "Notes on linear algebra", "Recipes of northern Iran", "Solar panels for homes", "Fitness coach for women", "Cheap flights to Kish", "Law office of Ahmadi", "Museum opening hours", "Steel prices today", "Book club for teenagers",
+    "Aquarium fish and plants", "Bicycle repair workshop", "Request a quote", "Customer stories", "Annual report 1402", "Terms of sale", "Careers", "شرایط بازگشت کالا", "سبد خرید", "پرداخت آنلاین قبوض", "پیگیری سفارش", "همکاری با ما",
+    "گالری تصاویر", "مقالات علمی", "پرسش و پاسخ", "آیین نامه مسابقات", "آلبوم عکس", "Electric guitar lessons", "Poetry evening in Shiraz", "Water filters", "Office furniture", "Baby clothes", "Plumber in Karaj 24 hours", "Real estate agency",
+    "Truck transport nationwide", "Event catering", "Computer repair at home", "Hospital beds and equipment", "نمایندگی رسمی سامسونگ", "آجیل و خشکبار", "ساخت ویلا در شمال", "پارچه فروشی بازار", "چاپ کارت ویزیت", "اجاره ماشین بدون راننده", "دوره آنلاین حسابداری", "سم پاشی منازل",
+    "نقاشی ساختمان", "کاشت مو طبیعی", "خرید آپارتمان نوساز", "لیست قیمت سیمان", "تاریخ ایران باستان", "داستان کوتاه فارسی", "Chess openings explained", "Marathon training plan", "The art of calligraphy", "Camel milk products", "Visit Isfahan", "Zoo of Tehran",
+    "Antique clocks", "Rice varieties", "Night market", "Blue tiles",
+]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no corpus here")
+def test_residue_generalises(spark):
+    """Half of the examples withheld are found by the other half; titles of no example or table are content."""
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    usual = spark.createDataFrame([(i, t) for i, t in enumerate(USUAL_TITLES)], "id bigint, title string")
+    natural = residue.natural_table(usual, "title", residue.residue_tables(), F.col("text"), corpus)
+    flagged = lambda texts, tables: [x[1] >= residue.LEAST_COVER for x in residue.judged(texts, tables, natural)]
+    assert len(USUAL_TITLES) == 100 and sum(flagged(USUAL_TITLES, residue.residue_tables())) <= 2
+    rng = random.Random(1)
+    halves = [[e for e in sorted(set(x)) if rng.random() < 0.5] for x in residue.examples()]
+    held = [e for x, h in zip(residue.examples(), halves) for e in sorted(set(x) - set(h))]
+    found = flagged(held, [residue.counts(residue.joined([e for e in h for _ in range(6)])) for h in halves])
+    assert sum(found) >= 0.9 * len(held) and sum(f for f, e in zip(found, held) if e not in residue.PLACEHOLDERS) >= 0.6 * sum(e not in residue.PLACEHOLDERS for e in held)
+
+
 # --- packing -----------------------------------------------------------------------------
 
 
