@@ -38,6 +38,8 @@ PULL, NATURAL_PULL = 1.0, 5.0
 LEAST_RATIO, LEAST_WHOLE, LEAST_COVER = 9.0, 3.5, 0.72
 #: A part with this ratio as a whole (or this much a character, if it is short) against the corpus alone is residue by far.
 CLEARLY, CLEARLY_EACH = 7.0, 0.8
+#: Characters the corpus and the titles at hand count for at most, so that a larger table shifts no balance.
+CORPUS_MASS, TITLE_MASS = 15e6, 4e5
 #: How often an example counts, so that what follows it is known well.
 WEIGHT = 12
 
@@ -162,12 +164,14 @@ def residue_tables() -> list[np.ndarray]:
     return [counts(joined(texts)) for texts in examples()]
 
 
+#: What is left of a part whose characters were lost.
+_LOST = re.compile(r"[?\ufffd\s.,!'()-]+")
 _PARTS = re.compile(r"\s*[|•«»]\s*|\s+[-–—]\s+")
 
 
 def parts(text: object) -> list[str]:
-    """The parts of a title, restored and normalised; each is judged on its own."""
-    return [p for p in _PARTS.split(normal(repaired(text))) if p] if isinstance(text, str) else []
+    """The parts of a title, restored and normalised, without those lost altogether; each is judged on its own."""
+    return [p for p in _PARTS.split(normal(repaired(text))) if p and not _LOST.fullmatch(p)] if isinstance(text, str) else []
 
 
 def _spans(pieces: list[str]) -> tuple[str, np.ndarray]:
@@ -237,13 +241,19 @@ def _counted(texts: DataFrame, pieces) -> np.ndarray:
     return table
 
 
+def scaled(table: np.ndarray, mass: float) -> np.ndarray:
+    """Counts brought down to so many characters, if there are more."""
+    return table * np.float32(min(1.0, mass * ORDER / max(float(table[0].sum()), 1.0)))
+
+
 def natural_table(texts: DataFrame, column: str, tables: list[np.ndarray], prose: Column | None = None, corpus: DataFrame | None = None) -> np.ndarray:
     """Counts of natural prose: a corpus, ordinary titles and mentions, and all texts of a column but residue."""
     base = counts(joined([normal(t) for t in (*ORDINARY, *MENTIONS) for _ in range(WEIGHT)]))
     if corpus is not None:
         # lines without a letter (numbers, times) aren't prose
-        base = base + _counted(corpus.select(F.regexp_replace(prose, r"(?m)^[\d\s:,.>-]*$", "").alias("t")), lambda ts: [normal(t) for t in ts])
-    return base + _counted(texts.select(F.col(column).cast("string").alias("t")), lambda ts: not_clearly([p for t in ts for p in parts(t)], tables, base))
+        base = base + scaled(_counted(corpus.select(F.regexp_replace(prose, r"(?m)^[\d\s:,.>-]*$", "").alias("t")), lambda ts: [normal(t) for t in ts]), CORPUS_MASS)
+    own = _counted(texts.select(F.col(column).cast("string").alias("t")), lambda ts: not_clearly([p for t in ts for p in parts(t)], tables, base))
+    return base + scaled(own, TITLE_MASS)
 
 
 def residue(df: DataFrame, id_col: str = "id", column: str = "title", corpus: DataFrame | None = None, corpus_col: str = "text") -> DataFrame:
