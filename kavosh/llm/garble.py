@@ -9,8 +9,8 @@ pass through as C1 controls, as lenient readers do.
 
 Single-byte misreadings (Arabic-script bytes shown as Western letters) have no internal check
 like UTF-8's, so they need a run that touches no ASCII letter and whose decoding is cheaper.
-Their code page lacks the Persian yeh, which was written as the Arabic one; it comes back as
-Persian unless the text also has the Arabic kaf.
+Their code page lacks the Persian yeh; where the bytes say the Arabic one, that is what was written,
+and it is restored as such.
 
 Results: NULL and clean text give no case; text with lost characters (replacement
 characters, words of question marks) gives a case with the restored text ''; genuine foreign
@@ -112,11 +112,7 @@ def _arabic_step(text: str) -> str | None:
         return out
 
     out = _RUN.sub(turn, text)
-    if not hit:
-        return None
-    if "ك" not in out:
-        out = out.replace("ي", "ی")
-    return out
+    return out if hit else None
 
 
 def _search(text: str, level: float, layers: int) -> tuple[float, str]:

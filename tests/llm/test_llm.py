@@ -38,6 +38,7 @@ def test_garbled_in_part_and_lost():
     part = "فروشگاه " + lenient("سنجد پونه".encode(), "cp1252")
     assert garble.repair(part) == "فروشگاه سنجد پونه"
     assert garble.repair(lenient("شرکت كوهآباد".encode("cp1256", "ignore"), "cp1252")) is not None
+    assert garble.repair(lenient("راهنماي خريد «گالری".replace("ی", "ي").encode("cp1256"), "cp1252")) == "راهنماي خريد «گالري"
     assert [garble.repair(t) for t in ("???? ?????", "ف���گ��", "Garage � Guide")] == ["", "", ""]
     clean = [None, "", "Café 404", "Œuvre Golban", "Año", "قیمت روز؟", "What?", "a?b=1 100% «x»", "شعبه‌ها – طرح", "Über Ångström"]
     assert [garble.repair(t) for t in clean] == [None] * len(clean)
