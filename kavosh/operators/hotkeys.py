@@ -5,8 +5,8 @@ arrays: its keys are dictionary-encoded to 0..n-1, counts come from ``numpy.binc
 minima and maxima from a scatter-reduce over those codes, and the earliest distinct partners
 from one sort. A split leaves one entry per key it saw, at most ``k`` partners wide, so a key
 with a third of all rows leaves as many entries as there are splits, not as it has rows. The
-entries travel as array blocks (a key's block is its hash modulo the number of blocks), and
-each block is summed by one task.
+entries travel as array blocks (a key's block is its hash modulo the number of blocks, which grows with the
+input), and each block is summed by one task.
 
 Why ``k`` partners per split suffice for the k-th partner overall: one of the k earliest
 partners of a key, first seen in split s, has fewer than k partners before it in s.
@@ -26,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kavosh.sources.tables import fanout
+from kavosh.sources.tables import fanout, scan_bytes
 
 _LATE = np.iinfo(np.int64).max
+#: Input for which there is one block of keys; a block is summed in one call.
+BLOCK_BYTES = 64 << 20
 _BLOCK = "block int, field string, keys array<string>, n array<bigint>, flagged array<bigint>, first array<bigint>, last array<bigint>, pkey array<int>, partner array<string>, at array<bigint>, row array<bigint>"
 
 
@@ -47,37 +49,54 @@ def _earliest(key: np.ndarray, partner: np.ndarray, at: np.ndarray, row: np.ndar
 
 
 class _Accumulator:
-    """Dense arrays over the keys of one field."""
+    """Dense arrays over the keys of one field.
+
+    Sets of arrays are put aside and merged when they outgrow what is merged already, so each entry is merged a number of times
+    that grows with the logarithm of the whole.
+    """
+
+    #: Keys put aside before a merge is worth it.
+    LEAST = 20_000
 
     def __init__(self, k: int):
-        self.k, self.keys, self.rows = k, None, None
+        self.k, self.keys, self.rows = k, np.empty(0, object), None
         self.sums: dict[str, np.ndarray] = {}
-
-    def add(self, keys: np.ndarray, n, flagged, first, last, pkey, partner, at, row) -> None:
-        """Merge another set of arrays: codes are remapped to the joint dictionary, then scattered."""
-        own = self.keys is None
-        joint = keys if own else np.concatenate([self.keys, keys])
-        code, uniques = pd.factorize(joint, use_na_sentinel=False)
-        m, half = len(uniques), 0 if own else len(self.keys)
-        parts = {"n": n, "flagged": flagged}
-        for name, x in parts.items():
-            both = x if own else np.concatenate([self.sums[name], x])
-            self.sums[name] = np.bincount(code, weights=both, minlength=m).astype(np.int64)
+        self._aside: list[tuple] = []
+        self._n = 0
+
+    def add(self, *arrays: np.ndarray) -> None:
+        """Put in keys, n, flagged, first, last (one per key) and pkey (places in keys), partner, at, row (one per partner)."""
+        self._aside.append(arrays)
+        self._n += len(arrays[0])
+        if self._n > max(len(self.keys), self.LEAST):
+            self.merge()
+
+    def merge(self) -> None:
+        """Everything put aside joins: one dictionary for all, counts by bincount, minima and maxima by scatter."""
+        if not self._aside:
+            return
+        own = [(self.keys, *(self.sums[c] for c in ("n", "flagged", "first", "last")), *self.rows)] if len(self.keys) else []
+        sets = own + self._aside
+        self._aside, self._n = [], 0
+        keys, n, flagged, first, last = (np.concatenate([s[i] for s in sets]) for i in range(5))
+        code, uniques = pd.factorize(keys, use_na_sentinel=False)
+        m = len(uniques)
+        for name, x in (("n", n), ("flagged", flagged)):
+            self.sums[name] = np.bincount(code, weights=x, minlength=m).astype(np.int64)
         for name, x, reduce, fill in (("first", first, np.minimum, _LATE), ("last", last, np.maximum, -1)):
-            both = x if own else np.concatenate([self.sums[name], x])
             out = np.full(m, fill, np.int64)
-            reduce.at(out, code, both)
+            reduce.at(out, code, x)
             self.sums[name] = out
-        rows = (code[half:][pkey], partner, at, row)
-        if not own:
-            o = self.rows
-            rows = tuple(np.concatenate([a, b]) for a, b in zip((code[:half][o[0]], *o[1:]), rows))
-        pcode, _ = pd.factorize(rows[1]) if len(rows[1]) else (np.empty(0, np.int64), None)
-        kept = _earliest(rows[0], pcode, rows[2], rows[3], self.k)
-        self.keys, self.rows = np.asarray(uniques, dtype=object), tuple(x[kept] for x in rows)
+        begins = np.cumsum([0, *(len(s[0]) for s in sets)])[:-1]
+        pkey = code[np.concatenate([s[5] + a for s, a in zip(sets, begins)]).astype(np.int64)]
+        partner, at, row = (np.concatenate([s[i] for s in sets]) for i in (6, 7, 8))
+        pcode = pd.factorize(partner)[0] if len(partner) else np.empty(0, np.int64)
+        kept = _earliest(pkey, pcode, at, row, self.k)
+        self.keys, self.rows = np.asarray(uniques, dtype=object), (pkey[kept], partner[kept], at[kept], row[kept])
 
     def blocks(self, field: str, blocks: int) -> Iterator[dict]:
-        if self.keys is None or not len(self.keys):
+        self.merge()
+        if not len(self.keys):
             return
         h = (pd.util.hash_array(self.keys, categorize=False) % blocks).astype(np.int64)
         pblock = h[self.rows[0]]
@@ -104,7 +123,7 @@ def key_profile(
     """
     if not fields:
         raise ValueError("key_profile needs at least one field")
-    blocks = max(fanout(df.sparkSession), 8)
+    blocks = max(fanout(df.sparkSession), 8, scan_bytes(df) // BLOCK_BYTES)
     columns = sorted({*fields, *fields.values()})
     flag = F.coalesce(F.col(flag_col).cast("int"), F.lit(0)) if flag_col else F.lit(0)
     narrow = df.select(
@@ -145,6 +164,7 @@ def key_profile(
                 np.asarray(r.keys, dtype=object), *(np.asarray(x, np.int64) for x in (r.n, r.flagged, r.first, r.last)),
                 np.asarray(r.pkey, np.int64), np.asarray(r.partner, dtype=object), np.asarray(r.at, np.int64), np.asarray(r.row, np.int64),
             )
+        total.merge()
         out = pd.DataFrame({"key_value": total.keys, "n_rows": total.sums["n"], "n_flagged": total.sums["flagged"], "first_us": total.sums["first"], "last_us": total.sums["last"]})
         kept = pd.DataFrame({"key": total.rows[0], "kth_us": total.rows[2], "kth_id": total.rows[3]})
         kept = kept[kept.groupby("key").cumcount() == k - 1].set_index("key")

@@ -56,6 +56,13 @@ def fanout(spark: SparkSession, per_core: int = 1) -> int:
 SPLIT_BYTES = 128 << 20
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """How many bytes the tables under ``df`` have, as their scans say; 0 where they can't say. Nothing runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return size if size < 1 << 60 else 0
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many splits as there are cores, for stages that work hard on few bytes.
 
@@ -65,9 +72,7 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES and 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if scan_bytes(df) < cores * SPLIT_BYTES and 0 < len(df.inputFiles()) < cores else df
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -2,12 +2,14 @@
 
 import json
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kavosh.functions import jsonld, lite, text
-from kavosh.operators import contacts, frontier, layers, links
+from kavosh.operators import contacts, frontier, hotkeys, layers, links
 from kavosh.operators.hotkeys import key_profile, third_partners
 from kavosh.operators.multivalue import packed_values, split_values, tokenize
 from kavosh.sources import feeds, sinks
@@ -68,6 +70,22 @@ def test_key_profiles(spark):
     assert third_partners(empty).count() == 0
 
 
+def test_key_arrays_merge_in_linear_time():
+    def seconds(n):
+        total = hotkeys._Accumulator(3)
+        sets = [(np.array([f"k{(i * 977 + j) % (n * 500)}" for j in range(5000)], object), *(np.ones(5000, np.int64) for _ in range(4)), np.arange(5000), np.array(["p"] * 5000, object), np.arange(5000), np.arange(5000)) for i in range(n)]
+        began = time.perf_counter()
+        for x in sets:
+            total.add(*x)
+        total.merge()
+        assert total.sums["n"].sum() == 5000 * n
+        return time.perf_counter() - began
+
+    seconds(5)
+    one, four = min(seconds(20) for _ in range(3)), min(seconds(80) for _ in range(2))
+    assert four < 8 * one
+
+
 def test_folded_links(spark):
     rows = [(1, "s", "t", "d", True, False, "script", "2024"), (2, "s", "t", "e", False, True, "anchor,script", "2025"), (3, "s", "u", None, None, None, None, None), (3, "s", "u", None, None, None, None, None)]
     df = spark.createDataFrame(rows, "id int, source_url string, target_url string, target_domain string, external boolean, crawlable boolean, link_type string, first_seen string")
