@@ -1,13 +1,13 @@
 """Several values packed in one field: a quote-aware finite-state tokenizer.
 
 ``split_values`` turns packed fields into one row per value, with the value's place.
-The automaton walks a field once and keeps three things: the open quote (none, single or
-double), whether the last character was an escape, and the nesting depth of brackets. A
-delimiter ends a value only outside quotes and brackets; which delimiters count depends on
-the field (``KINDS``), as a slash parts phone numbers but not profile URLs.
+The automaton walks a field once and knows three things: the open quote (a value may be quoted as a whole, or
+hold a quoted part after white space), whether the last character was an escape, and the brackets that are open. A
+delimiter ends a value only outside quotes and brackets and unescaped; which delimiters count depends on
+the field (``KINDS``), as a slash parts phone numbers but not profile URLs, which may hold any of these.
 
 Results in the odd cases: NULL, empty and blank fields, ``[]`` and ``{}`` give no row; empty
-pieces are dropped and not counted; a value written twice gives two rows; a quote that never
+pieces are dropped and not counted; a value written twice gives two rows; a quote or bracket that never
 closes is an ordinary character; broken JSON is tokenised by the same automaton without
 decoding; very long fields are read whole, in linear time. Extra columns of the input are
 ignored unless named in ``id_col`` or ``fields``.
@@ -28,10 +28,11 @@ from kavosh.sources.tables import spread
 
 @dataclass(frozen=True)
 class Kind:
-    """How values of a field may be parted: a regex of delimiters, and whether pieces are URLs."""
+    """How values of a field may be parted: a regex of delimiters, whether pieces are URLs, and whether white space parts addresses."""
 
     delimiter: str
     urls: bool = False
+    spaces: bool = False
 
 
 _ANY = r"[,;|\n\r\t،؛•]"
@@ -39,10 +40,10 @@ _WORDS = r"(?<=\s)(?:&|\+|و|یا|or|and)(?=\s)"
 
 KINDS: dict[str, Kind] = {
     "phones": Kind(rf"{_ANY}|/|(?<=\s)-(?=\s)|{_WORDS}"),
-    "emails": Kind(rf"{_ANY}|/|(?<=\s)-(?=\s)|{_WORDS}|\s(?=[^<>]*(?:@|$))"),
+    "emails": Kind(rf"{_ANY}|/|(?<=\s)-(?=\s)|{_WORDS}", spaces=True),
     "technologies": Kind(rf"{_ANY}|(?<=\s)[-/](?=\s)|{_WORDS}"),
     "socials": Kind(
-        rf"(?<![:=\s])(?:{_ANY}|\s|&&)+(?=\s*[\"']?(?:[\w.+-]+\s*[:=]\s*)?[\"']?(?:https?:)?//|\s*$)|(?<=\s)(?:&|\+|/|-|و|یا|or|and)\s+(?=[\"']?(?:[\w.+-]+\s*[:=]\s*)?(?:https?:)?//)",
+        rf"(?<![:=\s,;|،؛•])(?:{_ANY}|\s|&&)+(?=\s*[\"']?(?:[\w.+-]+\s*[:=]\s*)?[\"']?(?:https?:)?//|\s*$)|(?<=\s)(?:&|\+|/|-|و|یا|or|and)\s+(?=[\"']?(?:[\w.+-]+\s*[:=]\s*)?(?:https?:)?//)",
         urls=True,
     ),
 }
@@ -50,8 +51,11 @@ KINDS: dict[str, Kind] = {
 _CLOSES = {"{": "}", "[": "]"}
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 _NETWORK = re.compile(r"^(?!https?:)[\"']?[\w.+ -]+[\"']?\s*[:=]\s*(?=[\"']?(?:https?:)?//)")
-#: Where a value may end: a delimiter character, an angle bracket, or the start of a parting word.
-_STOP = re.compile(r"[,;|\n\r\t،؛•/<>&]|\s|(?<=\s)\S")
+#: Where a value may end or a guarded part begin: a delimiter character, a bracket, an escape, a quote, or the start of a parting word.
+_STOP = re.compile(r"[,;|\n\r\t،؛•/<(\[{\\\"&]|\s|(?<=\s)\S")
+_PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
+_BRACKET = re.compile(r"[()\[\]{}<>]")
+_ESCAPED = re.compile(r"\\([,;|،؛•/])")
 _COMPILED = {name: re.compile(kind.delimiter) for name, kind in KINDS.items()}
 
 
@@ -129,6 +133,38 @@ def _bracketed(text: str) -> list[str] | None:
     return None
 
 
+def _matching(text: str) -> dict[int, int]:
+    """Where each bracket that closes is closed: one pass, brackets that fit no other are left out."""
+    stack: list[int] = []
+    out: dict[int, int] = {}
+    for m in _BRACKET.finditer(text):
+        c = m.group()
+        if c in _PAIRS:
+            stack.append(m.start())
+        else:
+            while stack and _PAIRS[text[stack[-1]]] != c:
+                if c not in (_PAIRS[text[i]] for i in stack[-3:]):  # closes nothing near: an ordinary character
+                    break
+                stack.pop()
+            else:
+                if stack:
+                    out[stack.pop()] = m.start()
+    return out
+
+
+class _Ahead:
+    """The next place of a character at or after a place that only moves on."""
+
+    def __init__(self, text: str, what: str):
+        self.text, self.what, self.at = text, what, -1
+
+    def __call__(self, i: int) -> int:
+        if self.at < i:
+            found = self.text.find(self.what, i)
+            self.at = found if found >= 0 else len(self.text)
+        return self.at
+
+
 def _unquote(piece: str) -> str:
     """Without white space and without quotes around the whole value."""
     piece = piece.strip()
@@ -136,7 +172,46 @@ def _unquote(piece: str) -> str:
         got = _decode(piece, 0, piece[0])
         if got is not None and got[1] == len(piece):
             return got[0].strip()
-    return piece
+    return _ESCAPED.sub(r"\1", piece) if "\\" in piece else piece
+
+
+def _walk(text: str, kind: Kind, delimiter: re.Pattern) -> Iterator[str]:
+    """The pieces between delimiters that stand outside quotes and brackets."""
+    closed = {} if kind.urls else _matching(text)
+    at, opens, closes = (_Ahead(text, c) for c in "@<>")
+    start, i, n, fresh = 0, 0, len(text), True
+    while i < n:
+        if not fresh:
+            stop = _STOP.search(text, i)
+            if stop is None:
+                break
+            i = stop.start()
+        c = text[i]
+        if c in "\"'" and (fresh or (c == '"' and not kind.urls and text[i - 1].isspace())):
+            quoted = _decode(text, i, c)
+            if quoted is not None and (fresh or quoted[1] >= n or not text[quoted[1]].isalnum()):
+                i, fresh = quoted[1], False
+                continue
+        if i in closed:
+            i, fresh = closed[i] + 1, False
+            continue
+        if c == "\\" and not kind.urls and _ESCAPED.match(text, i):
+            i, fresh = i + 2, False
+            continue
+        m = delimiter.match(text, i)
+        end = m.end() if m else i
+        # white space parts addresses, but not the name before one in angle brackets
+        if end == i and kind.spaces and c.isspace() and (at(i) < min(opens(i), closes(i)) or min(opens(i), closes(i)) >= n):
+            end = i + 1
+        if end > i:
+            yield text[start:i]
+            i = start = end
+            fresh = True
+            continue
+        if not c.isspace():
+            fresh = False
+        i += 1
+    yield text[start:]
 
 
 def tokenize(text: str | None, field: str) -> list[str]:
@@ -151,35 +226,7 @@ def tokenize(text: str | None, field: str) -> list[str]:
     if text[0] in "{[":
         pieces = _bracketed(text)
     if pieces is None:
-        pieces, start, i, n, fresh, depth = [], 0, 0, len(text), True, 0
-        while i < n:
-            if not fresh:
-                stop = _STOP.search(text, i)
-                if stop is None:
-                    break
-                i = stop.start()
-            c = text[i]
-            if fresh and c in "\"'":
-                closed = _decode(text, i, c)
-                if closed is not None:
-                    i, fresh = closed[1], False
-                    continue
-            if c == "<":
-                depth += 1
-            elif c == ">" and depth:
-                depth -= 1
-            if not depth:
-                m = delimiter.match(text, i)
-                if m and m.end() > i:
-                    pieces.append(text[start:i])
-                    i = start = m.end()
-                    fresh = True
-                    continue
-            if not c.isspace():
-                fresh = False
-            i += 1
-        pieces.append(text[start:])
-        pieces = [_unquote(p) for p in pieces]
+        pieces = [_unquote(p) for p in _walk(text, kind, delimiter)]
     if kind.urls:
         pieces = [_unquote(_NETWORK.sub("", p)) for p in pieces]
     return [p for p in pieces if p]

@@ -21,10 +21,10 @@ CASES = {
         "0912 345 و 021/5 - 7": ["0912 345", "021", "5", "7"],
     },
     "emails": {
-        '"Sales, A" <a@x.ir>; b@x.ir': ['"Sales, A" <a@x.ir>', "b@x.ir"], '"""Office, B"" <b@y.ir>"; "c@y.ir"': ['"Office, B" <b@y.ir>', "c@y.ir"], "a@x.ir b@x.ir": ["a@x.ir", "b@x.ir"], "mailto:a@x.ir یا b@x.ir": ["mailto:a@x.ir", "b@x.ir"],
+        '"Sales, A" <a@x.ir>; b@x.ir': ['"Sales, A" <a@x.ir>', "b@x.ir"], '"""Office, B"" <b@y.ir>"; "c@y.ir"': ['"Office, B" <b@y.ir>', "c@y.ir"], "a@x.ir b@x.ir": ["a@x.ir", "b@x.ir"], 'Info "Sales, Tehran" <a@b.c>, d@e.f': ['Info "Sales, Tehran" <a@b.c>', "d@e.f"], "Sales Team <a@b.c> d@e.f": ["Sales Team <a@b.c>", "d@e.f"], "mailto:a@x.ir یا b@x.ir": ["mailto:a@x.ir", "b@x.ir"],
         '["\\"S, M\\" <h@m.ir>", "x@y.ir"]': ['"S, M" <h@m.ir>', "x@y.ir"],
     },
-    "technologies": {"C++ Gateway + jQuery": ["C++ Gateway", "jQuery"], '"Player / HLS", "A ""B"" C";X (0.5)': ["Player / HLS", 'A "B" C', "X (0.5)"], "a • b": ["a", "b"], "Asan-Pay; ; Vue.js": ["Asan-Pay", "Vue.js"]},
+    "technologies": {"C++ Gateway + jQuery": ["C++ Gateway", "jQuery"], '"Player / HLS", "A ""B"" C";X (0.5)': ["Player / HLS", 'A "B" C', "X (0.5)"], "a • b": ["a", "b"], "Foo (a, b); Bar": ["Foo (a, b)", "Bar"], "A\\,B, C": ["A,B", "C"], "x (open, y": ["x (open", "y"], 'O"Neil, b': ['O"Neil', "b"], "a ) b, (c": ["a ) b", "(c"], "f[1; (2, 3)], g": ["f[1; (2, 3)]", "g"], "Asan-Pay; ; Vue.js": ["Asan-Pay", "Vue.js"]},
     "socials": {
         '{"a": ["https://x.ir/1", "https://x.ir/2"], "b": "https://y.ir?v=1;h=2"}': ["https://x.ir/1", "https://x.ir/2", "https://y.ir?v=1;h=2"], "{'t': 'https://t.ir/q?l=fa,en'}": ["https://t.ir/q?l=fa,en"], "{}": [], "None": ["None"],
         "a=https://x.ir/1?v=1;hl=fa;b=https://y.ir": ["https://x.ir/1?v=1;hl=fa", "https://y.ir"], "t: https://t.ir/a\ny: https://y.ir/b": ["https://t.ir/a", "https://y.ir/b"], "a=https://x.ir&&b=https://y.ir?s=1&id=2": ["https://x.ir", "https://y.ir?s=1&id=2"],
@@ -37,6 +37,16 @@ def test_tokenizer(field, raw):
     assert tokenize(raw, field) == CASES[field][raw]
 
 
+def test_tokenizer_is_linear():
+    def seconds(n):
+        began = time.perf_counter()
+        tokenize(" ".join(f"a{i}@b.c" for i in range(n)), "emails"), tokenize("(" * n + ",a", "technologies"), tokenize("," * n, "socials"), tokenize('"' * n + "a", "phones"), tokenize("(a, b) " * n, "phones")
+        return time.perf_counter() - began
+
+    one, four = min(seconds(5_000) for _ in range(3)), min(seconds(20_000) for _ in range(3))
+    assert four < 8 * one
+
+
 def test_split_values(spark):
     rows = [(1, "a,b", None, "x", "1"), (2, None, "", None, "2"), (3, "c,c", "d@e.ir", "y;z", "3"), (3, "c,c", "d@e.ir", "y;z", "3"), (4, "," * 200_000 + "q", None, None, None)]
     df = spark.createDataFrame(rows, "id int, phones string, emails string, technologies string, piece string")
