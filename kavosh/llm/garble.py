@@ -174,4 +174,4 @@ def is_garbled(text: Column) -> Column:
     def udf(s: pd.Series) -> pd.Series:
         return s.map(lambda t: isinstance(t, str) and repair(t) is not None)
 
-    return F.when(text.rlike(SUSPICIOUS), udf(text)).otherwise(F.lit(False))
+    return udf(F.when(text.rlike(SUSPICIOUS), text))  # other texts reach Python as NULL

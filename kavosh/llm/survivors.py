@@ -1,12 +1,13 @@
 """One surviving record for each group of duplicate records, field by field.
 
-Fields are unpivoted to long rows (site, field, value), unusable values are left out, winners
-are picked by ``max_by`` and pivoted back. Two ways of picking:
+Fields are unpivoted to long rows (site, field, value), unusable values are left out, votes are combined per normalised value, winners
+are picked by ``max_by`` and pivoted back. Two ways of combining:
 
-* ``best_rows``: the best single row per field: quality score, then recency, then the smaller
-  id. It answers a fixed definition in which the best row decides, not a sum over rows.
-* ``voted``: votes of equal normalised values are summed, a vote weighing the row's trust
-  times a recency decay; the value with most votes survives, in its most frequent spelling.
+* ``voted``: a vote weighs the row's trust times a recency decay, votes of a value are summed, and the value with most votes
+  survives in its most frequent spelling.
+* ``best_rows``: the same with votes so steep that no number of lesser ones outweighs a better one: trust first, then recency, then the
+  smaller id. Their sum is ruled by the largest, so the largest is kept; the surviving row is the one that cast it. It answers a
+  definition in which the best row decides.
 
 Both are plain aggregates with partial sums on the map side, so a site with a third of all
 rows is reduced before it moves.
@@ -63,20 +64,33 @@ def _street(s: pd.Series) -> pd.Series:
     return s.map(lambda a: isinstance(a, str) and names_street(a))
 
 
+def usable_word(value: Column, at: Column) -> Column:
+    """Whether a category or city may survive: not blank, no placeholder, not garbled; words of pages are good categories."""
+    p = plain(value)
+    return F.coalesce(value.isNotNull() & p.rlike(r"[\p{L}\p{N}]") & ~p.isin(*NO_VALUE) & ~is_garbled(value), F.lit(False))
+
+
+#: How each field's values are judged; other fields take ``usable_word``.
+USABLE = {"business_name": usable_name, "address": lambda value, at: _street(value)}
+
+
+def unpivoted(rows: DataFrame, fields: tuple[str, ...], kept: tuple[str, ...]) -> DataFrame:
+    """(domain, *kept, field, value, ok): one row for each field of a row, with whether its value may survive."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), USABLE.get(f, usable_word)(F.col(f), F.col("domain")).alias("ok")) for f in fields])
+    return rows.select("domain", *kept, F.explode(cells).alias("x")).select("domain", *kept, "x.field", "x.value", "x.ok")
+
+
 def best_rows(df: DataFrame) -> DataFrame:
     """(domain, name_id, address_id) of each site with at least two rows; 0 where no row is usable."""
     rows = df.select("id", site_of(F.col("domain"), F.col("source_url")).alias("domain"), "business_name", "address", "quality_score", "crawled_at").filter("domain <> '' and id is not null")
-    fields = F.array(
-        F.struct(F.lit("name").alias("field"), usable_name(F.col("business_name"), F.col("domain")).alias("ok")),
-        F.struct(F.lit("address").alias("field"), _street("address").alias("ok")),
-    )
-    long = rows.select("id", "domain", "quality_score", "crawled_at", F.explode(fields).alias("x")).select("id", "domain", "quality_score", "crawled_at", "x.field", "x.ok")
-    rank = F.struct(
-        F.coalesce("quality_score", F.lit(float("-inf"))), F.coalesce(F.unix_micros(F.col("crawled_at").try_cast("timestamp")), F.lit(-(2**62))), -F.col("id")
-    )
-    won = long.groupBy("domain", "field").agg(F.count("*").alias("n"), F.max_by(F.when(F.col("ok"), F.col("id")), F.when(F.col("ok"), rank)).alias("winner"))
-    wide = won.groupBy("domain").pivot("field", ["name", "address"]).agg(F.max("winner").alias("winner"), F.max("n").alias("n"))
-    return wide.filter("name_n >= 2").select("domain", F.coalesce("name_winner", F.lit(0)).cast("bigint").alias("name_id"), F.coalesce("address_winner", F.lit(0)).cast("bigint").alias("address_id"))
+    steep = F.struct(F.coalesce("quality_score", F.lit(float("-inf"))).alias("trust"), F.coalesce(F.unix_micros(F.col("crawled_at").try_cast("timestamp")), F.lit(-(2**62))).alias("recency"), (-F.col("id")).alias("cast_by"))
+    fields = ("business_name", "address")
+    long = unpivoted(rows, fields, ("id", "quality_score", "crawled_at")).withColumn("vote", F.when(F.col("ok"), steep))
+    values = long.groupBy("domain", "field", F.xxhash64(F.when(F.col("ok"), plain(F.col("value")))).alias("key")).agg(F.count("*").alias("n"), F.max("vote").alias("votes"))
+    won = values.groupBy("domain", "field").agg(F.sum("n").alias("n"), F.max_by(-F.col("votes.cast_by"), "votes").alias("winner"))
+    wide = won.groupBy("domain").pivot("field", list(fields)).agg(F.max("winner").alias("winner"), F.max("n").alias("n"))
+    ids = [F.coalesce(f"{f}_winner", F.lit(0)).cast("bigint").alias(name) for f, name in zip(fields, ("name_id", "address_id"))]
+    return wide.filter("business_name_n >= 2").select("domain", *ids)
 
 
 def voted(df: DataFrame, fields: tuple[str, ...] = ("business_name", "address", "category", "city"), half_life_days: float = 30.0) -> DataFrame:
@@ -89,9 +103,7 @@ def voted(df: DataFrame, fields: tuple[str, ...] = ("business_name", "address",
     newest = rows.agg(F.max("at")).collect()[0][0] or 0  # one number
     days = F.coalesce((F.lit(newest) - F.col("at")) / 86400.0, F.lit(365.0))
     vote = F.coalesce("quality_score", F.lit(0.1)) * F.pow(F.lit(0.5), days / half_life_days)
-    ok = {f: _street(f) if f == "address" else usable_name(F.col(f), F.col("domain")) for f in fields}
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.when(ok[f], F.col(f)).alias("value")) for f in fields])
-    long = rows.select("domain", vote.alias("vote"), F.explode(cells).alias("x")).select("domain", "vote", "x.field", "x.value")
+    long = unpivoted(rows.withColumn("vote", vote), fields, ("vote",)).withColumn("value", F.when(F.col("ok"), F.col("value")))
     spelt = long.groupBy("domain", "field", "value").agg(F.sum("vote").alias("votes"))
     values = spelt.groupBy("domain", "field", plain(F.col("value")).alias("key")).agg(F.sum("votes").alias("votes"), F.max_by("value", F.struct("votes", "value")).alias("value"))
     won = values.groupBy("domain", "field").agg(F.max_by(F.when(F.col("key").isNotNull(), F.col("value")), F.struct(F.col("key").isNotNull(), F.round("votes", 9), "key")).alias("value"))

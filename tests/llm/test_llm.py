@@ -141,6 +141,8 @@ def test_survivors(spark):
     df = spark.createDataFrame(rows, CONTACT)
     assert {tuple(r) for r in survivors.best_rows(df).collect()} == {("x.ir", 2, 3), ("z.ir", 0, 0)}
     voted = {r["domain"]: r for r in survivors.voted(df).collect()}
+    words = spark.createDataFrame([(1, "v.ir", None, "Acme", None, "خدمات", "قم", 0.5, None, 1), (2, "v.ir", None, "خدمات", None, "نامشخص", "-", 0.9, None, 1)], CONTACT)
+    assert tuple(survivors.voted(words).first()) == ("v.ir", "Acme", None, "خدمات", "قم")  # a category may be a word that names no business
     assert voted["x.ir"]["city"] == "q" and voted["y.ir"]["business_name"] == "Solo" and voted["z.ir"]["business_name"] is None
     assert survivors.best_rows(df.limit(0)).count() == 0 and survivors.voted(df.limit(0)).count() == 0
 
