@@ -51,6 +51,11 @@ _BOULEVARD = {"بلوار", "بل", "ب", "bolvar", "blvr", "boulevard", "blvd",
 _LABEL = re.compile(r"(?:آدرس|نشانی|دفتر مرکزی|address)\s*:", re.I)
 
 
+#: Words that name no place, and the mark of a place that isn't in the list of cities.
+_NO_PLACE = {"iran", "ایران", "استان", "شهر", "شهرستان", "province", "city", "آدرس", "نشانی", "address", "office", "دفتر", "مرکزی", "تلفن", "tel"}
+UNREAD = "?"
+
+
 class Address(NamedTuple):
     """Parts of an address; '' where a part isn't given."""
 
@@ -114,8 +119,12 @@ def parse(text: str | None) -> Address:
     if not number and street:
         m, t = _take(_BARE, t)
         number = m[1].lstrip("0") if m else ""
-    for word in re.findall(_W, t):
+    rest = re.findall(_W, t)
+    for word in rest:
         city = _CITY.get(word, city)
+    if not city and street:
+        unread = [w for w in rest if w not in _NO_PLACE and len(w) > 1]
+        city = UNREAD + " ".join(unread) if unread else ""  # a place not in the list is still a place of its own
     kind = ("blvd" if kind in _BOULEVARD else "st") if street else ""
     return Address(city, kind, street, alley.lstrip("0") if alley.isdigit() else alley, number, postcode)
 
@@ -132,7 +141,7 @@ def parsed(df: DataFrame, id_col: str = "id", address_col: str = "address", city
             rows = [parse(a if isinstance(a, str) else None) for a in pdf["a"]]
             out = pd.DataFrame(rows, columns=list(Address._fields))
             known = pdf["c"].map(lambda c: _CITY.get(c.translate(_DIGITS).strip().lower(), "") if isinstance(c, str) else "")
-            out["city"] = out["city"].where(out["city"] != "", known)
+            out["city"] = out["city"].where((out["city"] != "") & ~(out["city"].str.startswith(UNREAD) & (known != "")), known)
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
@@ -160,28 +169,38 @@ def corrections(words: DataFrame) -> DataFrame:
     return near.select("word", "meant", "n").distinct().filter((F.levenshtein("word", "meant") <= 1) | moved)
 
 
-#: How often a part of records that match disagrees.
-SLIP = 0.01
+#: How often a part of records that match disagrees: a city is never misspelt into another, a side street hardly ever once it is read, codes at times.
+SLIPS = {"city": 1e-6, "alley": 1e-4, "postcode": 0.01}
+
+
+def sound(text: Column) -> Column:
+    """Consonants of a name, written alike in Persian and Latin script: what is heard of it whatever the vowels."""
+    low = F.lower(text)
+    for two, one in (("kh", "x"), ("gh", "q"), ("sh", "c"), ("ch", "j"), ("zh", "z")):
+        low = F.replace(low, F.lit(two), F.lit(one))
+    low = F.translate(low, "بپتطثسصجچخدذضظزژرشغقفکگلمن", "bpttsssjjxdzzzzzrcqqfkglmn")
+    return F.regexp_replace(F.regexp_replace(low, r"[^b-df-gj-np-txz0-9 ]|h|w|v|y", ""), r"(.)\1+", "$1")
 
 
-def linkage_weights(patterns: list[tuple[tuple[int, ...], int]], chance: list[list[float]], rounds: int = 50) -> dict[tuple[int, ...], float]:
+def linkage_weights(patterns: list[tuple[tuple[int, ...], int]], chance: list[list[float]], slips: list[float] | None = None, rounds: int = 50) -> dict[tuple[int, ...], float]:
     """Match probability of each agreement pattern by expectation-maximization.
 
     ``patterns``: levels per component (0 disagree, 1 missing on either side, 2 agree) with
     counts; ``chance``: how often two unrelated records have each level of each component,
     known from the components' own distributions. Components are taken as independent given
     match or not, as Fellegi and Sunter do; a missing value is a level with its own weight.
-    Estimated here are the levels' frequencies among matches and the share of matches. At most
-    27 patterns, so this runs on the driver.
+    Estimated here are the levels' frequencies among matches and the share of matches; how often matches disagree is given (``slips``).
+    At most 27 patterns, so this runs on the driver.
     """
     if not patterns:
         return {}
     x, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
     k = x.shape[1]
     u = np.clip(np.array(chance, float), 1e-6, 1.0)
+    slip = np.array(slips if slips is not None else k * [0.01])
     # to begin with, a part is left out of matches as often as of others
-    begin = np.column_stack([np.full(k, SLIP), u[:, 1] * (1 - SLIP), (1 - u[:, 1]) * (1 - SLIP)])
-    begin = np.maximum(begin, 1e-6)
+    begin = np.column_stack([slip, u[:, 1] * (1 - slip), (1 - u[:, 1]) * (1 - slip)])
+    begin = np.maximum(begin, 1e-9)
     m, prior, weight = begin.copy(), 0.8, 20 + 0.2 * n.sum()
     for _ in range(rounds):
         pm = prior * np.prod([m[j, x[:, j]] for j in range(k)], axis=0)
@@ -189,7 +208,7 @@ def linkage_weights(patterns: list[tuple[tuple[int, ...], int]], chance: list[li
         g = pm / (pm + pu)
         for j in range(k):
             told = [(g * n)[x[:, j] == level].sum() + weight * begin[j, level] for level in (1, 2)]
-            m[j, 1:] = np.array(told) / sum(told) * (1 - SLIP)
+            m[j, 1:] = np.array(told) / sum(told) * (1 - slip[j])
         prior = ((g * n).sum() + 8) / (n.sum() + 10)
     return {tuple(int(v) for v in p): float(v) for (p, _), v in zip(patterns, g)}
 
@@ -218,8 +237,9 @@ def buildings(df: DataFrame, id_col: str = "id", address_col: str = "address", c
     3. Blocks are (street, number); within one only the distinct (city, side street) pairs
        meet. Each pair has a level per component: city, side street, postcode.
     4. Expectation-maximization turns the levels into match probabilities, missing values
-       included. A class that lacks a part joins the one likeliest class that has it; if two
+       included. A class that lacks a part joins the one likeliest class that has it, if that is more likely than not; if two
        that contradict each other are as likely, it stays apart.
+    5. A second block, (postcode, number, sound of the street), joins what spelling or script kept apart.
     """
     rows = keep(parsed(df, id_col, address_col, city_col).filter("street <> '' and number <> ''"), "addresses")
     classes = rows.groupBy("street", "number", "city", "alley").agg(F.count("*").alias("n"), F.max("postcode").alias("postcode"), F.min("id").alias("cls"))
@@ -258,11 +278,11 @@ def buildings(df: DataFrame, id_col: str = "id", address_col: str = "address", c
     total: dict[tuple[int, ...], int] = {}
     for r in counted:
         total[(r[0], r[1], r[2])] = total.get((r[0], r[1], r[2]), 0) + r[3]
-    weights = linkage_weights(list(total.items()), [_chance(spots, c) for c in ("city", "alley", "postcode")])
+    weights = linkage_weights(list(total.items()), [_chance(spots, c) for c in SLIPS], list(SLIPS.values()))
     probability = F.coalesce(*[F.when((F.col("l_city") == p[0]) & (F.col("l_alley") == p[1]) & (F.col("l_post") == p[2]), F.lit(w)) for p, w in weights.items()], F.lit(0.0))
     # candidates: spots that know more than this one and don't contradict it
     more = ((F.col("city_b") != "").cast("int") + (F.col("alley_b") != "").cast("int")) - ((F.col("city") != "").cast("int") + (F.col("alley") != "").cast("int"))
-    fits = levels.withColumn("p", probability).withColumn("more", more).filter("more > 0 and l_city > 0 and l_alley > 0 and (p >= 0.5 or l_post = 2)")
+    fits = levels.withColumn("p", probability).withColumn("more", more).filter("more > 0 and p >= 0.5")
     best = Window.partitionBy("spot")
     fits = fits.withColumn("score", F.col("l_post") * 10 + F.col("l_city") + F.col("l_alley")).withColumn("top", F.max(F.when(F.col("l_post") == 2, 1).otherwise(0)).over(best)).filter("top = 0 or l_post = 2")
     joint = fits.groupBy("spot").agg(
@@ -274,13 +294,15 @@ def buildings(df: DataFrame, id_col: str = "id", address_col: str = "address", c
     # at most two steps: no city and no side street -> one of them -> both
     one = spots.select("spot").join(links, "spot", "left").select("spot", F.coalesce("into", "spot").alias("mid"))
     two = one.join(links.select(F.col("spot").alias("mid"), F.col("into").alias("far")), "mid", "left").select("spot", F.coalesce("far", "mid").alias("building"))
-    # spots that each lack what the other has are one building if their postcodes say so
-    coded = spots.filter("postcode <> ''").join(two, "spot")
-    agreed = coded.groupBy("key", "number", "postcode").agg(
-        F.min("building").alias("joint"), F.count_distinct(F.when(F.col("city") != "", F.col("city"))).alias("cities"), F.count_distinct(F.when(F.col("alley") != "", F.col("alley"))).alias("alleys")
-    )
-    moved = coded.join(agreed.filter("cities <= 1 and alleys <= 1"), ["key", "number", "postcode"]).groupBy("building").agg(F.min("joint").alias("joint"))
-    final = two.join(moved, "building", "left").select("spot", F.coalesce("joint", "building").alias("building"))
+    final = two.select("spot", "building")
+    # a second block: one postcode and number, and a street that sounds alike, whatever its script or spelling; so halves that
+    # each lack what the other has meet as well. Cities and side streets must not contradict
+    coded = keep(spots.filter("postcode <> ''").select("spot", "postcode", "number", sound(F.col("key")).alias("sounds"), F.nullif("city", F.lit("")).alias("city"), F.nullif(sound(F.col("alley")), F.lit("")).alias("alley")), "coded-spots")
+    for _ in range(2):  # a building with two postcodes may join two others
+        at = coded.join(final, "spot")
+        agreed = at.groupBy("postcode", "number", "sounds").agg(F.min("building").alias("joint"), F.count_distinct("building").alias("n"), F.count_distinct("city").alias("cities"), F.count_distinct("alley").alias("alleys"))
+        moved = at.join(agreed.filter("n > 1 and cities <= 1 and alleys <= 1"), ["postcode", "number", "sounds"]).groupBy("building").agg(F.min("joint").alias("joint"))
+        final = keep(final.join(moved, "building", "left").select("spot", F.coalesce("joint", "building").alias("building")), "joined")
     by_class = keep(members.join(final, "spot").select("cls", "building"), "buildings")
     keys = classes.select("street", "number", "city", "alley", "cls").join(by_class, "cls").drop("cls")
     return rows.join(keys, ["street", "number", "city", "alley"]).select("id", "building")

@@ -183,9 +183,25 @@ def test_same_building(spark):
     assert addresses.same_building(df.limit(0)).count() == 0
 
 
+def test_unread_cities_scripts_and_weights(spark, monkeypatch):
+    rows = [
+        (1, "قزوین، خیابان باغستان شادمهر، پلاک ۱۲", None), (2, "گرگان، خیابان باغستان شادمهر، پلاک ۱۲", None), (3, "قزوین، خیابون باغستان شادمهر، پ ۱۲", None),
+        (4, "تهران، خیابان نیکبان باغگاه، پلاک ۷، کدپستی ۱۲۳۴۵۶۷۸۹۰", None), (5, "No 7, Nikban Baghgah St, Tehran, P.C. 1234567890", None), (6, "No 7, Golban Zaravar St, Tehran, P.C. 1234567890", None),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, address string, city string")
+    assert {tuple(r) for r in addresses.same_building(df).collect()} == {(1, 3), (4, 5)}
+    apart = spark.createDataFrame([(i, f"{c}، خیابان باغستان شادمهر، {a}پلاک ۱۲", None) for i, (c, a) in enumerate([("تهران", "کوچه ۱، "), ("تهران", ""), ("قم", "کوچه ۲، "), ("قم", "")] * 3)], "id bigint, address string, city string")
+    count = lambda: addresses.same_building(apart).count()
+    decided = count()
+    monkeypatch.setattr(addresses, "linkage_weights", lambda patterns, *_: {p: 1.0 for p, _ in patterns})
+    assert decided == 30 and count() != decided  # without weights contradictions would link, or keep all apart
+
+
 def test_linkage_weights():
     w = addresses.linkage_weights([((2, 2), 500), ((2, 1), 300), ((1, 2), 200), ((0, 2), 30), ((0, 1), 20), ((2, 0), 5)], [[0.8, 0.1, 0.1], [0.8, 0.15, 0.05]])
-    assert w[2, 2] > 0.99 and w[2, 1] > 0.9 and w[0, 1] < 0.7 and addresses.linkage_weights([], []) == {}
+    assert w[2, 2] > 0.99 and w[2, 1] > 0.9 and w[0, 1] < 0.7
+    s = addresses.linkage_weights([((2, 2), 500), ((0, 2), 30), ((2, 1), 300)], [[0.8, 0.1, 0.1], [0.8, 0.15, 0.05]], [1e-6, 1e-4])
+    assert s[0, 2] < 0.5 < s[2, 1] and addresses.linkage_weights([], []) == {}
 
 
 # --- residue -----------------------------------------------------------------------------
