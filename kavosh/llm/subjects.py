@@ -8,8 +8,8 @@ the documents that hold them, scores of documents from the words they hold. Labe
 are seeds; they are clamped to their labels as long as their own words bear the labels out
 (some labels are wrong), and documents keep several subjects.
 
-After the last round a document has those subjects that reached it with at least a fifth of its score, and that are borne out by
-its cues: each cue is given to the subject its words speak for most, or to none, and a subject needs a fifth of the
+After the last round a document has those subjects that reached it with at least a tenth of its score (words count once there, however
+often they are said), and that are borne out by its cues: each cue is given to the subject its words speak for most, or to none, and a subject needs a fifth of the
 cues given to any. Both are joined by document and subject; a subject that only the cues or only the graph name isn't one.
 
 What is small here and why: the words considered occur in at least ``MIN_SHARE`` of the
@@ -39,6 +39,8 @@ MIN_SHARE, MAX_SHARE = 0.0005, 0.5
 ROUNDS = 2
 #: Share of a document's subject-bearing cues that makes a subject its own.
 LEAST = 0.2
+#: Share of a document's propagated score without which a subject hasn't reached it.
+REACHED = 0.1
 
 
 def cue_words(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -118,7 +120,7 @@ def _word_scores(edges: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def subjects(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, subject, share) of each subject with at least ``LEAST`` of a document's propagated score and of its subject-bearing cues."""
+    """(doc_id, subject, share) of each subject that reached a document and has at least ``LEAST`` of its subject-bearing cues."""
     lines = keep(cue_words(documents, id_col), "cue-words")
     n_docs = lines.count()
     common = document_frequencies(lines).filter((F.col("n") >= max(2, MIN_SHARE * n_docs)) & (F.col("n") <= max(3, MAX_SHARE * n_docs)))
@@ -126,7 +128,7 @@ def subjects(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", ro
     edges = keep(terms_of(lines, vocabulary), "terms")
     seeds = labels.filter("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
     seeds = keep(seeds.withColumn("weight", F.lit(1.0)), "seeds")
-    scores, strong = seeds, None
+    scores, reached, strong = seeds, seeds, None
     for turn in range(rounds + 1):
         strong = keep(_word_scores(edges, scores), f"word-scores-{turn}")
         if turn == rounds:
@@ -137,7 +139,8 @@ def subjects(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", ro
         share = best.select("doc_id", F.explode("by").alias("x"), "all").select("doc_id", "x.subject", (F.col("x.s") / F.col("all")).alias("weight"))
         marked = share.join(seeds.select("doc_id", "subject", F.lit(1.0).alias("seed")), ["doc_id", "subject"], "left")
         # a seed stays clamped while its document's words give its subject a tenth at least
-        scores = keep(marked.select("doc_id", "subject", F.when(F.col("seed").isNotNull() & (F.col("weight") >= 0.1), 1.0).otherwise(F.col("weight")).alias("weight")).filter(F.col("weight") >= LEAST), f"scores-{turn}")
+        reached = keep(marked.select("doc_id", "subject", F.when(F.col("seed").isNotNull() & (F.col("weight") >= 0.1), 1.0).otherwise(F.col("weight")).alias("weight")), f"scores-{turn}")
+        scores = reached.filter(F.col("weight") >= LEAST)
     table = strong.collect()  # at most (words considered) x 3 rows
     names = sorted({r["subject"] for r in table})
     code = {s: i for i, s in enumerate(names)}
@@ -165,4 +168,4 @@ def subjects(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", ro
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "subject": [names[i] for i in s], "share": share[d, s]})
 
     cues = lines.mapInPandas(judge, "doc_id bigint, subject string, share double")
-    return cues.join(scores.filter(F.col("weight") >= LEAST).select("doc_id", "subject").distinct(), ["doc_id", "subject"], "left_semi")
+    return cues.join(reached.filter(F.col("weight") >= REACHED).select("doc_id", "subject").distinct(), ["doc_id", "subject"], "left_semi")
