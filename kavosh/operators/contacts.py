@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kavosh.functions.dicts import TECHNOLOGY_ORDER
 from kavosh.functions.phones import classify_phone, normalize_iranian
 from kavosh.functions.text import stripped
+from kavosh.operators.links import crawl_figures, with_totals
 
 
 def split_list(text: Column, by: str = ",") -> Column:
@@ -106,17 +107,39 @@ def sites(df: DataFrame) -> DataFrame:
 
 
 def panel_sites(df: DataFrame) -> DataFrame:
-    """One row per site for lists: last non-empty city and category, latest time, first page, counts of mobiles and landlines."""
+    """One row per site for lists: values of all rows in order, mobiles and landlines apart, last non-empty city and category, latest time, first page.
+
+    Rows count in order of crawled_at, then id; blank domains are no site.
+    """
     at = F.struct("crawled_at", "id")
     filled = lambda c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", F.col(c))
-    rows = df.withColumn("site", F.lower(F.trim("domain"))).filter("site is not null")
+    rows = df.withColumn("site", F.lower(F.trim("domain"))).filter("site <> ''")
     single = rows.groupBy("site").agg(
         F.max_by(filled("city"), F.when(filled("city").isNotNull(), at)).alias("city"), F.max_by(filled("category"), F.when(filled("category").isNotNull(), at)).alias("category"),
         F.max("crawled_at").alias("crawled_at"), F.min_by(filled("source_url"), F.when(filled("source_url").isNotNull(), at)).alias("source_url"), F.count("*").alias("n_rows"),
     )
-    numbers = rows.select("site", F.explode(F.split(F.coalesce("phones", F.lit("")), "[,;|\\n\\t،؛]")).alias("p")).withColumn("p", normalize_iranian(F.col("p"))).withColumn("kind", classify_phone(F.col("p")))
-    kinds = numbers.filter("kind <> ''").groupBy("site").agg(F.count_distinct(F.when(F.col("kind") == "mobile", F.col("p"))).alias("n_mobiles"), F.count_distinct(F.when(F.col("kind") == "landline", F.col("p"))).alias("n_landlines"))
-    return single.join(kinds, "site", "left").na.fill(0, ["n_mobiles", "n_landlines"])
+    out = single
+    for column, by in (("phones", ","), ("emails", ","), ("technologies", ";")):
+        out = out.join(merged_values(rows, "site", column, by, column, (F.col("crawled_at"), F.col("id"))), "site", "left").withColumn(column, F.coalesce(column, F.lit("")))
+    of = lambda kind: F.array_join(F.filter(split_list(F.col("phones")), lambda p: classify_phone(p) == kind), ",")
+    return out.withColumns({"mobiles": of("mobile"), "landlines": of("landline")})
+
+
+def panel_page(df: DataFrame, q: str = "", tech: str = "", city: str = "", page: int = 1, per_page: int = 50) -> DataFrame:
+    """One page of the sites that rows found by ``search`` make, latest first, with their total and the number of pages."""
+    return with_totals(panel_sites(search(df, q, tech, city)), page, per_page, F.col("crawled_at").desc_nulls_last(), F.col("site"))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """Columns as lists show them: times to the minute, lists with spaces, - for what is blank."""
+    dash = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("-"))
+    cells = {c: dash(F.substring(F.col(c), 1, 16)) for c in ("crawled_at", "first_seen") if c in df.columns}
+    return df.withColumns(cells | {c: dash(F.regexp_replace(c, r"\s*,\s*", ", ")) for c in ("phones", "emails", "mobiles", "landlines") if c in df.columns})
+
+
+def stats(df: DataFrame, edges: DataFrame, urls: DataFrame) -> DataFrame:
+    """One row of all figures: sites and what they have, links, URLs."""
+    return panel_figures(df).crossJoin(crawl_figures(edges, urls))  # one row each
 
 
 def panel_figures(df: DataFrame) -> DataFrame:

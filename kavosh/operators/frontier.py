@@ -157,6 +157,12 @@ def reconcile_layered(state: DataFrame, active: DataFrame, states: DataFrame, at
     return out.withColumn("status", F.when(lost, F.when(F.col("is_crawled"), "crawled").otherwise("pending")).otherwise(F.col("status"))).select(*state.columns)
 
 
+def idle_step(state: DataFrame, edges: DataFrame, states: DataFrame, active: DataFrame, limit: int = 20, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a layered crawl does when nothing is left to do: lost URLs found again, finished layers gone on from, and the next batch of each seed."""
+    went_on = advance_layered(reconcile_layered(state, active, states, at), edges, states, at)
+    return went_on, next_layered_batch(went_on, limit)
+
+
 # --- the reduced profile's queue(id, url, domain, depth, status) ---------------------------------
 
 
@@ -177,3 +183,8 @@ def lite_step(queue: DataFrame, results: DataFrame, links: DataFrame, max_depth:
     ids = F.col("top") + 1 + F.monotonically_increasing_id()
     fresh = new.crossJoin(F.broadcast(top)).select(ids.alias("id"), "url", "domain", "depth", F.lit("pending").alias("status"))
     return marked.select("id", "url", "domain", "depth", "status").unionByName(fresh)
+
+
+def left_over(queue: DataFrame) -> DataFrame:
+    """How many jobs of the queue are pending, in one row."""
+    return queue.agg(F.count_if(F.col("status") == "pending").alias("left"))

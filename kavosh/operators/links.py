@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kavosh.functions.dicts import RESOURCE_TYPES, SKIP_EXTENSIONS
 from kavosh.functions.jsonld import jsonld_blocks, jsonld_links
 from kavosh.functions.text import attributes, decoded, value_of
-from kavosh.functions.urls import canonical, crawlable, is_allowed, joined, site_key
+from kavosh.functions.urls import canonical, crawlable, is_allowed, joined, site_key, url_priority
 from kavosh.sources.tables import spread
 
 # Elements that link, in the order in which they name a target's type; whether their targets may be crawled.
@@ -73,6 +73,22 @@ def followed(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("crawlable") & ~F.col("link_type").isin(*RESOURCE_TYPES))
 
 
+def scheduled(edges: DataFrame, seeds: tuple[str, ...] = (), tlds: tuple[str, ...] = (".ir",)) -> DataFrame:
+    """(source_url, target_url, priority) of the edges a page's crawl goes on with: no resources, hosts and paths that may be crawled, the best pages first."""
+    target = F.col("target_url")
+    rows = edges.filter(~F.col("link_type").isin(*RESOURCE_TYPES) & crawlable(target, seeds, tlds))
+    return rows.select("source_url", "target_url", url_priority(target).alias("priority")).distinct()
+
+
+# How early requests come, by what asks for them; links of pages have priorities of their own.
+REQUEST_PRIORITIES = {"seed": 50, "aux": 40, "robots_sitemap": 35, "nested_sitemap": 30, "sitemap": 15, "next_batch": 10}
+
+
+def request_priority(kind: Column, url: Column) -> Column:
+    """The priority of a request: by its kind, or by its URL where it comes from a page."""
+    return F.coalesce(*[F.when(kind == k, p) for k, p in REQUEST_PRIORITIES.items()], url_priority(url))
+
+
 def fold_links(edges: DataFrame, order: tuple[str, ...] = ("first_seen", "id")) -> DataFrame:
     """One row per (source_url, target_url): flags by maximum, link types in order of arrival, the rest from the first row.
 

@@ -510,20 +510,32 @@ def _kind(x: str) -> str:
     return f"CASE WHEN regexp_full_match({k}, '{MOBILE}') THEN 'mobile' WHEN regexp_full_match({k}, '{_LANDLINE}') THEN 'landline' ELSE '' END"
 
 
-@query(f"""
-WITH r AS (SELECT *, lower(trim(domain)) AS site FROM contacts WHERE domain IS NOT NULL),
-p AS (SELECT site, trim(unnest(regexp_split_to_array(coalesce(phones, ''), '[,;|\\n\\t،؛]'))) AS raw FROM r),
-f AS (SELECT site, raw, {_NATIONAL} AS n FROM p), g AS (SELECT site, CASE WHEN regexp_full_match(n, '9[0-9]{{9}}') THEN '0' || n WHEN regexp_full_match(n, '0[0-9]{{10}}') THEN n ELSE raw END AS phone, {_kind("n")} AS kind FROM f),
-k AS (SELECT site, count(DISTINCT phone) FILTER (WHERE kind = 'mobile') AS n_mobiles, count(DISTINCT phone) FILTER (WHERE kind = 'landline') AS n_landlines FROM g WHERE kind <> '' GROUP BY 1),
-c AS (SELECT site, city FROM r WHERE trim(coalesce(city, '')) <> '' QUALIFY row_number() OVER (PARTITION BY site ORDER BY crawled_at DESC NULLS LAST, id DESC) = 1),
-y AS (SELECT site, category FROM r WHERE trim(coalesce(category, '')) <> '' QUALIFY row_number() OVER (PARTITION BY site ORDER BY crawled_at DESC NULLS LAST, id DESC) = 1),
-u AS (SELECT site, source_url FROM r WHERE trim(coalesce(source_url, '')) <> '' QUALIFY row_number() OVER (PARTITION BY site ORDER BY crawled_at ASC NULLS FIRST, id) = 1),
-s AS (SELECT site, max(crawled_at) AS crawled_at, count(*) AS n_rows FROM r GROUP BY 1)
-SELECT s.*, c.city, y.category, u.source_url, coalesce(n_mobiles, 0) AS n_mobiles, coalesce(n_landlines, 0) AS n_landlines FROM s LEFT JOIN c USING (site) LEFT JOIN y USING (site) LEFT JOIN u USING (site) LEFT JOIN k USING (site)""")
+def _panel_sql(where: str = "true") -> str:
+    def merged(column: str, by: str, joiner: str) -> str:
+        split = f"string_split(coalesce({column}, ''), {by})"
+        return f"(SELECT site, list(v ORDER BY place) AS l, string_agg(v, {joiner} ORDER BY place) AS {column} FROM (SELECT site, v, min(place) AS place FROM (SELECT site, {_blanked('v')} AS v, o * 100000 + i AS place FROM (SELECT site, o, unnest({split}) AS v, generate_subscripts({split}, 1) AS i FROM r)) WHERE v <> '' GROUP BY site, v) GROUP BY site)"
+
+    kind = lambda k: f"coalesce(array_to_string(list_filter(phones.l, lambda x: ({_kind(_NATIONAL.replace('raw', 'x'))}) = '{k}'), ','), '')"
+    one = lambda x, order: f"(SELECT site, {x} FROM r WHERE trim(coalesce({x}, '')) <> '' QUALIFY row_number() OVER (PARTITION BY site ORDER BY {order}) = 1)"
+    return f"""
+r AS (SELECT *, lower(trim(domain)) AS site, row_number() OVER (PARTITION BY lower(trim(domain)) ORDER BY crawled_at NULLS FIRST, id) AS o FROM contacts WHERE lower(trim(domain)) <> '' AND {where}),
+panel AS (SELECT s.*, city.city, category.category, u.source_url, coalesce(phones.phones, '') AS phones, coalesce(emails.emails, '') AS emails, coalesce(technologies.technologies, '') AS technologies, {kind("mobile")} AS mobiles, {kind("landline")} AS landlines
+ FROM (SELECT site, max(crawled_at) AS crawled_at, count(*) AS n_rows FROM r GROUP BY 1) s LEFT JOIN {one("city", "o DESC")} city USING (site) LEFT JOIN {one("category", "o DESC")} category USING (site) LEFT JOIN {one("source_url", "o")} u USING (site)
+ LEFT JOIN {merged("phones", "','", "','")} phones USING (site) LEFT JOIN {merged("emails", "','", "','")} emails USING (site) LEFT JOIN {merged("technologies", "';'", "'; '")} technologies USING (site))"""
+
+
+
+@query(f"WITH {_panel_sql()} SELECT * FROM panel")
 def site_panel(spark: SparkSession, d: str) -> DataFrame:
     return contacts.panel_sites(load(spark, d, "contacts"))
 
 
+@query(f"WITH {_panel_sql("technologies ILIKE '%wordpress%'")} SELECT *, (SELECT count(*) FROM panel) AS total, (SELECT greatest(1, ceil(count(*) / 20))::INT FROM panel) AS total_pages FROM panel ORDER BY crawled_at DESC NULLS LAST, site LIMIT 20 OFFSET 20")
+def contacts_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of the sites found by a search, 20 a page."""
+    return contacts.panel_page(load(spark, d, "contacts"), tech="wordpress", page=2, per_page=20)
+
+
 @query("""
 WITH r AS (SELECT *, lower(trim(domain)) AS site FROM contacts WHERE lower(trim(domain)) <> ''),
 b AS (SELECT site, bool_or(trim(coalesce(phones, '')) <> '') AS p, bool_or(trim(coalesce(emails, '')) <> '') AS e, bool_or(contains(coalesce(technologies, ''), 'WordPress')) AS w, bool_or(contains(coalesce(technologies, ''), 'WooCommerce')) AS o FROM r GROUP BY 1)
@@ -533,6 +545,12 @@ def panel_figures(spark: SparkSession, d: str) -> DataFrame:
     return contacts.panel_figures(load(spark, d, "contacts"))
 
 
+@query(ORACLE["panel_figures"].strip().replace("\nSELECT * FROM", ", c AS (" + ORACLE["crawl_figures"].strip() + ")\nSELECT * FROM c,", 1))
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    """All figures of the panel in one row."""
+    return contacts.stats(load(spark, d, "contacts"), load(spark, d, "discovered_links"), load(spark, d, "crawl_urls"))
+
+
 @query("""
 WITH j AS (SELECT c.domain, c.row_id AS id, e.key AS name, e.value AS v, e.type AS t FROM (SELECT domain, id AS row_id, socials FROM contacts WHERE json_valid(socials) AND json_type(socials) = 'OBJECT') c, json_each(c.socials) e),
 k AS (SELECT domain, id, name, CASE WHEN t = 'VARCHAR' THEN v ->> '$' ELSE v::VARCHAR END AS value FROM j)

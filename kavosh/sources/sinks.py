@@ -1,21 +1,72 @@
-"""Where results go: Parquet tables that keep their keys, and CSV files for people."""
+"""Where results go: Parquet tables that keep their keys, tables replaced version by version, and CSV files for people."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kavosh.operators.contacts import insert_ignore
+from kavosh.operators import contacts, links
+from kavosh.sources.tables import read_note, write_note
+
+#: Buckets of a table that rows are appended to; a batch looks for its keys only in the buckets they fall into.
+BUCKETS = 64
+_BUCKET, _CURRENT = "_bucket", "_current"
+
+
+def _exists(spark: SparkSession, target: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def append_new(target: str, batch: DataFrame, keys: tuple[str, ...] = ("source_url", "phones"), order: str = "id") -> DataFrame:
-    """Append the rows of a batch whose key the table at ``target`` doesn't hold; the first of a key wins."""
+    """Append the rows of a batch whose key the table at ``target`` doesn't hold; the first of a key wins.
+
+    The table lies in buckets of the key's hash; of what is there only the keys of the batch's own buckets are read.
+    """
     spark = batch.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    have = spark.read.parquet(target) if there else batch.limit(0)
-    insert_ignore(have, batch, keys, order).write.mode("append").parquet(target)
-    return spark.read.parquet(target)
+    bucket = F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), F.lit(BUCKETS)).cast("int")
+    fresh = batch.withColumn(_BUCKET, bucket)
+    if _exists(spark, target):
+        touched = [r[0] for r in fresh.select(_BUCKET).distinct().collect()]  # at most one number a bucket
+        have = spark.read.parquet(target).filter(F.col(_BUCKET).isin(touched))
+    else:
+        have = fresh.limit(0)
+    contacts.insert_ignore(have, fresh, keys, order).write.mode("append").partitionBy(_BUCKET).parquet(target)
+    return spark.read.parquet(target).drop(_BUCKET)
+
+
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The valid version of a table that is replaced as a whole; None before the first."""
+    version = read_note(spark, f"{target}/{_CURRENT}")
+    return spark.read.parquet(f"{target}/{version}") if version else None
+
+
+def replace(target: str, df: DataFrame) -> DataFrame:
+    """Write a new version beside the old one and make it the valid one: readers see either, a failed job changes nothing."""
+    spark, version = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{target}/{version}")
+    write_note(spark, f"{target}/{_CURRENT}", version)
+    return spark.read.parquet(f"{target}/{version}")
+
+
+def upsert(target: str, batch: DataFrame, first: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Fold a batch into the table at ``target``; ``first`` folds the batch of an empty table."""
+    stored = current(batch.sparkSession, target)
+    return replace(target, first(batch) if stored is None else merged(stored, batch))
+
+
+def upsert_links(target: str, batch: DataFrame) -> DataFrame:
+    """Fold edges (with first_seen and id) into a stored edge table; edges without a type are anchors."""
+    typed = batch.withColumn("link_type", F.coalesce("link_type", F.lit("anchor")) if "link_type" in batch.columns else F.lit("anchor"))
+    return upsert(target, typed, links.fold_links, links.merged_links)
+
+
+def upsert_technologies(target: str, batch: DataFrame) -> DataFrame:
+    """Fold technology evidence into a stored table."""
+    return upsert(target, batch, contacts.technology_evidence, contacts.merged_technologies)
 
 
 def write_csv(df: DataFrame, folder: str, one_file: bool = False) -> None:
@@ -26,3 +77,24 @@ def write_csv(df: DataFrame, folder: str, one_file: bool = False) -> None:
     cells = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     cells = cells.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
     (cells.coalesce(1) if one_file else cells).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(folder)
+
+
+def export_links(edges: DataFrame, urls: DataFrame, folder: str, crawlable_only: bool | None = False) -> int:
+    """The external links of one crawlability (the denied ones unless told otherwise) with their states as CSV, latest first; how many there are."""
+    rows = links.link_list(edges, urls, crawlable_only=crawlable_only).orderBy(F.col("first_seen").desc())
+    write_csv(rows, folder)
+    return rows.count()
+
+
+def export_contacts(rows: DataFrame, folder: str) -> DataFrame:
+    """One line a site, one value a cell, as CSV; numbers stay texts, so no leading zero is lost."""
+    wide = contacts.wide(contacts.sites(rows))
+    write_csv(wide, folder)
+    return wide
+
+
+def newest(spark: SparkSession, folder: str, ending: str = "") -> str | None:
+    """The path in a folder that was changed last; None in an empty one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [(s.getModificationTime(), s.getPath().toString()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return max((f for f in found if f[1].endswith(ending)), default=(0, None))[1]

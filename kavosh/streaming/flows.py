@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kavosh.sources.sinks import append_new
@@ -42,3 +43,49 @@ def first_seen(stream: DataFrame, key: str, order: str) -> DataFrame:
 
     narrow = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias(order)).filter("key is not null")
     return narrow.groupBy("key").applyInPandasWithState(step, "key string, first bigint, n bigint", "first bigint, n bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+_STATE = "domain string, status string, source_url string, first_seen string, crawled_at string, failure_reason string, cycle bigint, reserved boolean"
+_OUT = "url string, domain string, status string, source_url string, first_seen string, crawled_at string, failure_reason string, cycle bigint"
+
+
+class UrlState(StatefulProcessor):
+    """The state of one URL under a stream of operations (see ``operators.frontier``).
+
+    A new cycle reaches no single URL, so operations carry the number of the cycle they belong to: what failed in an earlier one may be
+    tried again. State never expires.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("url", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _STATE.split(", ")]
+        now = dict(zip(names, self.state.get())) if self.state.exists() else None
+        for r in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
+            r = {k: None if pd.isna(v) else v for k, v in r.items()}
+            if now and now["status"] == "failed" and r["cycle"] > now["cycle"]:
+                now["status"] = "retry_pending"
+            if r["op"] == "reserve_seed" or (r["op"] == "reserve" and now is None):
+                now = {"domain": r["domain"], "status": "queued", "source_url": r["source_url"], "first_seen": r["at"], "crawled_at": None, "failure_reason": now["failure_reason"] if now else None, "reserved": True}
+            elif now and r["op"] == "crawled":
+                now |= {"status": "crawled", "crawled_at": r["at"], "failure_reason": None}
+            elif now and r["op"] == "failed":
+                now |= {"status": "failed", "failure_reason": (r["reason"] or "").strip() or None}
+            if now:
+                now["cycle"] = int(r["cycle"])
+        if now:
+            self.state.update(tuple(now[n] for n in names))
+            yield pd.DataFrame([{"url": key[0], **{n: now[n] for n in names if n != "reserved"}}], columns=[c.split()[0] for c in _OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def url_states(ops: DataFrame) -> DataFrame:
+    """The state of each URL of a stream of operations(seq, cycle, op, url, domain, source_url, reason, at), whenever it changes.
+
+    Needs a state store that holds several variables: spark.sql.streaming.stateStore.providerClass of RocksDB.
+    """
+    narrow = ops.select(F.col("seq").cast("bigint"), F.col("cycle").cast("bigint"), *[F.col(c).cast("string") for c in ("op", "url", "domain", "source_url", "reason", "at")]).filter("url is not null")
+    return narrow.groupBy("url").transformWithStateInPandas(UrlState(), T.StructType.fromDDL(_OUT), "Update", "None")

@@ -187,12 +187,18 @@ def test_insert_ignore_and_stream(spark, tmp_path):
 
 def test_feeds_and_sinks(spark, tmp_path):
     (tmp_path / "seeds.txt").write_text("# c\n\nwww.A.ir\nhttps://b.com/x/\na.ir\nhttps://www.a.ir\n", "utf-8")
+    assert [r["url"] for r in feeds.seeds(spark, str(tmp_path / "seeds.txt")).orderBy("place").collect()] == ["https://www.a.ir/", "https://b.com/x", "https://a.ir/"]
+    assert feeds.has_seeds(str(tmp_path / "seeds.txt")) and not feeds.has_seeds(str(tmp_path / "none.txt"))
+    queue = feeds.enqueued(spark.createDataFrame([("https://a.ir",)], "url string"), spark.createDataFrame([("a.ir",), (" www.d.ir/x ",), ("# c",), ("",), ("b.com",), ("HTTP://e.ir",)], "line string"))
+    assert {tuple(r) for r in queue.collect()} == {("https://www.d.ir/x", "d.ir", 0, "pending"), ("HTTP://e.ir", "e.ir", 0, "pending")}
+    feeds.note(str(tmp_path / "kv.json"), "running", "0"), feeds.note(str(tmp_path / "kv.json"), "running", "1")
+    assert feeds.noted(str(tmp_path / "kv.json"), "running") == "1" and feeds.noted(str(tmp_path / "kv.json"), "x", "d") == "d"
     got = {r["url"] for r in feeds.seeds(spark, str(tmp_path / "seeds.txt")).collect()}
     assert got == {"https://www.a.ir/", "https://b.com/x", "https://a.ir/"} and feeds.seeds(spark, str(tmp_path / "seeds.txt"), (".ir",)).count() == 2
     bodies = spark.createDataFrame([("u", "User-agent: *\nSitemap: https://a.ir/s.xml \n sitemap:https://a.ir/t"), ("v", None)], "url string, body string")
-    assert {r["sitemap"] for r in feeds.robots_sitemaps(bodies).collect()} == {"https://a.ir/s.xml", "https://a.ir/t"}
-    maps = spark.createDataFrame([("u", "<urlset><loc> https://a.ir/p </loc><LOC><![CDATA[https://a.ir/s2.xml.gz]]></LOC><loc></loc>")], "url string, body string")
-    assert {(r["location"], r["nested"]) for r in feeds.sitemap_locations(maps).collect()} == {("https://a.ir/p", False), ("https://a.ir/s2.xml.gz", True)}
+    assert {(r["target_url"], r["link_type"], r["crawlable"], r["external"]) for r in feeds.robots_sitemaps(bodies).collect()} == {("https://a.ir/s.xml", "robots_sitemap", True, True), ("https://a.ir/t", "robots_sitemap", True, True)}
+    maps = spark.createDataFrame([("u", "<urlset><loc> https://a.ir/p </loc><LOC><![CDATA[https://a.ir/s2.xml.gz]]></LOC><loc></loc><loc>https://b.com/q/</loc><loc>ftp://c.ir/</loc>")], "url string, body string")
+    assert {(r["target_url"], r["nested"], r["crawlable"]) for r in feeds.sitemap_locations(maps).collect()} == {("https://a.ir/p", False, True), ("https://a.ir/s2.xml.gz", True, True), ("https://b.com/q", False, False)}
     (tmp_path / "c.json").write_text('{"cycle_delay": 5, "z": 1}')
     assert feeds.settings(str(tmp_path / "c.json")) == feeds.DEFAULTS | {"cycle_delay": 5, "z": 1} and feeds.settings("/nowhere") == feeds.DEFAULTS
     assert json.loads((tmp_path / "c.json").read_text())["z"] == 1 and feeds.save_settings(str(tmp_path / "c.json"), {"z": 2})["z"] == 2
@@ -361,3 +367,83 @@ def test_stored_edges_and_evidence(spark):
     assert {r["target_url"] for r in links.next_batch(edges, urls).collect()} == {"u", "x"}
     shown = links.with_totals(edges, 2, 4, F.col("target_url")).collect()
     assert [(r["target_url"], r["total"], r["total_pages"]) for r in shown] == [("x", 6, 2), ("z", 6, 2)] and [links.crawlable_flag(x) for x in (None, "", "all", "allowed", "denied")] == [None, None, None, True, False]
+
+
+def test_tables_replaced_by_version(spark, tmp_path):
+    schema = "id int, source_url string, target_url string, target_domain string, external boolean, crawlable boolean, link_type string, first_seen string"
+    target = f"file://{tmp_path}/edges"
+    sinks.upsert_links(target, spark.createDataFrame([(1, "s", "t", "d", True, False, "script", "1"), (2, "s", "u", "d", True, True, None, "2")], schema))
+    sinks.upsert_links(target, spark.createDataFrame([(3, "s", "t", "d", True, True, "anchor", "0"), (4, "s", "u", "d", True, True, "anchor", "0")], schema))
+    edges = sinks.current(spark, target)
+    assert {(r["target_url"], r["link_type"], r["crawlable"], r["first_seen"]) for r in edges.collect()} == {("t", "script,anchor", True, "1"), ("u", "anchor", True, "2")}
+    assert sinks.current(spark, f"file://{tmp_path}/none") is None
+    evidence = "domain string, technology string, confidence double, evidence_count int, source_url string, first_seen string, last_seen string"
+    for c in (0.5, 0.7):
+        out = sinks.upsert_technologies(f"file://{tmp_path}/tech", spark.createDataFrame([("x", "T", c, 1, "u", "1", "2")], evidence))
+    assert [(r["confidence"], r["evidence_count"]) for r in out.collect()] == [(0.7, 2)]
+    urls = spark.createDataFrame([(1, "t", "failed", "robots.txt", "1")], "url_id int, url string, status string, failure_reason string, first_seen string")
+    assert sinks.export_links(edges.withColumn("crawlable", F.lit(False)), urls, f"{tmp_path}/csv") == 2
+    lines = [x for f in (tmp_path / "csv").glob("part*") for x in f.read_text("utf-8").splitlines() if x]
+    assert lines[0].lstrip("\ufeff") == ",".join(links.LINK_COLUMNS) and any(x.startswith("s,t,d,true,false,") for x in lines)
+    assert sinks.newest(spark, f"file://{tmp_path}", "csv").endswith("csv")
+
+
+def fetched(url):
+    if "bad" in url:
+        raise TimeoutError("too slow")
+    return {"status": 200, "html": f"<a href='{url}x'>x</a>", "headers": {"Server": ["a", "b"]}, "url": url + "end", "redirect_urls": [url + "mid"]}
+
+
+def test_pages_as_a_data_source(spark):
+    from kavosh.sources import pages
+
+    pages.register(spark)
+    rows = spark.read.format("kavosh_pages").options(urls=json.dumps(["https://a.ir/", "https://bad.ir/"]), fetcher="test_operators:fetched", partitionSize="1").load()
+    got = {r["request_url"]: r for r in rows.collect()}
+    assert got["https://a.ir/"]["headers"] == {"Server": "a"} and got["https://bad.ir/"]["error"] == "TimeoutError" and got["https://bad.ir/"]["html"] is None
+    edges = {(r["source_url"], r["target_url"], r["link_type"]) for r in links.page_links(rows).collect()}
+    assert edges == {("https://a.ir/end", "https://a.ir/x", "anchor"), ("https://a.ir/", "https://a.ir/mid", "redirect"), ("https://a.ir/mid", "https://a.ir/end", "redirect")}
+    failed = frontier.failure_ops(rows.filter("error is not null").select(F.lit(1).alias("seq"), F.col("request_url").alias("url"), "error", "message", F.lit("t").alias("at")))
+    assert failed.first()["reason"] == "TimeoutError"
+
+
+def test_url_states_of_a_stream(spark, tmp_path):
+    schema = "seq bigint, cycle bigint, op string, url string, domain string, source_url string, reason string, at string"
+    log = [(1, 0, "reserve", "a", "d", "s", None, "t1"), (2, 0, "failed", "a", None, None, " robots.txt ", "t2"), (3, 0, "crawled", "b", None, None, None, "t3"), (4, 1, "reserve_seed", "b", "d", None, None, "t4"), (5, 1, "reserve", "a", "d", "z", None, "t5"), (6, 1, "crawled", "a", None, None, None, "t6")]
+    folder = str(tmp_path / "ops")
+    for part in (log[:3], log[3:5], log[5:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken in order of their times
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = flows.url_states(flows.files(spark, folder, spark.createDataFrame([], schema))).writeStream.outputMode("update").format("memory").queryName("url_states").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(provider)
+    seen = [(r["url"], r["status"], r["crawled_at"], r["failure_reason"]) for r in spark.table("url_states").collect()]
+    assert set(seen) == {("a", "failed", None, "robots.txt"), ("b", "queued", None, None), ("a", "retry_pending", None, "robots.txt"), ("a", "crawled", "t6", None)}
+
+
+def test_sql_functions(spark):
+    from kavosh.functions import phones, sql, urls
+
+    assert "kavosh_phone" in sql.register(spark)
+    raw = ["+98 912 345 6789", "۰۲۱۱۲۳۴۵۶۷۸", "12", None, "9123456789"]
+    df = spark.createDataFrame([(x, f"https://www.X.ir:80/{x}") for x in raw], "x string, u string")
+    got = df.select(F.expr("kavosh_phone(x)"), F.expr("kavosh_phone_kind(x)"), F.expr("kavosh_site_key(u)"), phones.normalize_iranian(F.col("x")), phones.classify_phone(F.col("x")), urls.site_key(F.col("u"))).collect()
+    assert all(tuple(r)[:3] == tuple(r)[3:] for r in got)
+
+
+def test_panel(spark):
+    rows = [(1, "X.ir", "u1", "09121111111, 02112345678", "a@x.ir", "Acme", "c1", "q1", "WordPress", "2024-01-02T10:11:12"), (2, "x.ir ", "u2", "09351112233,09121111111", None, None, "c2", " ", "jQuery; WordPress", "2024-01-03T00:00:00"), (3, None, "u", "1", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, domain string, source_url string, phones string, emails string, business_name string, category string, city string, technologies string, crawled_at string")
+    r = contacts.panel_sites(df).first()
+    assert (r["site"], r["mobiles"], r["landlines"], r["technologies"], r["city"], r["category"], r["source_url"]) == ("x.ir", "09121111111,09351112233", "02112345678", "WordPress; jQuery", "q1", "c2", "u1")
+    page = contacts.panel_page(df, tech="wordp", page=1).first()
+    assert (page["total"], page["total_pages"]) == (1, 1) and contacts.panel_page(df, q="nothing").count() == 0
+    shown = contacts.shown(contacts.panel_sites(df)).first()
+    assert shown["crawled_at"] == "2024-01-03T00:00" and shown["phones"] == "09121111111, 02112345678, 09351112233"
+    e = spark.createDataFrame([("s", "https://x.ir/contact", "anchor"), ("s", "https://x.ir/a.js", "script"), ("s", "https://x.com/", "anchor"), ("s", "https://t.me/a", "anchor")], "source_url string, target_url string, link_type string")
+    assert [tuple(r) for r in links.scheduled(e).collect()] == [("s", "https://x.ir/contact", 30)]
+    assert [r[0] for r in spark.createDataFrame([("seed", "u"), ("page", "https://x.ir/about")], "k string, u string").select(links.request_priority(F.col("k"), F.col("u"))).collect()] == [50, 28]
