@@ -31,6 +31,8 @@ from kavosh.sources.tables import spread
 Q = 16
 BAND = 32
 EDITS = 2
+#: Words by which an alignment may drift from its band: words are put in or left out, and short ones move it further.
+SLACK = 10
 #: Documents whose texts make up one batch string.
 BATCH_CHARS = 4_000_000
 
@@ -104,7 +106,7 @@ def near(a: str, b: str) -> bool:
     return max(m, n) - i - j <= bound
 
 
-def plausible(doc: list[str], passage: list[str], offset: int, run: int, slack: int = 6) -> bool:
+def plausible(doc: list[str], passage: list[str], offset: int, run: int, slack: int = SLACK) -> bool:
     """Whether enough of the passage's words stand near their places for a run of ``run`` words.
 
     Misread words are rarer than two in five, so three fifths must stand there as written.
@@ -120,7 +122,7 @@ def plausible(doc: list[str], passage: list[str], offset: int, run: int, slack:
     return bool((total[span:] - total[:-span]).max() >= 0.6 * run)
 
 
-def longest_run(doc: list[str], passage: list[str], offset: int, slack: int = 6) -> int:
+def longest_run(doc: list[str], passage: list[str], offset: int, slack: int = SLACK) -> int:
     """Words of the longest run of the passage in ``doc``, aligned within ``slack`` of ``offset``.
 
     A run may step over one odd word on either side (a mark that wasn't recognised) but such
