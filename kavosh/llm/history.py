@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kavosh.functions.phones import number_set
+from kavosh.functions.text import bound
 from kavosh.functions.urls import page
 from kavosh.sources.tables import fanout, load, read_note, remove, shared_folder, write_note
 
@@ -43,7 +44,7 @@ RANGE_ENTRIES, WINDOW, LEAST = 1_000_000, 4, 0.8
 MANIFEST = "manifest.json"
 #: A batch is looked up where the runs are read if its places take less than this; else all touched ranges are merged.
 LOOKUP_BYTES = 16 << 20
-_ENTRY = "place string, first_id bigint, opens boolean, n bigint, new boolean, near_id bigint, similarity double, side int, range int"
+_ENTRY = "place string, first_id bigint, opens boolean, n bigint, new boolean, nearest struct<similarity:double,id:bigint>, side int, range int"
 _SEP = "\u0001"
 
 
@@ -53,7 +54,8 @@ def places(space: Column, orders: Column) -> Column:
 
 
 def _words(place: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.substring_index(place, _SEP, -1), r"[/?&,\s]+"), lambda w: w != ""))
+    parted = F.translate(F.substring_index(place, _SEP, -1), "/?&,\t ", 6 * "\u0002")
+    return F.array_distinct(F.array_remove(F.split(parted, "\u0002"), ""))
 
 
 def _same_space(a: Column, b: Column) -> Column:
@@ -162,10 +164,8 @@ class AcceptedRuns:
         else:
             columns |= {"side": F.lit(0)}
         merged = merged.withColumns(columns).filter("new or side > 0")
-        nearest = self._nearest(F.col("beside")) if near else F.lit(None).cast("struct<similarity:double,near_id:bigint>")
-        out = merged.select(
-            "place", F.least("accepted", "first_id").alias("first_id"), (F.col("new") & F.col("accepted").isNull()).alias("opens"), "n", "new", nearest.alias("nearest"), "side", "range"
-        ).select("place", "first_id", "opens", "n", "new", "nearest.near_id", "nearest.similarity", "side", "range")
+        nearest = self._nearest(F.col("beside")) if near else F.lit(None).cast("struct<similarity:double,id:bigint>")
+        out = merged.select("place", F.least("accepted", "first_id").alias("first_id"), (F.col("new") & F.col("accepted").isNull()).alias("opens"), "n", "new", nearest.alias("nearest"), "side", "range")
         out.write.partitionBy("range").option("compression", "zstd").parquet(f"{self.path}/{run}")
         remove(spark, fresh_path)
         step = spark.read.option("basePath", self.path).schema(_ENTRY).parquet(f"{self.path}/{run}")
@@ -174,26 +174,29 @@ class AcceptedRuns:
         if len(self.runs) > self.compact_every:
             self.compact()
         self._say()
-        found = step.filter("new").select("place", "first_id", "n", "opens", "near_id", "similarity")
+        found = step.filter("new").select("place", "first_id", "n", "opens", (-F.col("nearest.id")).alias("near_id"), "nearest.similarity")
         return found.unionByName(self._across(step)) if near else found
 
     def _nearest(self, beside: Column) -> Column:
-        """(similarity, near_id) of the likest of some neighbours that came before; NULL without one of at least ``LEAST``."""
-        mine = _words(F.col("place"))
-        scored = F.transform(
-            F.filter(beside, lambda b: b.isNotNull() & (b["first_id"] < F.col("first_id")) & (b["place"] != F.col("place")) & _same_space(b["place"], F.col("place"))),
-            lambda b: F.struct((F.size(F.array_intersect(mine, _words(b["place"]))) / F.size(F.array_union(mine, _words(b["place"])))).alias("similarity"), (-b["first_id"]).alias("id")),
-        )
-        best = F.array_max(F.filter(scored, lambda s: s["similarity"] >= LEAST))
-        return F.when(best.isNotNull(), F.struct(best["similarity"].alias("similarity"), (-best["id"]).alias("near_id")))
+        """(similarity, id), the id negative, of the likest of some neighbours that came before; NULL without one of at least ``LEAST``."""
+        before = F.filter(beside, lambda b: b.isNotNull() & (b["first_id"] < F.col("first_id")) & (b["place"] != F.col("place")) & _same_space(b["place"], F.col("place")))
+
+        def likest(mine: Column) -> Column:
+            words = F.transform(before, lambda b: F.struct(_words(b["place"]).alias("w"), (-b["first_id"]).alias("id")))
+            common = F.transform(words, lambda b: F.struct(F.size(F.array_intersect(mine, b["w"])).alias("c"), F.size(b["w"]).alias("n"), b["id"].alias("id")))
+            scored = F.transform(common, lambda b: F.struct((b["c"] / (F.size(mine) + b["n"] - b["c"])).alias("similarity"), b["id"].alias("id")))
+            return F.array_max(F.filter(scored, lambda s: s["similarity"] >= LEAST))
+
+        return bound(_words(F.col("place")), likest)
 
     def _across(self, step: DataFrame) -> DataFrame:
         """The same for windows across the ends of ranges: at most ``window`` entries on either side of each end meet."""
         ends = F.concat(F.when(F.col("side").isin(1, 3), F.array("range")).otherwise(F.array().cast("array<int>")), F.when(F.col("side").isin(2, 3), F.array(F.col("range") + 1)).otherwise(F.array().cast("array<int>")))
         order = Window.partitionBy("end").orderBy("place", "new")
         beside = [f(F.struct("place", "first_id"), i).over(order) for i in range(1, self.window + 1) for f in (F.lag, F.lead)]
-        met = step.filter("side > 0").withColumn("end", F.explode(ends)).withColumn("beside", F.array(*beside)).filter("opens")
-        return met.withColumn("nearest", self._nearest(F.col("beside"))).select("place", "first_id", "n", "opens", "nearest.near_id", "nearest.similarity").filter("near_id is not null")
+        met = step.filter("side > 0").drop("nearest").withColumn("end", F.explode(ends)).withColumn("beside", F.array(*beside)).filter("opens")
+        found = met.select("place", "first_id", "n", "opens", self._nearest(F.col("beside")).alias("nearest"))
+        return found.select("place", "first_id", "n", "opens", (-F.col("nearest.id")).alias("near_id"), "nearest.similarity")
 
 
 def page_batches(spark: SparkSession, sf_dir: str, orders: int = 1) -> DataFrame:
