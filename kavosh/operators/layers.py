@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kavosh.sources.tables import keep
 
 
-def layers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(url, depth): everything within ``depth`` links of the seeds, at its least depth.
+def layers(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(url, depth): everything within ``depth`` links of the seeds, or everything they lead to, at its least depth.
 
     One join per layer over an edge table written once; a layer is anti-joined with what was
     reached before and stored, so the plan doesn't grow with the depth and cycles end it.
@@ -18,7 +20,7 @@ def layers(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     pairs = keep(edges.select("source_url", "target_url").filter("target_url is not null").distinct(), "edges")
     reached = keep(seeds.select("url").filter("url is not null").distinct().withColumn("depth", F.lit(0)), "layer-0")
     frontier = reached
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         found = pairs.join(frontier.select(F.col("url").alias("source_url")), "source_url", "left_semi").select(F.col("target_url").alias("url")).distinct()
         frontier = keep(found.join(reached, "url", "left_anti").withColumn("depth", F.lit(d)), f"layer-{d}")
         if frontier.isEmpty():

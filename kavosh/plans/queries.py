@@ -387,6 +387,16 @@ def layered_closure(spark: SparkSession, d: str) -> DataFrame:
     return layers.layers(e.filter("crawlable"), e.filter("source_url like 'https://fehrest-iran.example/%'").select(c("source_url").alias("url")), 3)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT source_url, target_url FROM discovered_links WHERE crawlable AND target_url IS NOT NULL),
+r(url, depth) AS (SELECT DISTINCT source_url, 0 FROM discovered_links WHERE source_url LIKE 'https://fehrest-iran.example/%' UNION SELECT e.target_url, r.depth + 1 FROM r JOIN e ON e.source_url = r.url WHERE r.depth < 40)
+SELECT url, min(depth)::INT AS depth FROM r GROUP BY url""")
+def link_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Everything a directory's pages lead to, however many links away (on the test tables less than 40)."""
+    e = load(spark, d, "discovered_links")
+    return layers.layers(e.filter("crawlable"), e.filter("source_url like 'https://fehrest-iran.example/%'").select(c("source_url").alias("url")))
+
+
 # Layer state of each URL under the host that led to it, from the state table alone.
 _LAYERS = "SELECT domain AS seed_url, url, (url_id % 4)::INT AS depth, CASE status WHEN 'queued' THEN 'queued' WHEN 'failed' THEN 'pending' ELSE status END AS status FROM crawl_urls WHERE domain IS NOT NULL AND url IS NOT NULL"
 

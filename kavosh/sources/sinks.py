@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from xml.sax.saxutils import escape
+from zipfile import ZIP_DEFLATED, ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +81,42 @@ def write_csv(df: DataFrame, folder: str, one_file: bool = False) -> None:
     (cells.coalesce(1) if one_file else cells).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(folder)
 
 
+#: Rows of a sheet at most, as spreadsheets have them.
+SHEET_ROWS = 1_048_576
+_NAMESPACE = "http://schemas.openxmlformats.org"
+
+
+def write_xlsx(df: DataFrame, path: str) -> int:
+    """One spreadsheet file on the driver, every cell a text, so no leading zero is lost; how many rows it has.
+
+    For exports of reading size: rows come partition by partition and are written as they come, so memory holds one partition;
+    beyond the rows of a sheet the next begins.
+    """
+    rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).toLocalIterator()
+    bare = str.maketrans({c: None for c in map(chr, range(32)) if c not in "\t\n\r"})
+    line = lambda values: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v.translate(bare))}</t></is></c>' for v in values) + "</row>"
+    n, sheets = 0, 0
+    with ZipFile(path, "w", ZIP_DEFLATED) as book:
+        row = next(rows, None)
+        while row is not None or not sheets:
+            sheets += 1
+            with book.open(f"xl/worksheets/sheet{sheets}.xml", "w", force_zip64=True) as out:
+                out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_NAMESPACE}/spreadsheetml/2006/main"><sheetData>{line(df.columns)}'.encode())
+                filled = 1
+                while row is not None and filled < SHEET_ROWS:
+                    out.write(line(row).encode())
+                    row, filled, n = next(rows, None), filled + 1, n + 1
+                out.write(b"</sheetData></worksheet>")
+        numbers = range(1, sheets + 1)
+        relation, part = f"{_NAMESPACE}/officeDocument/2006/relationships", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        book.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_NAMESPACE}/spreadsheetml/2006/main" xmlns:r="{relation}"><sheets>' + "".join(f'<sheet name="Sheet{i}" sheetId="{i}" r:id="rId{i}"/>' for i in numbers) + "</sheets></workbook>")
+        book.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{_NAMESPACE}/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{relation}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers) + "</Relationships>")
+        book.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{_NAMESPACE}/package/2006/relationships"><Relationship Id="rId1" Type="{relation}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        types = f'<Override PartName="/xl/workbook.xml" ContentType="{part}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{part}.worksheet+xml"/>' for i in numbers)
+        book.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{_NAMESPACE}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>')
+    return n
+
+
 def export_links(edges: DataFrame, urls: DataFrame, folder: str, crawlable_only: bool | None = False) -> int:
     """The external links of one crawlability (the denied ones unless told otherwise) with their states as CSV, latest first; how many there are."""
     rows = links.link_list(edges, urls, crawlable_only=crawlable_only).orderBy(F.col("first_seen").desc())

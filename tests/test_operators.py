@@ -447,3 +447,16 @@ def test_panel(spark):
     e = spark.createDataFrame([("s", "https://x.ir/contact", "anchor"), ("s", "https://x.ir/a.js", "script"), ("s", "https://x.com/", "anchor"), ("s", "https://t.me/a", "anchor")], "source_url string, target_url string, link_type string")
     assert [tuple(r) for r in links.scheduled(e).collect()] == [("s", "https://x.ir/contact", 30)]
     assert [r[0] for r in spark.createDataFrame([("seed", "u"), ("page", "https://x.ir/about")], "k string, u string").select(links.request_priority(F.col("k"), F.col("u"))).collect()] == [50, 28]
+
+
+def test_spreadsheet(spark, tmp_path, monkeypatch):
+    import xml.etree.ElementTree as tree
+    import zipfile
+
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 3)
+    df = spark.createDataFrame([("09121111111", "a<b>&c\x01"), ("021", None), ("x", "تهران")], "phone_1 string, title string").coalesce(1)
+    assert sinks.write_xlsx(df, str(tmp_path / "a.xlsx")) == 3 and sinks.write_xlsx(df.limit(0), str(tmp_path / "b.xlsx")) == 0
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as book:
+        sheets = [[["".join(c.itertext()) for c in row] for row in tree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml"))[0]] for i in (1, 2)]
+        assert all(tree.fromstring(book.read(n)) is not None for n in book.namelist())
+    assert sheets == [[["phone_1", "title"], ["09121111111", "a<b>&c"], ["021", ""]], [["phone_1", "title"], ["x", "تهران"]]]
