@@ -9,6 +9,7 @@ from kavosh.functions.dicts import TECHNOLOGY_ORDER
 from kavosh.functions.phones import classify_phone, normalize_iranian
 from kavosh.functions.text import stripped
 from kavosh.operators.links import crawl_figures, with_totals
+from kavosh.sources.tables import keep
 
 
 def split_list(text: Column, by: str = ",") -> Column:
@@ -259,20 +260,22 @@ def wide(sites_df: DataFrame) -> DataFrame:
     if "evidence" in sites_df.columns:
         e = F.from_json("evidence", "pages array<string>, field_sources string, tel_links bigint, mailto_links bigint")
         made |= {"_evidence_pages": F.coalesce(e["pages"], F.array().cast("array<string>"))} | {f"_{k}": e[k].cast("string") for k in ("field_sources", "mailto_links", "tel_links")}
-    df = sites_df.withColumns(made)
+    lost = ("phones", "emails", "technologies", "socials", "evidence")
+    df = keep(sites_df.withColumns(made).drop(*lost), "site-lists")  # read twice: for its widths and for its cells
     names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     lists = [c for c in ("_phone", "_tel", "_email", "_evidence_pages") if c in made]
     found = [F.max(F.size(c)).alias(c) for c in lists] + [names(F.col("_technology")).alias("_technology")]
     found += [names(F.map_keys("_social")).alias("_social")] if "_social" in made else []
     found += [F.count_if(F.col(c).isNotNull()).alias(c) for c in ("_field_sources", "_mailto_links", "_tel_links") if c in made]
     seen = df.agg(*found).first()
-    cell = lambda v: F.coalesce(v, F.lit(""))
-    listed = {c: [cell(F.get(F.col(c), F.lit(i))).alias(f"{c[1:]}_{i + 1}") for i in range(seen[c] or 0)] for c in lists}
+    # as SQL texts: there may be thousands of columns, and each is one call to the JVM so
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    listed = {c: [f"coalesce(get({c}, {i}), '') AS {c[1:]}_{i + 1}" for i in range(seen[c] or 0)] for c in lists}
     technologies = [t for t in TECHNOLOGY_ORDER if t in seen["_technology"]] + [t for t in seen["_technology"] if t not in TECHNOLOGY_ORDER]
-    columns = [*listed["_phone"], *listed["_tel"], *listed["_email"], *[F.when(F.array_contains("_technology", t), t).otherwise("").alias(f"technology_{i}") for i, t in enumerate(technologies, 1)]]
+    columns = [*listed["_phone"], *listed["_tel"], *listed["_email"], *[f"if(array_contains(_technology, {quoted(t)}), {quoted(t)}, '') AS technology_{i}" for i, t in enumerate(technologies, 1)]]
     if "_social" in made:
-        columns += [cell(F.element_at("_social", F.lit(n))).alias(f"social_{safe_name(n)}") for n in seen["_social"]]
+        columns += [f"coalesce(element_at(_social, {quoted(n)}), '') AS `social_{safe_name(n)}`" for n in seen["_social"]]
     if "_evidence_pages" in made:
-        one = {c: [cell(F.col(c)).alias(f"evidence{c}")] if seen[c] else [] for c in ("_field_sources", "_mailto_links", "_tel_links")}
+        one = {c: [f"coalesce({c}, '') AS evidence{c}"] if seen[c] else [] for c in ("_field_sources", "_mailto_links", "_tel_links")}
         columns += one["_field_sources"] + one["_mailto_links"] + listed["_evidence_pages"] + one["_tel_links"]
-    return df.select(*[c for c in sites_df.columns if c not in ("phones", "emails", "technologies", "socials", "evidence")], *columns)
+    return df.selectExpr(*[f"`{c}`" for c in sites_df.columns if c not in lost], *columns)
