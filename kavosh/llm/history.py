@@ -143,7 +143,7 @@ class AcceptedRuns:
         batch.select("id", F.explode("places").alias("place")).groupBy("place").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).write.option("compression", "zstd").parquet(fresh_path)
         fresh = spark.read.schema("place string, first_id bigint, n bigint").parquet(fresh_path)
         n_fresh, size = fresh.agg(F.count("*"), F.coalesce(F.sum(F.length("place")), F.lit(0))).first()
-        if not self.runs and n_fresh:
+        if not self.entries and n_fresh:
             self._begin_at(self._cut(fresh, n_fresh))
         fresh = fresh.withColumn("range", self._range(F.col("place"))).withColumn("new", F.lit(True))
         touched = {r[0] for r in fresh.select("range").distinct().collect()} if self.first else {0}  # at most one number a range

@@ -108,6 +108,18 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == {i: (-n, s) for i, (s, n) in want.items()} and len(got) > 40
 
 
+def test_history_in_odd_cases(spark, tmp_path):
+    schema = "space string, key string, id bigint, batch_no int, places array<string>, first_id string"
+    odd = [("u", None, 1, 0, None, "x"), ("u", "", 2, 0, [], "x"), ("u", "h/a/b/c/d", None, 1, ["u\x010\x01h/a/b/c/d"], "x"), ("u", "h/a/b/c/d", 3, None, ["u\x010\x01h/a/b/c/d"], "x"), ("u", "h/a/b/c/d", 3, None, ["u\x010\x01h/a/b/c/d"], "x"), ("u", "h/a/b/c/d/e", 5, None, ["u\x010\x01h/a/b/c/d/e"], "x")]
+    df = spark.createDataFrame(odd, schema)
+    assert history.duplicates_by_batch(df).count() == 0 and history.near_duplicates_by_batch(df.limit(0)).count() == 0
+    assert [tuple(r) for r in history.near_duplicates_by_batch(df).collect()] == [("u", 3, 5, round(5 / 6, 6))]
+    store = history.AcceptedRuns(spark, f"file://{tmp_path}/odd")
+    nothing = spark.createDataFrame([], "id bigint, places array<string>")
+    assert store.add(nothing).count() == 0 and store.add(spark.createDataFrame([(i, [f"u\x010\x01{i}"]) for i in range(50)], nothing.schema)).filter("opens").count() == 50
+    assert store.first and store.add(nothing, True).count() == 0 and store.entries == 50
+
+
 def test_a_small_batch_reads_its_range(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     rows = lambda ids: spark.createDataFrame([(i, [f"u\x010\x01k{i:06d}"]) for i in ids], "id bigint, places array<string>")
