@@ -266,7 +266,8 @@ def buildings(df: DataFrame, id_col: str = "id", address_col: str = "address", c
     members = keep(keyed.join(spots.select("key", "number", "city", "alley", "spot"), ["key", "number", "city", "alley"]).select("cls", "spot"), "members")
 
     b = spots.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "number", "city", "alley", "spot", "postcode", "n")])
-    meet = spots.join(b, (F.col("key") == F.col("key_b")) & (F.col("number") == F.col("number_b")) & (F.col("spot") != F.col("spot_b")))
+    # only what lacks a part can join another: pairs of two full spots contradict each other and are never made
+    meet = spots.filter("city = '' or alley = ''").join(b, (F.col("key") == F.col("key_b")) & (F.col("number") == F.col("number_b")) & (F.col("spot") != F.col("spot_b")))
     levels = meet.select(
         "spot", "spot_b", "city", "alley", "city_b", "alley_b", "n_b",
         _level("city", "city_b").alias("l_city"), _level("alley", "alley_b").alias("l_alley"), _level("postcode", "postcode_b").alias("l_post"),
