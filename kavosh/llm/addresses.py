@@ -255,8 +255,8 @@ def buildings(df: DataFrame, id_col: str = "id", address_col: str = "address", c
         return spelt.select("cls", "number", F.array_join(put, " ").alias("key"), F.col("pos").alias("done"), "n")
 
     written = classes.select("cls", "number", F.col("street").alias("key"), F.lit(-1).alias("done"), F.lit(0).cast("bigint").alias("n"))
-    once = corrected(written)
-    readings = written.unionByName(once).unionByName(corrected(once)).select("cls", "number", "key", "n")
+    once = keep(corrected(written), "read-once")
+    readings = keep(written.unionByName(once).unionByName(corrected(once)).select("cls", "number", "key", "n"), "readings")  # read twice
     # the reading that most addresses of that number share; among equals the commoner word
     backed = readings.groupBy("key", "number").agg(F.count_distinct("cls").alias("backing"))
     chosen = readings.join(backed, ["key", "number"]).groupBy("cls").agg(F.max_by("key", F.struct("backing", "n", "key")).alias("key"))
@@ -302,7 +302,10 @@ def buildings(df: DataFrame, id_col: str = "id", address_col: str = "address", c
     for _ in range(2):  # a building with two postcodes may join two others
         at = coded.join(final, "spot")
         agreed = at.groupBy("postcode", "number", "sounds").agg(F.min("building").alias("joint"), F.count_distinct("building").alias("n"), F.count_distinct("city").alias("cities"), F.count_distinct("alley").alias("alleys"))
-        moved = at.join(agreed.filter("n > 1 and cities <= 1 and alleys <= 1"), ["postcode", "number", "sounds"]).groupBy("building").agg(F.min("joint").alias("joint"))
+        agreed = keep(agreed.filter("n > 1 and cities <= 1 and alleys <= 1"), "agreed")
+        if agreed.isEmpty():
+            break
+        moved = at.join(agreed, ["postcode", "number", "sounds"]).groupBy("building").agg(F.min("joint").alias("joint"))
         final = keep(final.join(moved, "building", "left").select("spot", F.coalesce("joint", "building").alias("building")), "joined")
     by_class = keep(members.join(final, "spot").select("cls", "building"), "buildings")
     keys = classes.select("street", "number", "city", "alley", "cls").join(by_class, "cls").drop("cls")
