@@ -142,11 +142,11 @@ class AcceptedRuns:
         fresh_path = f"{self.path}/fresh-{uuid.uuid4().hex}"
         batch.select("id", F.explode("places").alias("place")).groupBy("place").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).write.option("compression", "zstd").parquet(fresh_path)
         fresh = spark.read.schema("place string, first_id bigint, n bigint").parquet(fresh_path)
-        n_fresh, size = fresh.agg(F.count("*"), F.coalesce(F.sum(F.length("place")), F.lit(0))).first()
-        if not self.entries and n_fresh:
-            self._begin_at(self._cut(fresh, n_fresh))
+        if not self.entries and (n_first := fresh.count()):
+            self._begin_at(self._cut(fresh, n_first))
         fresh = fresh.withColumn("range", self._range(F.col("place"))).withColumn("new", F.lit(True))
-        touched = {r[0] for r in fresh.select("range").distinct().collect()} if self.first else {0}  # at most one number a range
+        by_range = fresh.groupBy("range").agg(F.count("*").alias("n"), F.sum(F.length("place")).alias("size")).collect()  # at most one row a range
+        touched, n_fresh, size = {r["range"] for r in by_range}, sum(r["n"] for r in by_range), sum(r["size"] for r in by_range)
         read = sorted({r + d for r in touched for d in ((-1, 0, 1) if near else (0,))})
         merged, old = fresh, self.history(read)
         if old is not None:
