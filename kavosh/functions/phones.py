@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kavosh.functions.dicts import AREA_CODES, MOBILE
+from kavosh.functions.text import bound
 
 # Persian and Arabic-Indic digits.
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
@@ -41,10 +42,27 @@ def number_set(text: Column) -> Column:
     The same numbers as ``number_key`` over ``tokenize``, in JVM expressions: no quoted part of
     a phones field but an extension holds a delimiter.
     """
-    pieces = F.split(F.regexp_replace(ascii_digits(text), _JVM_EXTENSION, ""), _BETWEEN)
-    digits = F.transform(pieces, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "[^0-9]", ""), r"^(?:00)?98(?=\d{10}$)", ""), "^0+", ""))
-    keys = F.array_sort(F.array_distinct(F.transform(F.filter(digits, lambda d: F.length(d) >= 7), lambda d: F.concat(F.lit("0"), d))))
-    return F.when(F.size(keys) > 0, F.array_join(keys, ","))
+    return bound(F.coalesce(text, F.lit("")), _number_set)
+
+
+# The delimiters of _BETWEEN that are single characters, what is no part of a number and can go at once, and what is in
+# all extensions and around all delimiting words. Without these last, no pattern is needed.
+_DELIMITERS, _LOST = ",;|\n\r\t،؛•\"'[]{}/", " -()+."
+_TOLD_BY = ("x", "X", "int", "Int", "iNt", "inT", "INt", "InT", "iNT", "INT", "داخل", "- ", "& ", "+ ", "و ", "یا ", "or ", "and ", "\n", "\r", "\t", "\v", "\f")
+
+
+def _number_set(text: Column) -> Column:
+    told = text.contains(_TOLD_BY[0])
+    for t in _TOLD_BY[1:]:
+        told = told | text.contains(t)
+    pieces = F.when(told, F.split(F.regexp_replace(ascii_digits(text), _JVM_EXTENSION, ""), _BETWEEN)).otherwise(
+        F.split(F.translate(text, PERSIAN_DIGITS + ARABIC_DIGITS + _DELIMITERS + _LOST, ASCII_DIGITS * 2 + "," * len(_DELIMITERS)), ",")
+    )
+    digits = F.transform(pieces, lambda p: F.regexp_replace(p, "[^0-9]", ""))
+    known = F.transform(digits, lambda d: F.when(d.startswith("98") | d.startswith("0098"), F.regexp_replace(d, r"^(?:00)?98(?=\d{10}$)", "")).otherwise(d))
+    national = F.filter(F.transform(known, lambda d: F.ltrim(d, F.lit("0"))), lambda d: F.length(d) >= 7)
+    keys = F.array_join(F.array_sort(F.array_distinct(F.transform(national, lambda d: F.concat(F.lit("0"), d)))), ",")
+    return bound(keys, lambda k: F.when(k != "", k))
 
 
 # --- single numbers, with the reference pipeline's rules ---------------------------------

@@ -44,7 +44,13 @@ def site(name: Column) -> Column:
 
 def _decoded(text: Column) -> Column:
     """Percent-decoded; left as it is where that fails."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    return F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
+
+
+def _stripped_end(text: Column, end: str) -> Column:
+    """Without what ``end`` finds at the end; most texts end in a letter or digit, and are not searched."""
+    last = F.substring(text, -1, 1)
+    return F.when(last.between("0", "z") | last.between("\u0600", "\u06ff"), text).otherwise(F.regexp_replace(text, end, ""))
 
 
 def page(url: Column) -> Column:
@@ -52,19 +58,52 @@ def page(url: Column) -> Column:
 
     Host, path and remaining query parameters. Scheme, default port, case of the host, a
     leading www., final slashes, the fragment, percent-encoding, the order of parameters and
-    parameters of ``VISIT_PARAMS`` make no difference.
+    parameters of ``VISIT_PARAMS`` make no difference. Each part is computed once, and searched
+    only where a character says that there is something to find.
     """
-    url = F.trim(url)
-    name = F.regexp_replace(site(F.regexp_replace(authority(url), r":\d*$", "")), r"\.$", "")
-    port = F.regexp_extract(authority(url), r":(\d+)$", 1)
+    return bound(F.trim(url), lambda u: bound(_net_and_rest(u), lambda x: _page(u, x["net"], x["rest"])))
+
+
+def _net_and_rest(url: Column) -> Column:
+    """(net, rest): the authority without user, and what follows it; searched only in URLs not of the usual form."""
+    prefix = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*"
+    searched = F.struct(authority(url).alias("net"), F.substr(url, F.length(F.regexp_extract(url, prefix, 0)) + 1).alias("rest"))
+
+    def cut(body: Column) -> Column:
+        net = F.substring_index(F.substring_index(F.substring_index(body, "/", 1), "?", 1), "#", 1)
+        return bound(net, lambda n: F.when(_has_any(n, "@", *_SPACES) | body.isNull(), searched).otherwise(F.struct(n.alias("net"), F.substr(body, F.length(n) + 1).alias("rest"))))
+
+    return bound(F.when(url.startswith("https://"), F.substr(url, F.lit(9))).when(url.startswith("http://"), F.substr(url, F.lit(8))), cut)
+
+
+# What \s finds.
+_SPACES = (" ", "\t", "\n", "\v", "\f", "\r")
+
+
+def _has_any(text: Column, *parts: str) -> Column:
+    out = text.contains(parts[0])
+    for p in parts[1:]:
+        out = out | text.contains(p)
+    return out
+
+
+def _page(url: Column, net: Column, rest: Column) -> Column:
+    has_port = net.contains(":")
+    name = bound(F.lower(F.trim(F.when(has_port, F.regexp_replace(net, r":\d*$", "")).otherwise(net))), lambda n: _stripped_end(n, r"\.+$"))
+    name = bound(name, lambda n: _stripped_end(F.when(n.startswith("www."), F.substr(n, F.lit(5))).otherwise(n), r"\.$"))
+    port = F.regexp_extract(net, r":(\d+)$", 1)
     default = (port == "") | ((port == "80") & (scheme(url) == "http")) | ((port == "443") & (scheme(url).isin("https", "")))
-    rest = F.regexp_replace(F.regexp_replace(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), r"#.*$", "")
-    path = F.regexp_replace(_decoded(F.regexp_extract(rest, r"^([^?]*)", 1)), r"/+$", "")
-    query = F.regexp_extract(rest, r"\?(.*)$", 1)
+    shown_port = F.when(has_port, F.when(default, "").otherwise(F.concat(F.lit(":"), port))).otherwise("")
+    rest = F.when(rest.contains("#"), F.regexp_replace(rest, r"#.*$", "")).otherwise(rest)
+    path = lambda r: bound(bound(F.substring_index(r, "?", 1), _decoded), lambda p: _stripped_end(p, r"/+$"))
+    target = bound(rest, lambda r: F.concat(path(r), F.when(r.contains("?"), bound(_params(F.regexp_extract(r, r"\?(.*)$", 1)), lambda p: F.when(p != "", F.concat(F.lit("?"), p)).otherwise(""))).otherwise("")))
+    return bound(name, lambda n: F.when(n != "", F.concat(n, shown_port, target)))
+
+
+def _params(query: Column) -> Column:
+    """The parameters that change a page, decoded, in order."""
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(_visit_pattern()))
-    params = F.array_join(F.array_sort(F.transform(kept, lambda p: _decoded(F.replace(p, F.lit("+"), F.lit("%20"))))), "&")
-    key = F.concat(name, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))
-    return F.when(name != "", key)
+    return F.array_join(F.array_sort(F.transform(kept, lambda p: bound(F.replace(p, F.lit("+"), F.lit("%20")), _decoded))), "&")
 
 
 # --- canonical form and classes, with the reference pipeline's rules ----------------------

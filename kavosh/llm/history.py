@@ -7,7 +7,9 @@ batch costs:
 1. It is reduced to one entry per place before anything else (a partial aggregate on the map side, so a key with a third of
    the batch costs one row a task) and its ranges are looked up by binary search among the ranges' first places.
 2. Of the stored runs only the ranges it touches are read (directories are pruned; with windows, the ranges beside them too).
-   A batch much smaller than these also drops, where they are read, all entries that lie further than a window from every new one.
+   Without windows, an entry counts only if its place is in the batch: nearly all others are dropped where they are read, by bits
+   of the batch's places, so history is scanned but neither shuffled nor sorted. With windows, a batch much smaller than these drops
+   all entries that lie further than a window from every new one.
 3. Entries are merged in order range by range, and only windows around new entries are compared: an equal place is the same
    record, one that shares at least ``LEAST`` of all words is a near-duplicate. Windows go on across the ends of ranges.
 4. What is new is the next run. After ``compact_every`` runs all are merged into one and cut into ranges anew, their number following
@@ -37,13 +39,15 @@ from pyspark.sql import functions as F
 from kavosh.functions.phones import number_set
 from kavosh.functions.text import bound
 from kavosh.functions.urls import page
-from kavosh.sources.tables import fanout, load, read_note, remove, shared_folder, write_note
+from kavosh.sources.tables import load, read_note, remove, shared_folder, write_note
 
 #: Entries of a range, neighbours compared on each side, and the least share of common words of near-duplicates.
 RANGE_ENTRIES, WINDOW, LEAST = 1_000_000, 4, 0.8
 MANIFEST = "manifest.json"
 #: A batch is looked up where the runs are read if its places take less than this; else all touched ranges are merged.
 LOOKUP_BYTES = 16 << 20
+#: Words of bits that say which places a batch has, at most: they are broadcast (some 30 MB). Larger batches let more strangers through.
+MOST_WORDS = 1 << 19
 _ENTRY = "place string, first_id bigint, opens boolean, n bigint, new boolean, nearest struct<similarity:double,id:bigint>, side int, range int"
 _SEP = "\u0001"
 
@@ -82,6 +86,15 @@ def around(entries: DataFrame, wanted: list[str], window: int) -> DataFrame:
     return entries.mapInPandas(walk, entries.schema)
 
 
+def maybe_in(entries: DataFrame, fresh: DataFrame, n_fresh: int) -> DataFrame:
+    """The entries whose place is among those of ``fresh``, and a few others: two bits of a word tell, both chosen by the place's hash."""
+    words = min(1 << max(n_fresh // 8, 1).bit_length(), MOST_WORDS)
+    bit = lambda at: f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(place), {at}) & 63 as int))"
+    word, bits = F.expr(f"xxhash64(place) & {words - 1}L").alias("word"), F.expr(f"{bit(40)} | {bit(52)}").alias("bits")
+    marks = fresh.select(word, bits).groupBy("word").agg(F.bit_or("bits").alias("seen"))
+    return entries.select("*", word, bits).join(F.broadcast(marks), "word").filter("(bits & seen) = bits").select(*entries.columns)
+
+
 class AcceptedRuns:
     """A store of sorted runs under ``path``; opens what is there, else begins an empty one."""
 
@@ -113,7 +126,7 @@ class AcceptedRuns:
 
     def _cut(self, entries: DataFrame, n_entries: int) -> DataFrame:
         """``entries`` sorted into ranges of about equal size; ``range`` is their number."""
-        n = max(fanout(self.spark), -(-n_entries // self.range_entries))
+        n = max(self.spark.sparkContext.defaultParallelism, -(-8 * n_entries // self.range_entries))  # an eighth full, as stores grow; each range is a folder of each run
         return entries.repartitionByRange(n, "place").sortWithinPartitions("place").withColumn("range", F.spark_partition_id())
 
     def _begin_at(self, cut: DataFrame) -> None:
@@ -140,17 +153,23 @@ class AcceptedRuns:
         """
         spark, run = self.spark, f"run=r{uuid.uuid4().hex}"
         fresh_path = f"{self.path}/fresh-{uuid.uuid4().hex}"
-        batch.select("id", F.explode("places").alias("place")).groupBy("place").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).write.option("compression", "zstd").parquet(fresh_path)
-        fresh = spark.read.schema("place string, first_id bigint, n bigint").parquet(fresh_path)
-        if not self.entries and (n_first := fresh.count()):
-            self._begin_at(self._cut(fresh, n_first))
-        fresh = fresh.withColumn("range", self._range(F.col("place"))).withColumn("new", F.lit(True))
+        rows = batch.select("id", F.explode("places").alias("place")).groupBy("place").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+        rows = rows.withColumn("range", self._range(F.col("place"))) if self.entries else rows  # looked up once; the first batch makes the ranges
+        rows.write.option("compression", "zstd").parquet(fresh_path)
+        fresh = spark.read.schema(f"place string, first_id bigint, n bigint{', range int' if self.entries else ''}").parquet(fresh_path)
+        if not self.entries:
+            if n_first := fresh.count():
+                self._begin_at(self._cut(fresh, n_first))
+            fresh = fresh.withColumn("range", self._range(F.col("place")))
+        fresh = fresh.withColumn("new", F.lit(True))
         by_range = fresh.groupBy("range").agg(F.count("*").alias("n"), F.sum(F.length("place")).alias("size")).collect()  # at most one row a range
         touched, n_fresh, size = {r["range"] for r in by_range}, sum(r["n"] for r in by_range), sum(r["size"] for r in by_range)
         read = sorted({r + d for r in touched for d in ((-1, 0, 1) if near else (0,))})
         merged, old = fresh, self.history(read)
         if old is not None:
-            if n_fresh * 16 * self.window < self.entries and size < LOOKUP_BYTES:
+            if not near:
+                old = maybe_in(old, fresh, n_fresh)
+            elif n_fresh * 16 * self.window < self.entries and size < LOOKUP_BYTES:
                 old = around(old, [r[0] for r in fresh.select("place").orderBy("place").collect()], self.window)
             merged = old.withColumns({"new": F.lit(False), "n": F.lit(0).cast("bigint")}).unionByName(fresh)
         order = Window.partitionBy("range").orderBy("place", "new")

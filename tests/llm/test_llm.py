@@ -139,6 +139,27 @@ def test_a_small_batch_reads_its_range(spark, tmp_path):
     assert store.history().count() == 20_001 and history.AcceptedRuns(spark, path).runs == store.runs
 
 
+def test_history_is_read_not_shuffled(spark, tmp_path):
+    rows = lambda ids: spark.createDataFrame([(i, [f"u\x010\x01k{i:06d}"]) for i in ids], "id bigint, places array<string>")
+    store = history.AcceptedRuns(spark, f"file://{tmp_path}/store")
+    store.add(rows(range(0, 40_000, 2)))
+    batch = rows(range(0, 30_000, 3)).select(F.explode("places").alias("place"))
+    kept = history.maybe_in(store.history(), batch, 10_000)
+    assert kept.columns == store.history().columns and kept.join(batch, "place").count() == 5_000 and kept.count() < 7_000
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # of the batch's bits
+    got = store.add(rows(range(0, 30_000, 3)))
+    assert got.filter("not opens").count() == 5_000 and got.filter("opens").count() == 5_000 and store.entries == 25_000
+
+
+def test_ranges_follow_entries_not_shuffle_partitions(spark, tmp_path):
+    store, wide = history.AcceptedRuns(spark, f"file://{tmp_path}/store", range_entries=800), spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "64")
+    store.spark = wide
+    store.add(wide.createDataFrame([(i, [f"u\x010\x01k{i:06d}"]) for i in range(1_000)], "id bigint, places array<string>"))
+    assert 6 <= len(store.first) <= 10
+
+
 # --- survivors ---------------------------------------------------------------------------
 
 CONTACT = "id bigint, domain string, source_url string, business_name string, address string, category string, city string, quality_score double, crawled_at string, n int"
