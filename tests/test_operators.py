@@ -159,6 +159,16 @@ def test_sites_and_wide(spark):
     assert (w["phone_1"], w["tel_1"], w["email_2"]) == ("09121111111", "02112345678", "a@x.ir") and [w[f"technology_{i}"] for i in (1, 2, 3)] == ["WordPress", "jQuery", "Zeta"]
 
 
+def test_wide_has_no_expression_a_column(spark):
+    names = [f"T{i:04d}" for i in range(3_000)]
+    df = spark.createDataFrame([(f"s{i}.ir", None, None, ";".join(names[i * 100 : i * 100 + 101])) for i in range(30)], "domain string, phones string, emails string, technologies string")
+    w = contacts.wide(df)
+    assert len(w.columns) == 3_001 and len(w._jdf.queryExecution().optimizedPlan().expressions().mkString(",")) < 200_000 and "array_contains" not in w._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r[0]: {c: v for c, v in zip(w.columns[1:], r[1:]) if v} for r in w.collect()}
+    assert rows["s2.ir"] == {f"technology_{i + 1}": names[i] for i in range(200, 301)} and rows["s29.ir"]["technology_3000"] == "T2999"
+    assert all(v is not None for v in w.first())
+
+
 def test_cells_keep_every_value(spark):
     mobiles, mails = [f"0912111110{i}" for i in range(6)], [f"m{i}@x.ir" for i in range(5)]
     rows = [(1, "x.ir", ",".join(mobiles[:3]), ",".join(mails), "jQuery; Asan-Pay"), (2, "x.ir", ",".join(mobiles[3:]) + ",02112345678", "m0@x.ir", "C++ Gateway (0.5);(0.1)"), (3, "y.ir", None, None, "Asan-Pay")]
