@@ -169,6 +169,16 @@ def test_wide_has_no_expression_a_column(spark):
     assert all(v is not None for v in w.first())
 
 
+def test_wide_tasks_follow_cells(spark, monkeypatch):
+    df = spark.createDataFrame([(f"s{i}.ir", None, None, ";".join(f"T{i:02d}{k}" for k in range(10))) for i in range(60)], "domain string, phones string, emails string, technologies string").coalesce(1)
+    whole = sorted(map(tuple, contacts.wide(df).collect()))
+    monkeypatch.setattr(contacts, "TASK_CELLS", 5_000)  # of 36,060
+    w = contacts.wide(df)
+    sizes = [n for n in w.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) == 8 and max(sizes) * len(w.columns) <= 5_000 and sorted(map(tuple, w.collect())) == whole
+    assert not any(f.nullable for f in w.schema.fields[1:])
+
+
 def test_cells_keep_every_value(spark):
     mobiles, mails = [f"0912111110{i}" for i in range(6)], [f"m{i}@x.ir" for i in range(5)]
     rows = [(1, "x.ir", ",".join(mobiles[:3]), ",".join(mails), "jQuery; Asan-Pay"), (2, "x.ir", ",".join(mobiles[3:]) + ",02112345678", "m0@x.ir", "C++ Gateway (0.5);(0.1)"), (3, "y.ir", None, None, "Asan-Pay")]
